@@ -143,8 +143,7 @@ def batch_summary(gold: DataFrame, gaps: DataFrame) -> DataFrame:
 
 
 def icu_warning(points: DataFrame) -> DataFrame:
-    lists_icu = F.exists("specialties", lambda s: F.upper(s).contains("ICU")
-                         | F.lower(s).contains("critical care"))
+    lists_icu = F.array_contains("specialties", "ICU")
     has_icu = F.coalesce(F.col("has_icu"), F.lit(False))
     return points.withColumn(
         "warning", F.when(~has_icu & lists_icu, "Claims ICU no evidence")

@@ -13,6 +13,7 @@ from wardline.operators.pairs import top_k
 # Query vectors sent to every task when there are no more than this many.
 QUERIES_PER_BLOCK = 2048
 VECTORS_PER_GROUP = 20000
+SCORED_AT_ONCE = 128
 
 OUT = "query_id bigint, vec_id bigint, score double"
 
@@ -25,16 +26,22 @@ def _matrix(column: pd.Series) -> np.ndarray:
 
 def _best(query_ids, q, vec_ids, v, k, skip_same) -> pd.DataFrame:
     """The k best vectors of one batch per query, ties by id, scores to 4 decimals."""
-    scores = np.round(q @ v.T, 4)
-    if skip_same:
-        scores[query_ids[:, None] == vec_ids[None, :]] = -np.inf
-    order = np.lexsort((np.broadcast_to(vec_ids, scores.shape), -scores), axis=1)[:, :k]
-    out = pd.DataFrame({
-        "query_id": np.repeat(query_ids, order.shape[1]),
-        "vec_id": vec_ids[order].ravel(),
-        "score": np.take_along_axis(scores, order, axis=1).ravel(),
-    })
-    return out[np.isfinite(out["score"])]
+    by_id = np.argsort(vec_ids, kind="stable")
+    vec_ids, v = vec_ids[by_id], v[by_id]
+    out = []
+    for start in range(0, len(query_ids), SCORED_AT_ONCE):
+        ids = query_ids[start:start + SCORED_AT_ONCE]
+        scores = np.round(q[start:start + SCORED_AT_ONCE] @ v.T, 4)
+        if skip_same:
+            scores[ids[:, None] == vec_ids[None, :]] = -np.inf
+        order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        out.append(pd.DataFrame({
+            "query_id": np.repeat(ids, order.shape[1]),
+            "vec_id": vec_ids[order].ravel(),
+            "score": np.take_along_axis(scores, order, axis=1).ravel(),
+        }))
+    best = pd.concat(out)
+    return best[np.isfinite(best["score"])]
 
 
 def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int = 50,
