@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -11,31 +12,57 @@ from wardline.functions import vocab
 
 EARTH_KM = 6371.0
 KM_PER_DEGREE = 111.19
+SENTENCE_BREAK = r"(?<=[.!?])\s+"
 
 
-def any_word(text: Column, words: list[str]) -> Column:
-    """True when the text holds one of the words as a substring (case as given)."""
+def quoted(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def any_word(text: str | Column, words: list[str]) -> Column:
+    """True when the text holds one of the words as a substring (case as given).
+
+    Given a column name the whole test is one SQL text: word lists are long, and one
+    parsed expression plans far faster than hundreds of column objects.
+    """
+    if isinstance(text, str):
+        return F.expr(" OR ".join(f"contains({text}, {quoted(w)})" for w in words))
     return reduce(lambda a, b: a | b, [text.contains(w) for w in words])
 
 
-def words_found(text: Column, words: list[str]) -> Column:
-    """The words the text holds, in list order."""
-    return F.array_compact(F.array(*[F.when(text.contains(w), F.lit(w)) for w in words]))
+def any_phrase(text: Column, phrases: list[str]) -> Column:
+    """As any_word for short computed texts: one pattern, so the text is computed once."""
+    return text.rlike("|".join(re.escape(p) for p in phrases))
+
 
+def words_found(text: str, words: list[str]) -> Column:
+    """The words the text column holds, in list order."""
+    return F.expr("array_compact(array(" + ", ".join(
+        f"if(contains({text}, {quoted(w)}), {quoted(w)}, null)" for w in words) + "))")
 
-def first_word(text: Column, words: list[str]) -> Column:
-    return F.coalesce(*[F.when(text.contains(w), F.lit(w)) for w in words])
+
+def first_word(text: str, words: list[str]) -> Column:
+    return F.expr("CASE " + " ".join(
+        f"WHEN contains({text}, {quoted(w)}) THEN {quoted(w)}" for w in words) + " END")
 
 
 def text_or_empty(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
-def is_missing(c: Column) -> Column:
+def is_missing(c: str | Column) -> Column:
+    if isinstance(c, str):
+        return F.expr(missing_sql(c))
     text = c.cast("string")
     return text.isNull() | text.isin(vocab.MISSING_MARKERS)
 
 
+def missing_sql(name: str) -> str:
+    marks = ", ".join(quoted(m) for m in vocab.MISSING_MARKERS)
+    return f"(`{name}` IS NULL OR CAST(`{name}` AS STRING) IN ({marks}))"
+
+
 def empty_strings() -> Column:
     return F.array().cast("array<string>")
 
@@ -57,20 +84,17 @@ def blank_to_null(c: Column) -> Column:
     return F.when(c != "", c)
 
 
-def sentences(text: Column) -> Column:
-    return F.split(text, r"(?<=[.!?])\s+")
-
-
-def first_sentence_with(text: Column, lowered: Column, words: list[str]) -> Column:
+def first_sentence_with(text: str, lowered: str, words: list[str]) -> Column:
     """First sentence of the text that holds a word, ignoring case; null when none does.
 
     The earliest word position gives the number of sentence breaks before it, so no
     sentence is searched on its own. `lowered` is the lower-cased text.
     """
-    spots = [F.nullif(F.instr(lowered, w), F.lit(0)) for w in words]
-    first = F.least(*spots) if len(spots) > 1 else spots[0]
-    before = F.size(sentences(F.substring(lowered, F.lit(1), first - 1)))
-    return F.get(sentences(text), before - 1)
+    spots = ", ".join(f"nullif(instr({lowered}, {quoted(w)}), 0)" for w in words)
+    first = f"least({spots})" if len(words) > 1 else spots
+    breaks = quoted(SENTENCE_BREAK)
+    return F.expr(f"get(split({text}, {breaks}), "
+                  f"size(split(substring({lowered}, 1, {first} - 1), {breaks})) - 1)")
 
 
 def half_even(c: Column, digits: int) -> Column:

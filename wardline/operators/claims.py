@@ -20,7 +20,6 @@ REPLY_FIELDS = """has_icu: boolean, has_emergency: boolean, has_24_7: boolean,
  has_neonatal_icu: boolean, has_mental_health: boolean, has_trauma_centre: boolean,
  icu_beds: bigint, inferred_doctors: bigint, operational_notes: string,
  confidence: string, source_sentence: string"""
-REPLY_SCHEMA = f"struct<{REPLY_FIELDS}, properties: struct<{REPLY_FIELDS}>>"
 
 
 def strip_fences(reply: Column) -> Column:
@@ -29,10 +28,10 @@ def strip_fences(reply: Column) -> Column:
 
 def parse_model_json(reply: Column, fields: str = REPLY_FIELDS) -> Column:
     """Fenced JSON reply as a record; a nested `properties` record is unwrapped."""
+    names = [f.split(":")[0].strip() for f in fields.replace("\n", " ").split(",")]
     parsed = F.from_json(strip_fences(reply), f"struct<{fields}, properties: struct<{fields}>>")
-    flat = F.struct(*[parsed.getField(f.split(":")[0].strip()) .alias(f.split(":")[0].strip())
-                      for f in fields.replace("\n", " ").split(",")])
-    return F.coalesce(parsed.getField("properties"), flat)
+    return F.coalesce(parsed.getField("properties"),
+                      F.struct(*[parsed.getField(n).alias(n) for n in names]))
 
 
 def reply_error(reply: Column) -> Column:
@@ -65,7 +64,7 @@ def with_claims(silver: DataFrame, claims: dict[str, list[str]] | None = None) -
         f"_{f}": F.lower(X.text_or_empty(F.col(f))) for f in TEXT_FIELDS
     }).withColumn("_all", F.concat_ws(" ", *[F.col(f"_{f}") for f in TEXT_FIELDS]))
     hits = lowered.withColumns({
-        f"_hit_{f}": F.array(*[X.any_word(F.col(f"_{f}"), w) for w in claims.values()])
+        f"_hit_{f}": F.array(*[X.any_word(f"_{f}", w) for w in claims.values()])
         for f in TEXT_FIELDS
     })
     hours = vocab.STANDARDS["has_24_7"] + vocab.LIMITED_HOURS_WORDS
@@ -78,7 +77,7 @@ def with_claims(silver: DataFrame, claims: dict[str, list[str]] | None = None) -
     ])
     lead = F.coalesce(*[F.when(F.exists(f"_hit_{f}", lambda x: x), F.lit(f))
                         for f in TEXT_FIELDS])
-    spoken = F.coalesce(*[F.when(X.any_word(F.col(f"_{f}"), hours), F.lit(f))
+    spoken = F.coalesce(*[F.when(X.any_word(f"_{f}", hours), F.lit(f))
                           for f in TEXT_FIELDS])
     hits = hits.withColumns({
         "source_field": F.when(has_text, lead), "_notes_field": F.when(has_text, spoken),
@@ -90,10 +89,10 @@ def with_claims(silver: DataFrame, claims: dict[str, list[str]] | None = None) -
         "inferred_doctors": F.when(has_text, first_number(
             F.col("_all"), r"(\d+)\s*(?:doctors|specialists|surgeons)")),
         "extracted_equipment": F.when(has_text, F.array_union(
-            "equipment_parsed", X.words_found(F.col("_all"), vocab.EQUIPMENT_WORDS)))
+            "equipment_parsed", X.words_found("_all", vocab.EQUIPMENT_WORDS)))
             .otherwise(X.empty_strings()),
         "extracted_procedures": F.when(has_text, F.array_union(
-            "procedure_parsed", X.words_found(F.col("_all"), vocab.PROCEDURE_WORDS)))
+            "procedure_parsed", X.words_found("_all", vocab.PROCEDURE_WORDS)))
             .otherwise(X.empty_strings()),
         "operational_notes": sentence_of("_notes_field", hours),
         "evidence_fields": F.when(has_text, fields_hit).otherwise(0),
@@ -119,7 +118,7 @@ def with_claims(silver: DataFrame, claims: dict[str, list[str]] | None = None) -
 
 
 def confidence_grade() -> Column:
-    empty = X.is_missing(F.col("description")) & X.is_missing(F.col("capability"))
+    empty = X.is_missing("description") & X.is_missing("capability")
     specific = (
         F.coalesce(F.col("source_sentence").rlike("[0-9]"), F.lit(False))
         | (F.size("extracted_equipment") + F.size("extracted_procedures") > 0)
@@ -135,7 +134,7 @@ def confidence_grade() -> Column:
 def sentence_of(field: str, words: list[str]) -> Column:
     """First sentence holding a word, in the text column that `field` names."""
     return F.coalesce(*[
-        F.when(F.col(field) == f, X.first_sentence_with(F.col(f), F.col(f"_{f}"), words))
+        F.when(F.col(field) == f, X.first_sentence_with(f, f"_{f}", words))
         for f in TEXT_FIELDS
     ])
 
@@ -147,7 +146,7 @@ def evidence_sentence(silver: DataFrame, claims: dict[str, list[str]] | None = N
     lowered = silver.withColumns({
         f"_{f}": F.lower(X.text_or_empty(F.col(f))) for f in TEXT_FIELDS
     })
-    field = F.coalesce(*[F.when(X.any_word(F.col(f"_{f}"), words), F.lit(f))
+    field = F.coalesce(*[F.when(X.any_word(f"_{f}", words), F.lit(f))
                          for f in TEXT_FIELDS])
     return (
         lowered.withColumn("source_field", field).where("source_field IS NOT NULL")

@@ -15,7 +15,7 @@ def specialty_match(gold: DataFrame, specialties: dict[str, list[str]] | None =
     specialties = vocab.GAP_SPECIALTIES if specialties is None else specialties
     low = gold.withColumn("_low", F.lower("searchable_text"))
     return low.withColumns({
-        f"is_{s}": X.any_word(F.col("_low"), words) for s, words in specialties.items()
+        f"is_{s}": X.any_word("_low", words) for s, words in specialties.items()
     }).drop("_low")
 
 
@@ -109,7 +109,7 @@ def gaps_filtered(gaps: DataFrame, state: str | None = None, specialty: str | No
 
 
 def gaps_like(gaps: DataFrame, patterns: list[str], limit: int = TOP_GAPS_PER_QUESTION) -> DataFrame:
-    kept = gaps.where(X.any_word(F.lower("specialty"), patterns)) if patterns else gaps
+    kept = gaps.where(X.any_word("lower(specialty)", patterns)) if patterns else gaps
     return kept.orderBy(*gap_order()).limit(limit)
 
 
@@ -168,7 +168,7 @@ def gap_lookup(questions: DataFrame, gaps: DataFrame,
     asked = questions.where(intents.is_gap_query(F.col("query"))).withColumn(
         "patterns", intents.specialty_filters(F.col("query")))
     wanted = F.when(F.size("patterns") == 0, names).otherwise(F.filter(
-        names, lambda s: F.exists("patterns", lambda p: F.contains(s, p))))
+        names, lambda s: F.exists("patterns", lambda p: F.contains(F.lower(s), p))))
     asked = asked.select("query_id", F.array_join(wanted, ",").alias("wanted"))
     member = asked.select("wanted").distinct().where(F.col("wanted") != "").select(
         "wanted", F.explode(F.split("wanted", ",")).alias("specialty"))

@@ -9,10 +9,12 @@ map and not on how many records share a cell.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wardline.functions import columns as X
+from wardline.sources.layers import cut
 
 FINE = 0.01
 SLACK_KM = 0.01
@@ -81,12 +83,12 @@ def radius_counts(places: DataFrame, targets: DataFrame, radii: list[float],
     columns holding the place's own measures, which are taken off again.
     """
     located = places.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
-    asked = _with_cells(located.select("latitude", "longitude").distinct())
+    asked = cut(_with_cells(located.select("latitude", "longitude").distinct()))
     wanted = targets.where(
         F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
-        & F.greatest(*[F.col(m) != 0 for m in measures]))
-    held = _with_cells(wanted.groupBy("latitude", "longitude").agg(
-        *[F.sum(m).alias(m) for m in measures]))
+        & F.exists(F.array(*measures), lambda m: m != 0))
+    held = cut(_with_cells(wanted.groupBy("latitude", "longitude").agg(
+        *[F.sum(m).alias(m) for m in measures])))
     farthest, reach = max(radii), 2 * _reach(FINE)
 
     asked_cells = asked.select("row", "col", "f_row", "f_col").distinct()
@@ -106,7 +108,7 @@ def radius_counts(places: DataFrame, targets: DataFrame, radii: list[float],
     whole = cell_pairs.groupBy("f_row", "f_col").agg(*[
         F.sum(F.when(inside[r], F.col(m)).otherwise(zero)).alias(n)
         for (m, r), n in names.items()])
-    on_edge = cell_pairs.where(F.greatest(*edge.values())).select(
+    on_edge = cell_pairs.where(reduce(lambda a, b: a | b, edge.values())).select(
         "f_row", "f_col", "t_row", "t_col",
         *[edge[r].alias(f"edge_{r:g}") for r in radii])
     a = asked.select("latitude", "longitude", "f_row", "f_col")
@@ -146,12 +148,12 @@ def nearest(places: DataFrame, targets: DataFrame, key: str | None = None,
     the coarse cells of the key instead.
     """
     keys = [key] if key else []
-    points = _with_cells(places.where(
+    points = cut(_with_cells(places.where(
         F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
-        .select("latitude", "longitude").distinct())
+        .select("latitude", "longitude").distinct()))
     held = targets.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
-    held = _with_cells(held.groupBy("latitude", "longitude", *keys).agg(
-        F.min(label).alias("label") if label else F.lit(None).cast("string").alias("label")))
+    held = cut(_with_cells(held.groupBy("latitude", "longitude", *keys).agg(
+        F.min(label).alias("label") if label else F.lit(None).cast("string").alias("label"))))
 
     def target_cells(*extra: str) -> DataFrame:
         return held.groupBy("row", "col", *extra, *keys).agg(
@@ -183,7 +185,7 @@ def nearest(places: DataFrame, targets: DataFrame, key: str | None = None,
     far = far.withColumn("best", F.min(usable(same1)).over(
         Window.partitionBy("row", "col", *keys))).where(near_bound(reach))
     cols = ["row", "col", "near_row", "near_col", *keys]
-    coarse = pairs.select(*cols).union(far.select(*cols))
+    coarse = cut(pairs.select(*cols).union(far.select(*cols)))
 
     # fine cells inside the surviving coarse pairs
     p2 = points.select("row", "col", "f_row", "f_col").distinct()

@@ -16,7 +16,7 @@ def words_of(text: Column) -> Column:
 
 
 def literal_words(words: list[str]) -> Column:
-    return F.array(*[F.lit(w) for w in words])
+    return F.expr("array(" + ", ".join(X.quoted(w) for w in words) + ")")
 
 
 def useful_words(text: Column) -> Column:
@@ -40,7 +40,7 @@ def wants_contradictions(flag: Column, *texts: Column) -> Column:
 
 
 def is_gap_query(query: Column) -> Column:
-    return X.any_word(F.lower(query), vocab.GAP_PHRASES)
+    return X.any_phrase(F.lower(query), vocab.GAP_PHRASES)
 
 
 def specialty_filters(query: Column, prefixes: dict[str, list[str]] | None = None) -> Column:
@@ -112,12 +112,12 @@ def parse_queries(questions: DataFrame, silver: DataFrame) -> DataFrame:
                     lambda w: ~F.array_contains(stop, w) & ~F.array_contains(place_words, w))
     asked = wants_contradictions(F.lit(None).cast("boolean"), F.col("query"))
     return located.withColumns({
-        "facility_type": X.first_word(low, vocab.FACILITY_TYPES),
+        "facility_type": X.first_word("lower(query)", vocab.FACILITY_TYPES),
         "specialties": specialty_filters(F.col("query")),
-        "requires_icu": F.when(X.any_word(low, vocab.STANDARDS["has_icu"]), True),
-        "requires_emergency": F.when(X.any_word(low, vocab.STANDARDS["has_emergency"]), True),
-        "requires_24_7": F.when(X.any_word(low, vocab.STANDARDS["has_24_7"]), True),
-        "requires_dialysis": F.when(X.any_word(low, vocab.CLAIMS["has_dialysis"]), True),
+        "requires_icu": F.when(X.any_phrase(low, vocab.STANDARDS["has_icu"]), True),
+        "requires_emergency": F.when(X.any_phrase(low, vocab.STANDARDS["has_emergency"]), True),
+        "requires_24_7": F.when(X.any_phrase(low, vocab.STANDARDS["has_24_7"]), True),
+        "requires_dialysis": F.when(X.any_phrase(low, vocab.CLAIMS["has_dialysis"]), True),
         "requires_contradictions": F.when(asked, True),
         "min_trust_score": X.blank_to_null(
             F.regexp_extract(low, r"trust\D*(\d+)", 1)).try_cast("double"),

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wardline.functions import columns as X
 from wardline.operators import intents
 from wardline.operators.pairs import top_k
-from wardline.sources.layers import scratch_path
+from wardline.sources.layers import cut, scratch_path
 
 # Queries answered per pass; a longer table of queries is answered pass by pass.
 QUERIES_PER_PASS = 256
@@ -177,20 +179,22 @@ def _search_passes(gold, silver, specs, num_results, ignore_case):
 def _search_pass(gold, silver, spec_rows, num_results, ignore_case):
     table = X.literal_table(spec_rows, SPEC)
     terms = list(dict.fromkeys(t["term"] for s in spec_rows for t in s["terms"]))
-    fold = F.lower if ignore_case else (lambda c: c)
 
     def hits(hay: Column) -> Column:
-        if not terms:
-            return X.empty_strings()
-        if len(terms) <= 64:
-            return X.words_found(fold(hay), terms)
-        return F.filter(F.from_json(F.lit(_json(terms)), "array<string>"),
-                        lambda t: F.contains(fold(hay), t))
-
-    s = silver.withColumn("_hits", hits(
-        F.concat_ws("\n", "searchable_text", F.array_join("specialties", "\n"))))
-    g = gold.where(F.col("trust_score").isNotNull()) \
-        .withColumn("_hits", hits(F.array_join("capabilities", "\n")))
+        """Terms the text holds: each distinct term of the pass is looked up once."""
+        hay = F.lower(hay) if ignore_case else hay
+        return F.filter(F.from_json(F.lit(json.dumps(terms)), "array<string>"),
+                        lambda t: F.contains(hay, t)) if terms else X.empty_strings()
+
+    # the long texts are read once; what follows scans ids, filter columns and found terms
+    s = cut(silver.select(
+        "facility_id", "name", "address_state", "address_city", "facility_type", "specialties",
+        hits(F.concat_ws("\n", "searchable_text", F.array_join("specialties", "\n")))
+        .alias("_hits")))
+    g = cut(gold.where(F.col("trust_score").isNotNull()).select(
+        "facility_id", "name", "trust_score", "has_icu", "has_emergency", "has_24_7",
+        "number_doctors", "inferred_doctors", "contradictions",
+        hits(F.array_join("capabilities", "\n")).alias("_hits")))
 
     def direct(df, ok):
         """(query, row) for rows that hold a term themselves, or any row without terms."""
@@ -241,11 +245,6 @@ def _search_pass(gold, silver, spec_rows, num_results, ignore_case):
         F.col("trust_score").alias("final_score"))
 
 
-def _json(words: list[str]) -> str:
-    import json
-    return json.dumps(words)
-
-
 def with_details(found: DataFrame, gold: DataFrame, silver: DataFrame) -> DataFrame:
     """Adds the record columns to search hits (at most 100 per query of a pass)."""
     s = silver.select(

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wardline.functions import columns as X, vocab
@@ -30,15 +28,15 @@ def clean_silver(raw: DataFrame) -> DataFrame:
 def completeness(available: list[str], fields: list[str] | None = None) -> Column:
     """Filled share of the key fields, 3 decimals; an absent column counts as unfilled."""
     fields = fields or vocab.KEY_FIELDS
-    filled = [F.when(X.is_missing(F.col(f)), 0).otherwise(1) for f in fields if f in available]
-    total = reduce(lambda a, b: a + b, filled, F.lit(0))
-    return X.half_even(total / F.lit(len(fields)).cast("double"), 3)
+    filled = " + ".join(
+        f"if({X.missing_sql(f)}, 0, 1)" for f in fields if f in available) or "0"
+    return F.expr(f"bround(({filled}) / {len(fields)}D, 3)")
 
 
 def with_missing_fields(silver: DataFrame) -> DataFrame:
     """Names of the missing key fields and the completeness class."""
     names = F.array_compact(F.array(*[
-        F.when(X.is_missing(F.col(f)), F.lit(f)) for f in vocab.KEY_FIELDS
+        F.when(X.is_missing(f), F.lit(f)) for f in vocab.KEY_FIELDS
     ]))
     share = F.col("data_completeness")
     grade = (
@@ -88,7 +86,7 @@ def quality_report(raw: DataFrame, fields: list[str] | None = None) -> DataFrame
     fields = fields or raw.columns
     one_row = raw.agg(
         F.count(F.lit(1)).alias("row_count"),
-        *[F.count_if(X.is_missing(F.col(c))).alias(c) for c in fields],
+        *[F.count_if(X.is_missing(c)).alias(c) for c in fields],
     )
     pairs = F.explode(F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.col(c).alias("missing")) for c in fields

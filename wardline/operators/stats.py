@@ -107,7 +107,7 @@ def map_filter(points: DataFrame, state: str | None = None, keywords: list[str]
     if keywords:
         text = F.lower(F.concat_ws(" ", F.array_join("specialties", " "),
                                    F.array_join("capabilities", " "), "citation", "name"))
-        kept = kept.where(X.any_word(text, [k.strip() for k in keywords]))
+        kept = kept.where(X.any_phrase(text, [k.strip() for k in keywords]))
     return kept
 
 

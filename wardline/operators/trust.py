@@ -17,9 +17,9 @@ def rule_text() -> Column:
                        F.lower(X.text_or_empty(F.col("capability"))))
 
 
-def rule_messages(text: Column, one_doctor_24_7: bool = False) -> dict[str, Column]:
+def rule_messages(text: str, one_doctor_24_7: bool = False) -> dict[str, Column]:
     """Rule name -> message when the rule fires, else null. Unknown claims never fire."""
-    beds = bed_mentions(text)
+    beds = bed_mentions(F.col(text))
     claimed = {c: F.coalesce(F.col(c), F.lit(False)) for c in ("has_surgery", "has_24_7", "has_icu",
                                                              "has_emergency")}
     rules = {
@@ -50,7 +50,7 @@ def rule_messages(text: Column, one_doctor_24_7: bool = False) -> dict[str, Colu
 def with_rules(claimed: DataFrame, one_doctor_24_7: bool = False) -> DataFrame:
     """One `rule_*` message column per rule; the long text is lower-cased once."""
     texted = claimed.withColumn("_rule_text", rule_text())
-    rules = rule_messages(F.col("_rule_text"), one_doctor_24_7)
+    rules = rule_messages("_rule_text", one_doctor_24_7)
     return texted.withColumns({f"rule_{n}": m for n, m in rules.items()}).drop("_rule_text")
 
 
@@ -83,7 +83,7 @@ def trust_completeness() -> Column:
 
 
 def trust_recency() -> Column:
-    return F.when(X.is_missing(F.col("recency_of_page_update")), 2.0).otherwise(8.0)
+    return F.when(X.is_missing("recency_of_page_update"), 2.0).otherwise(8.0)
 
 
 def trust_digital() -> Column:
@@ -99,19 +99,22 @@ def trust_verifiability() -> Column:
 def recency_decay(as_of: str) -> Column:
     """Newer is higher: 10 points, falling by e every twelve months; 0 without a date."""
     updated = F.col("recency_of_page_update").try_cast("date")
-    months = F.greatest(F.months_between(F.lit(as_of).cast("date"), updated), F.lit(0.0))
-    return F.coalesce(X.half_even(F.lit(10.0) * F.exp(-months / 12), 3), F.lit(0.0))
+    months = F.months_between(F.lit(as_of).cast("date"), updated)
+    age = F.when(months > 0, months).otherwise(0.0)
+    points = X.half_even(F.lit(10.0) * F.exp(-age / 12), 3)
+    return F.when(updated.isNotNull(), points).otherwise(0.0)
 
 
-def verifiability_ratio() -> Column:
-    """Share of the true claims backed by a named specific or a standards word, out of 25."""
-    text = rule_text()
-    claimed, backed = F.lit(0), F.lit(0)
+def with_verifiability_ratio(claimed: DataFrame, out: str = "verifiability") -> DataFrame:
+    """Share of the true claims backed by a standards word in the text, out of 25."""
+    texted = claimed.withColumn("_rule_text", rule_text())
+    stated, backed = F.lit(0), F.lit(0)
     for claim, words in vocab.STANDARDS.items():
         on = F.coalesce(F.col(claim), F.lit(False))
-        claimed = claimed + on.cast("int")
-        backed = backed + (on & X.any_word(text, words)).cast("int")
-    return F.coalesce(X.half_even(F.try_divide(backed, claimed) * 25, 1), F.lit(0.0))
+        stated = stated + on.cast("int")
+        backed = backed + (on & X.any_word("_rule_text", words)).cast("int")
+    share = F.coalesce(X.half_even(F.try_divide(backed, stated) * 25, 1), F.lit(0.0))
+    return texted.withColumn(out, share).drop("_rule_text")
 
 
 def trust_display(trust: Column, verdict: Column, corrected: Column) -> Column:

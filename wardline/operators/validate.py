@@ -16,23 +16,25 @@ VALIDATED_ROWS = 5
 POISSON_STEPS = [0.367879, 0.735759, 0.919699, 0.981012, 0.996340, 0.999406]
 
 
-def standards_check(text: Column, standards: dict[str, list[str]] | None = None,
-                    claimed: list[str] | None = None) -> Column:
-    """map<claim, (claimed, supported, evidence, standard_note)>."""
+def with_standards_check(records: DataFrame, text: Column,
+                         standards: dict[str, list[str]] | None = None,
+                         claimed: list[str] | None = None,
+                         out: str = "standards_check") -> DataFrame:
+    """Adds map<claim, (claimed, supported, evidence, standard_note)>."""
     standards = vocab.STANDARDS if standards is None else standards
     claimed = list(standards) if claimed is None else claimed
-    low = F.lower(X.text_or_empty(text))
     entries = []
     for claim, words in standards.items():
         on = F.coalesce(F.col(claim), F.lit(False)) if claim in claimed else F.lit(False)
-        evidence = X.first_word(low, words)
+        evidence = X.first_word("_checked", words)
         entries += [F.lit(claim), F.struct(
             on.alias("claimed"),
             F.when(on, evidence.isNotNull()).alias("supported"),
             F.when(on, evidence).alias("evidence"),
             F.when(on & evidence.isNull(), f"Expected one of: {words[:3]}")
             .alias("standard_note"))]
-    return F.create_map(*entries)
+    lowered = records.withColumn("_checked", F.lower(X.text_or_empty(text)))
+    return lowered.withColumn(out, F.create_map(*entries)).drop("_checked")
 
 
 def standards_long(checked: DataFrame, column: str = "standards_check") -> DataFrame:
@@ -47,14 +49,14 @@ def failed_claims(check: Column) -> Column:
 
 def validate(results: DataFrame) -> DataFrame:
     """Per-claim support, note and verdict from the first 300 characters of the source text."""
-    text = F.substring("source_text", 1, 300)
-    low = F.lower(text)
+    results = results.withColumn("_low", F.lower(F.substring("source_text", 1, 300)))
+    low = F.col("_low")
     on = {c: F.coalesce(F.col(c), F.lit(False)) for c in VALIDATED}
-    support = {c: F.when(on[c], X.any_word(low, vocab.STANDARDS[c])) for c in VALIDATED}
+    support = {c: F.when(on[c], X.any_word("_low", vocab.STANDARDS[c])) for c in VALIDATED}
     checked = results.withColumns({f"{c}_supported": s for c, s in support.items()})
     failed = F.array_compact(F.array(*[
         F.when(~F.col(f"{c}_supported"), F.lit(c)) for c in VALIDATED]))
-    nothing = (F.length(text) < 20) | ~reduce(lambda a, b: a | b, on.values())
+    nothing = (F.length(F.substring("source_text", 1, 300)) < 20) | ~reduce(lambda a, b: a | b, on.values())
     return checked.withColumns({
         "capabilities_supported": F.forall(
             "key_capabilities", lambda c: F.contains(low, F.lower(c))),
@@ -63,7 +65,7 @@ def validate(results: DataFrame) -> DataFrame:
         "validation_note": F.when(nothing, "Text too short or no claim to verify")
         .when(F.size(failed) > 0, F.concat(F.lit("No evidence for "), F.array_join(failed, ", ")))
         .otherwise("All claims supported"),
-    })
+    }).drop("_low")
 
 
 def validate_top(results: DataFrame, rows: int = VALIDATED_ROWS) -> DataFrame:
@@ -104,16 +106,16 @@ def re_extract(answered: DataFrame) -> DataFrame:
     """Disputed rows keep only what the first 600 characters of the source text support."""
     disputed = F.col("validation_verdict") == "DISPUTED"
     text = F.substring("source_text", 1, 600)
-    low = F.lower(text)
-    words = C.ALL_CLAIM_WORDS
-    kept_caps = F.filter("key_capabilities", lambda c: F.contains(low, F.lower(c)))
-    lost_flag = {c: F.coalesce(F.col(c), F.lit(False)) & ~X.any_word(low, vocab.STANDARDS[c])
+    answered = with_standards_check(answered, F.col("source_text"), claimed=VALIDATED) \
+        .withColumns({"_text": text, "_low": F.lower(text)})
+    kept_caps = F.filter("key_capabilities", lambda c: F.contains(F.col("_low"), F.lower(c)))
+    lost_flag = {c: F.coalesce(F.col(c), F.lit(False)) & ~X.any_word("_low", vocab.STANDARDS[c])
                  for c in VALIDATED}
     checked = answered.withColumns({
-        "standards_check": standards_check(F.col("source_text"), claimed=VALIDATED),
         "_caps": F.when(disputed, kept_caps).otherwise(F.col("key_capabilities")),
         **{f"_lost_{c}": disputed & lost for c, lost in lost_flag.items()},
-        "_sentence": F.when(disputed, X.first_sentence_with(text, low, words)),
+        "_sentence": F.when(disputed, X.first_sentence_with(
+            "_text", "_low", C.ALL_CLAIM_WORDS)),
     })
     removed = reduce(lambda a, b: a | b, [F.col(f"_lost_{c}") for c in VALIDATED],
                      F.size("_caps") < F.size("key_capabilities"))
@@ -128,7 +130,7 @@ def re_extract(answered: DataFrame) -> DataFrame:
         "citation": F.coalesce("_sentence", "citation"),
         **{c: F.when(~F.col(f"_lost_{c}"), F.col(c)) for c in VALIDATED},
     }).withColumn("key_capabilities", F.col("_caps")).drop(
-        "_caps", "_sentence", *[f"_lost_{c}" for c in VALIDATED])
+        "_caps", "_sentence", "_text", "_low", *[f"_lost_{c}" for c in VALIDATED])
 
 
 def verdict_counts(answered: DataFrame, rows: int = VALIDATED_ROWS) -> DataFrame:

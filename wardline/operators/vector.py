@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wardline.operators.pairs import top_k
@@ -17,6 +19,9 @@ SCORED_AT_ONCE = 128
 
 OUT = "query_id bigint, vec_id bigint, score double"
 
+# tasks get the scoring functions themselves, so executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _matrix(column: pd.Series) -> np.ndarray:
     m = np.stack(column.to_numpy()).astype(np.float64)

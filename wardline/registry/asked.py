@@ -4,6 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wardline.functions import vocab
+
+# The stored gap table: the six grid specialties and one that the records rarely name.
+TABLE_SPECIALTIES = {**vocab.GAP_SPECIALTIES, "cardiology": vocab.MAP_GROUPS["Cardiology"]}
+
 SCHEMA = """query_id bigint, query string, state string, city string, facility_type string,
  specialties array<string>, requires_icu boolean, requires_emergency boolean,
  requires_24_7 boolean, requires_dialysis boolean, requires_contradictions boolean,

