@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import re
-from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
@@ -20,15 +19,17 @@ def quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def any_word(text: str | Column, words: list[str]) -> Column:
+def word_array(words: list[str]) -> str:
+    return "array(" + ", ".join(quoted(w) for w in words) + ")"
+
+
+def any_word(text: str, words: list[str]) -> Column:
     """True when the text holds one of the words as a substring (case as given).
 
-    Given a column name the whole test is one SQL text: word lists are long, and one
-    parsed expression plans far faster than hundreds of column objects.
+    The word list is one constant array: a long OR chain would make methods too big for
+    the JVM to compile and take longer to plan than to run.
     """
-    if isinstance(text, str):
-        return F.expr(" OR ".join(f"contains({text}, {quoted(w)})" for w in words))
-    return reduce(lambda a, b: a | b, [text.contains(w) for w in words])
+    return F.expr(f"exists({word_array(words)}, w -> contains({text}, w))")
 
 
 def any_phrase(text: Column, phrases: list[str]) -> Column:
@@ -38,13 +39,11 @@ def any_phrase(text: Column, phrases: list[str]) -> Column:
 
 def words_found(text: str, words: list[str]) -> Column:
     """The words the text column holds, in list order."""
-    return F.expr("array_compact(array(" + ", ".join(
-        f"if(contains({text}, {quoted(w)}), {quoted(w)}, null)" for w in words) + "))")
+    return F.expr(f"filter({word_array(words)}, w -> contains({text}, w))")
 
 
 def first_word(text: str, words: list[str]) -> Column:
-    return F.expr("CASE " + " ".join(
-        f"WHEN contains({text}, {quoted(w)}) THEN {quoted(w)}" for w in words) + " END")
+    return F.get(words_found(text, words), F.lit(0))
 
 
 def text_or_empty(c: Column) -> Column:
@@ -90,8 +89,8 @@ def first_sentence_with(text: str, lowered: str, words: list[str]) -> Column:
     The earliest word position gives the number of sentence breaks before it, so no
     sentence is searched on its own. `lowered` is the lower-cased text.
     """
-    spots = ", ".join(f"nullif(instr({lowered}, {quoted(w)}), 0)" for w in words)
-    first = f"least({spots})" if len(words) > 1 else spots
+    first = (f"array_min(filter(transform({word_array(words)}, w -> instr({lowered}, w)), "
+             "p -> p > 0))")
     breaks = quoted(SENTENCE_BREAK)
     return F.expr(f"get(split({text}, {breaks}), "
                   f"size(split(substring({lowered}, 1, {first} - 1), {breaks})) - 1)")

@@ -21,11 +21,9 @@ def contains_join(texts: DataFrame, text_id: str, text: str,
         .withColumn("_gram", F.substring(needle, 1, GRAM))
     )
     starts = keyed.select("_gram").distinct()
-    grams = F.explode(F.array_distinct(F.flatten(F.array(*[
-        F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))),
-                    lambda i, n=n: F.substring(F.col(text), i, n))
-        for n in range(1, GRAM + 1)
-    ]))))
+    grams = F.expr("explode(array_distinct(flatten(array(" + ", ".join(
+        f"transform(sequence(1, greatest(length({text}) - {n - 1}, 1)), "
+        f"i -> substring({text}, i, {n}))" for n in range(1, GRAM + 1)) + "))))")
     pieces = (
         texts.select(text_id, grams.alias("_gram")).join(starts, "_gram", "left_semi")
         .withColumn("_salt", F.pmod(F.xxhash64(text_id), F.lit(SALTS)))

@@ -88,11 +88,11 @@ def _blocks(queries, vectors, k, skip_same):
     """Query blocks against vector groups; every (block, group) pair is one bounded task."""
     blocks = -(-2 * queries.count() // QUERIES_PER_BLOCK)
     groups = max(1, -(-2 * vectors.count() // VECTORS_PER_GROUP))
-    q = queries.select("query_id", "embedding").withColumns({
+    q = queries.select("query_id", F.col("embedding").alias("asked")).withColumns({
         "block": F.pmod(F.xxhash64("query_id"), F.lit(blocks)),
         "group": F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(groups - 1).cast("bigint"))),
     })
-    v = vectors.withColumns({
+    v = vectors.select("vec_id", F.col("embedding").alias("stored")).withColumns({
         "group": F.pmod(F.xxhash64("vec_id"), F.lit(groups)),
         "block": F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))),
     })
@@ -100,8 +100,8 @@ def _blocks(queries, vectors, k, skip_same):
     def score(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        return _best(a["query_id"].to_numpy(), _matrix(a["embedding"]),
-                     b["vec_id"].to_numpy(), _matrix(b["embedding"]), k, skip_same)
+        return _best(a["query_id"].to_numpy(), _matrix(a["asked"]),
+                     b["vec_id"].to_numpy(), _matrix(b["stored"]), k, skip_same)
 
     return q.groupBy("block", "group").cogroup(v.groupBy("block", "group")) \
         .applyInPandas(score, OUT)
