@@ -148,11 +148,13 @@ def evidence_sentence(silver: DataFrame, claims: dict[str, list[str]] | None = N
     })
     field = F.coalesce(*[F.when(X.any_word(f"_{f}", words), F.lit(f))
                          for f in TEXT_FIELDS])
-    return (
-        lowered.withColumn("source_field", field).where("source_field IS NOT NULL")
-        .select("facility_id", "source_field",
-                sentence_of("source_field", words).alias("source_sentence"))
-    )
+    found = lowered.withColumn("source_field", field) \
+        .withColumn("source_sentence", sentence_of("source_field", words))
+    # unfolding drops rows without a sentence; a filter would be pushed below the projection
+    # and search the texts once more
+    kept = F.filter(F.array(F.struct("source_field", "source_sentence")),
+                    lambda e: e.getField("source_sentence").isNotNull())
+    return found.select("facility_id", F.inline(kept))
 
 
 def split_failures(claimed: DataFrame) -> tuple[DataFrame, DataFrame]:

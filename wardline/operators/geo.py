@@ -1,9 +1,9 @@
 """Distances, radius counts and nearest places as equi-joins on grid cells.
 
-Records are first reduced to their distinct points, points to fine cells (0.01 degree)
-and those to coarse cells (1 degree).  Cell pairs are decided whole where the distance
-bounds allow it, so the number of point pairs looked at depends on the shape of the
-map and not on how many records share a cell.
+Records are first reduced to their distinct points, and points to nested cells of 1, 0.05
+and 0.01 degrees.  Pairs of cells are decided whole where the distance bounds allow it and
+only the undecided ones are opened, so the number of pairs looked at depends on the shape
+of the map and not on how many records share a cell.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from wardline.functions import columns as X
 from wardline.sources.layers import cut
 
-FINE = 0.01
+# (size in degrees, column prefix) of the cells inside a coarse one, from large to small.
+LEVELS = [(0.05, "m"), (0.01, "f")]
 SLACK_KM = 0.01
 
 
@@ -27,10 +28,6 @@ def distance_to_reference(df: DataFrame, lat: float, lng: float,
     return df.withColumn(out, X.half_even(km, 3))
 
 
-def _cell(c: Column, size: float) -> Column:
-    return F.floor(c / F.lit(size)).cast("bigint")
-
-
 def _centre(cell: Column, size: float) -> Column:
     return (cell + F.lit(0.5)) * F.lit(size)
 
@@ -61,16 +58,22 @@ def _neighbour_cells(cells: DataFrame, radius_km: float) -> DataFrame:
 
 
 def _with_cells(points: DataFrame) -> DataFrame:
-    lat, lng = F.col("latitude"), F.col("longitude")
+    """Whole-number cells of each point; the larger ones are derived from the smallest, so
+    a cell lies in exactly one cell of the level above."""
+    points = points.withColumns({
+        "f_row": F.floor(F.col("latitude") * 100), "f_col": F.floor(F.col("longitude") * 100)})
     return points.withColumns({
-        "f_row": _cell(lat, FINE), "f_col": _cell(lng, FINE),
-        "row": F.floor(lat).cast("bigint"), "col": F.floor(lng).cast("bigint"),
-    })
+        f"{to}{axis}": F.floor(F.col(f"f_{axis}") / n)
+        for to, n in (("m_", 5), ("", 100)) for axis in ("row", "col")})
+
 
+def _cell_km(a: list[str], b: list[str], size: float) -> Column:
+    return X.haversine_km(_centre(F.col(a[0]), size), _centre(F.col(a[1]), size),
+                          _centre(F.col(b[0]), size), _centre(F.col(b[1]), size))
 
-def _cell_km(a_row: str, a_col: str, b_row: str, b_col: str, size: float) -> Column:
-    return X.haversine_km(_centre(F.col(a_row), size), _centre(F.col(a_col), size),
-                          _centre(F.col(b_row), size), _centre(F.col(b_col), size))
+
+def _target(names: list[str]) -> list[str]:
+    return [f"t_{n}" for n in names]
 
 
 def radius_counts(places: DataFrame, targets: DataFrame, radii: list[float],
@@ -89,50 +92,57 @@ def radius_counts(places: DataFrame, targets: DataFrame, radii: list[float],
         & F.exists(F.array(*measures), lambda m: m != 0))
     held = cut(_with_cells(wanted.groupBy("latitude", "longitude").agg(
         *[F.sum(m).alias(m) for m in measures])))
-    farthest, reach = max(radii), 2 * _reach(FINE)
-
-    asked_cells = asked.select("row", "col", "f_row", "f_col").distinct()
-    held_cells = held.groupBy("row", "col", "f_row", "f_col").agg(
-        *[F.sum(m).alias(m) for m in measures]).withColumnsRenamed(
-        {"row": "near_row", "col": "near_col", "f_row": "t_row", "f_col": "t_col"})
-    around = _neighbour_cells(asked_cells.select("row", "col").distinct(), farthest)
-    km = _cell_km("f_row", "f_col", "t_row", "t_col", FINE)
-    cell_pairs = (
-        asked_cells.join(around, ["row", "col"]).join(held_cells, ["near_row", "near_col"])
-        .withColumn("km", km).where(F.col("km") <= farthest + reach + SLACK_KM)
-    )
     names = {(m, r): f"{m}_{r:g}km" for r in radii for m in measures}
-    inside = {r: F.col("km") <= r - reach - SLACK_KM for r in radii}
-    edge = {r: ~inside[r] & (F.col("km") <= r + reach + SLACK_KM) for r in radii}
+    open_ = {r: f"open_{r:g}" for r in radii}
     zero = F.lit(0).cast("bigint")
-    whole = cell_pairs.groupBy("f_row", "f_col").agg(*[
-        F.sum(F.when(inside[r], F.col(m)).otherwise(zero)).alias(n)
-        for (m, r), n in names.items()])
-    on_edge = cell_pairs.where(reduce(lambda a, b: a | b, edge.values())).select(
-        "f_row", "f_col", "t_row", "t_col",
-        *[edge[r].alias(f"edge_{r:g}") for r in radii])
-    a = asked.select("latitude", "longitude", "f_row", "f_col")
+
+    parent = ["row", "col"]
+    pairs = _neighbour_cells(asked.select(*parent).distinct(), max(radii)) \
+        .withColumnsRenamed({"near_row": "t_row", "near_col": "t_col"}) \
+        .withColumns({c: F.lit(True) for c in open_.values()})
+    decided = []
+    for size, prefix in LEVELS:
+        own, reach = [f"{prefix}_row", f"{prefix}_col"], 2 * _reach(size) + SLACK_KM
+        here = asked.select(*parent, *own).distinct()
+        there = held.groupBy(*parent, *own).agg(*[F.sum(m).alias(m) for m in measures]) \
+            .withColumnsRenamed({c: f"t_{c}" for c in parent + own})
+        km = F.col("km")
+        met = here.join(pairs, parent).join(there, _target(parent)) \
+            .withColumn("km", _cell_km(own, _target(own), size)) \
+            .where(km <= max(radii) + reach)
+        inside = {r: F.col(open_[r]) & (km <= r - reach) for r in radii}
+        edge = {r: F.col(open_[r]) & (km > r - reach) & (km <= r + reach) for r in radii}
+        decided.append((own, met.groupBy(*own).agg(*[
+            F.sum(F.when(inside[r], F.col(m)).otherwise(zero)).alias(f"{prefix}_{n}")
+            for (m, r), n in names.items()])))
+        pairs = cut(met.where(reduce(lambda x, y: x | y, edge.values())).select(
+            *own, *_target(own), *[edge[r].alias(open_[r]) for r in radii]))
+        parent = own
+
+    a = asked.select("latitude", "longitude", *parent)
     t = held.select(F.col("latitude").alias("t_lat"), F.col("longitude").alias("t_lng"),
-                    F.col("f_row").alias("t_row"), F.col("f_col").alias("t_col"), *measures)
+                    *[F.col(c).alias(f"t_{c}") for c in parent], *measures)
     point_km = X.haversine_km(F.col("latitude"), F.col("longitude"),
                               F.col("t_lat"), F.col("t_lng"))
     exact = (
-        on_edge.join(a, ["f_row", "f_col"]).join(t, ["t_row", "t_col"])
-        .withColumn("km", point_km)
+        pairs.join(a, parent).join(t, _target(parent)).withColumn("km", point_km)
         .groupBy("latitude", "longitude").agg(*[
-            F.sum(F.when(F.col(f"edge_{r:g}") & (F.col("km") <= r), F.col(m)).otherwise(zero))
+            F.sum(F.when(F.col(open_[r]) & (F.col("km") <= r), F.col(m)).otherwise(zero))
             .alias(f"x_{n}") for (m, r), n in names.items()])
     )
-    own = {m: (F.coalesce(F.col(c), zero) if c else zero)
-           for m, c in zip(measures, exclude_self or [None] * len(measures))}
-    per_point = a.join(whole, ["f_row", "f_col"], "left") \
-        .join(exact, ["latitude", "longitude"], "left").select(
-            "latitude", "longitude",
-            *[(F.coalesce(n, zero) + F.coalesce(f"x_{n}", zero)).alias(n)
-              for n in names.values()])
+    per_point = asked
+    for own, sums in decided:
+        per_point = per_point.join(sums, own, "left")
+    per_point = per_point.join(exact, ["latitude", "longitude"], "left").select(
+        "latitude", "longitude", *[
+            reduce(lambda x, y: x + y, [
+                F.coalesce(f"{k}_{n}", zero) for k in [*[p for _, p in LEVELS], "x"]]).alias(n)
+            for n in names.values()])
+    own_share = {m: (F.coalesce(F.col(c), zero) if c else zero)
+                 for m, c in zip(measures, exclude_self or [None] * len(measures))}
     return places.join(per_point, ["latitude", "longitude"], "left").withColumns({
         n: F.when(F.col("latitude").isNotNull() & F.col("longitude").isNotNull(),
-                  F.coalesce(n, zero) - own[m]) for (m, _), n in names.items()})
+                  F.coalesce(n, zero) - own_share[m]) for (m, _), n in names.items()})
 
 
 def nearest(places: DataFrame, targets: DataFrame, key: str | None = None,
@@ -155,55 +165,57 @@ def nearest(places: DataFrame, targets: DataFrame, key: str | None = None,
     held = cut(_with_cells(held.groupBy("latitude", "longitude", *keys).agg(
         F.min(label).alias("label") if label else F.lit(None).cast("string").alias("label"))))
 
-    def target_cells(*extra: str) -> DataFrame:
-        return held.groupBy("row", "col", *extra, *keys).agg(
-            F.count(F.lit(1)).alias("held")).withColumnsRenamed(
-            {"row": "near_row", "col": "near_col", "f_row": "t_row", "f_col": "t_col"})
+    def target_cells(*cells: str) -> DataFrame:
+        return held.groupBy(*cells, *keys).agg(F.count(F.lit(1)).alias("held")) \
+            .withColumnsRenamed({c: f"t_{c}" for c in cells})
 
-    def usable(same_cell: Column) -> Column:
+    def bounds(cells: list[str]) -> Column:
         """Distances that bound the nearest one: a lone target may be the place itself."""
         km = F.col("km")
-        return F.when(~same_cell | (F.col("held") > 1), km) if other_points else km
+        if not other_points:
+            return km
+        same = reduce(lambda x, y: x & y, [F.col(c) == F.col(f"t_{c}") for c in cells])
+        return F.when(~same | (F.col("held") > 1), km)
 
-    def near_bound(reach: float) -> Column:
+    def reachable(reach: float) -> Column:
         return F.col("best").isNull() | (F.col("km") - reach <= F.col("best") + reach)
 
     # coarse cells: keep target cells that can hold the nearest point of some place
-    p1, t1 = points.select("row", "col").distinct(), target_cells()
-    reach = 2 * _reach(1.0) + SLACK_KM
-    km1 = _cell_km("row", "col", "near_row", "near_col", 1.0)
-    same1 = (F.col("row") == F.col("near_row")) & (F.col("col") == F.col("near_col"))
-    close = _neighbour_cells(p1, near_km).join(t1, ["near_row", "near_col"]) \
-        .withColumn("km", km1)
-    bound = close.groupBy("row", "col", *keys).agg(F.min(usable(same1)).alias("best"))
+    parent = ["row", "col"]
+    p1, t1 = points.select(*parent).distinct(), target_cells(*parent)
+    reach, km1 = 2 * _reach(1.0) + SLACK_KM, _cell_km(parent, _target(parent), 1.0)
+    close = _neighbour_cells(p1, near_km).withColumnsRenamed(
+        {"near_row": "t_row", "near_col": "t_col"}) \
+        .join(t1, _target(parent)).withColumn("km", km1)
     # a bound that reaches past the searched ring proves nothing
-    safe = bound.where(F.col("best") + reach <= near_km - reach)
-    pairs = close.join(safe, ["row", "col", *keys]).where(near_bound(reach))
-    rest = _keys(p1, t1, keys).join(safe, ["row", "col", *keys], "left_anti")
+    safe = close.groupBy(*parent, *keys).agg(F.min(bounds(parent)).alias("best")) \
+        .where(F.col("best") + reach <= near_km - reach)
+    pairs = close.join(safe, [*parent, *keys]).where(reachable(reach))
+    rest = _keys(p1, t1, keys).join(safe, [*parent, *keys], "left_anti")
     # few coarse cells are left here, and there are at most 64,800 of them on the globe
     far = _meet(rest, t1, keys).withColumn("km", km1)
-    far = far.withColumn("best", F.min(usable(same1)).over(
-        Window.partitionBy("row", "col", *keys))).where(near_bound(reach))
-    cols = ["row", "col", "near_row", "near_col", *keys]
-    coarse = cut(pairs.select(*cols).union(far.select(*cols)))
-
-    # fine cells inside the surviving coarse pairs
-    p2 = points.select("row", "col", "f_row", "f_col").distinct()
-    reach2 = 2 * _reach(FINE) + SLACK_KM
-    same2 = (F.col("f_row") == F.col("t_row")) & (F.col("f_col") == F.col("t_col"))
-    fine = p2.join(coarse, ["row", "col"]) \
-        .join(target_cells("f_row", "f_col"), ["near_row", "near_col", *keys]) \
-        .withColumn("km", _cell_km("f_row", "f_col", "t_row", "t_col", FINE)) \
-        .select("f_row", "f_col", "t_row", "t_col", "km", "held", *keys)
-    bound2 = fine.groupBy("f_row", "f_col", *keys).agg(F.min(usable(same2)).alias("best"))
-    fine = fine.join(bound2, ["f_row", "f_col", *keys]).where(near_bound(reach2))
-
-    p3 = points.select("latitude", "longitude", "f_row", "f_col")
-    t3 = held.select(*keys, "label", F.col("latitude").alias("t_lat"),
-                     F.col("longitude").alias("t_lng"), F.col("f_row").alias("t_row"),
-                     F.col("f_col").alias("t_col"))
-    met = p3.join(fine.drop("km", "best", "held"), ["f_row", "f_col"]) \
-        .join(t3, ["t_row", "t_col", *keys])
+    far = far.withColumn("best", F.min(bounds(parent)).over(
+        Window.partitionBy(*parent, *keys))).where(reachable(reach))
+    cols = [*parent, *_target(parent), *keys]
+    pairs = cut(pairs.select(*cols).union(far.select(*cols)))
+
+    # smaller cells inside the surviving pairs, cut the same way
+    for size, prefix in LEVELS:
+        own, reach = [f"{prefix}_row", f"{prefix}_col"], 2 * _reach(size) + SLACK_KM
+        met = points.select(*parent, *own).distinct().join(pairs, parent) \
+            .join(target_cells(*parent, *own), [*_target(parent), *keys]) \
+            .withColumn("km", _cell_km(own, _target(own), size)) \
+            .select(*own, *_target(own), "km", "held", *keys)
+        best = met.groupBy(*own, *keys).agg(F.min(bounds(own)).alias("best"))
+        pairs = cut(met.join(best, [*own, *keys]).where(reachable(reach))
+                    .select(*own, *_target(own), *keys))
+        parent = own
+
+    there = held.select(*keys, "label", F.col("latitude").alias("t_lat"),
+                        F.col("longitude").alias("t_lng"),
+                        *[F.col(c).alias(f"t_{c}") for c in parent])
+    met = points.select("latitude", "longitude", *parent).join(pairs, parent) \
+        .join(there, [*_target(parent), *keys])
     if other_points:
         met = met.where((F.col("latitude") != F.col("t_lat"))
                         | (F.col("longitude") != F.col("t_lng")))

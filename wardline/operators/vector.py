@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -23,12 +24,15 @@ OUT = "query_id bigint, vec_id bigint, score double"
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    m = np.stack(column.to_numpy()).astype(np.float64)
+def _unit(m: np.ndarray) -> np.ndarray:
     norm = np.linalg.norm(m, axis=1, keepdims=True)
     return m / np.where(norm == 0, 1.0, norm)
 
 
+def _matrix(column: pd.Series) -> np.ndarray:
+    return _unit(np.stack(column.to_numpy()).astype(np.float64))
+
+
 def _best(query_ids, q, vec_ids, v, k, skip_same) -> pd.DataFrame:
     """The k best vectors of one batch per query, ties by id, scores to 4 decimals."""
     by_id = np.argsort(vec_ids, kind="stable")
@@ -61,8 +65,14 @@ def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int = 50,
     if where is not None:
         vectors = vectors.where(where)
     vectors = vectors.select("vec_id", "embedding")
-    if queries.limit(QUERIES_PER_BLOCK + 1).count() <= QUERIES_PER_BLOCK:
-        partial = _scan(queries, vectors, k, skip_same)
+    vectors = vectors.where(F.col("embedding").isNotNull())
+    queries = queries.where(F.col("embedding").isNotNull()).select("query_id", "embedding")
+    few = queries.limit(QUERIES_PER_BLOCK + 1).toPandas()
+    if few.empty:
+        return vectors.sparkSession.createDataFrame(
+            [], "query_id bigint, rank int, vec_id bigint, score double")
+    if len(few) <= QUERIES_PER_BLOCK:
+        partial = _scan(few, vectors, k, skip_same)
     else:
         partial = _blocks(queries, vectors, k, skip_same)
     order = [F.col("score").desc(), F.col("vec_id")]
@@ -70,18 +80,19 @@ def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int = 50,
         "query_id", "rank", "vec_id", "score")
 
 
-def _scan(queries, vectors, k, skip_same):
-    rows = queries.select("query_id", "embedding").limit(QUERIES_PER_BLOCK).toPandas()
-    if rows.empty:
-        return vectors.sparkSession.createDataFrame([], OUT)
-    q, ids = _matrix(rows["embedding"]), rows["query_id"].to_numpy()
+def _scan(few: pd.DataFrame, vectors: DataFrame, k: int, skip_same: bool) -> DataFrame:
+    """The counted query vectors against every batch; the lists stay flat Arrow buffers."""
+    q, ids = _matrix(few["embedding"]), few["query_id"].to_numpy()
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if len(b):
-                yield _best(ids, q, b["vec_id"].to_numpy(), _matrix(b["embedding"]), k, skip_same)
+            if b.num_rows:
+                flat = b.column("embedding").flatten().to_numpy(zero_copy_only=False)
+                v = _unit(flat.reshape(b.num_rows, -1).astype(np.float64))
+                best = _best(ids, q, b.column("vec_id").to_numpy(), v, k, skip_same)
+                yield pa.RecordBatch.from_pandas(best, preserve_index=False)
 
-    return vectors.mapInPandas(score, OUT)
+    return vectors.mapInArrow(score, OUT)
 
 
 def _blocks(queries, vectors, k, skip_same):
