@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wardline.functions import columns as X, vocab
 from wardline.operators import intents
+from wardline.sources.layers import cut
 
 TOP_GAPS_PER_QUESTION = 50
 
@@ -173,7 +174,8 @@ def gap_lookup(questions: DataFrame, gaps: DataFrame,
     member = asked.select("wanted").distinct().where(F.col("wanted") != "").select(
         "wanted", F.explode(F.split("wanted", ",")).alias("specialty"))
     w = Window.partitionBy("wanted").orderBy(*gap_order())
-    ranked = (
+    # at most one list of 50 per subset: stored, so the questions are not shuffled to meet it
+    ranked = cut(
         gaps.join(member, "specialty").withColumn("rank", F.row_number().over(w))
         .where(F.col("rank") <= TOP_GAPS_PER_QUESTION)
     )

@@ -72,6 +72,14 @@ def _cell_km(a: list[str], b: list[str], size: float) -> Column:
                           _centre(F.col(b[0]), size), _centre(F.col(b[1]), size))
 
 
+def _fan(df: DataFrame, cells: list[str]) -> DataFrame:
+    """Spread few rows that will meet many others over all tasks."""
+    spark = df.sparkSession
+    wanted = spark.conf.get("spark.sql.shuffle.partitions", "")
+    n = int(wanted) if wanted.isdigit() else spark.sparkContext.defaultParallelism
+    return df.repartition(n, *cells)
+
+
 def _target(names: list[str]) -> list[str]:
     return [f"t_{n}" for n in names]
 
@@ -103,7 +111,7 @@ def radius_counts(places: DataFrame, targets: DataFrame, radii: list[float],
     decided = []
     for size, prefix in LEVELS:
         own, reach = [f"{prefix}_row", f"{prefix}_col"], 2 * _reach(size) + SLACK_KM
-        here = asked.select(*parent, *own).distinct()
+        here = _fan(asked.select(*parent, *own).distinct(), own)
         there = held.groupBy(*parent, *own).agg(*[F.sum(m).alias(m) for m in measures]) \
             .withColumnsRenamed({c: f"t_{c}" for c in parent + own})
         km = F.col("km")
@@ -125,7 +133,8 @@ def radius_counts(places: DataFrame, targets: DataFrame, radii: list[float],
     point_km = X.haversine_km(F.col("latitude"), F.col("longitude"),
                               F.col("t_lat"), F.col("t_lng"))
     exact = (
-        pairs.join(a, parent).join(t, _target(parent)).withColumn("km", point_km)
+        _fan(a, ["latitude", "longitude"]).join(pairs, parent).join(t, _target(parent))
+        .withColumn("km", point_km)
         .groupBy("latitude", "longitude").agg(*[
             F.sum(F.when(F.col(open_[r]) & (F.col("km") <= r), F.col(m)).otherwise(zero))
             .alias(f"x_{n}") for (m, r), n in names.items()])
@@ -182,7 +191,7 @@ def nearest(places: DataFrame, targets: DataFrame, key: str | None = None,
 
     # coarse cells: keep target cells that can hold the nearest point of some place
     parent = ["row", "col"]
-    p1, t1 = points.select(*parent).distinct(), target_cells(*parent)
+    p1, t1 = _fan(points.select(*parent).distinct(), parent), target_cells(*parent)
     reach, km1 = 2 * _reach(1.0) + SLACK_KM, _cell_km(parent, _target(parent), 1.0)
     close = _neighbour_cells(p1, near_km).withColumnsRenamed(
         {"near_row": "t_row", "near_col": "t_col"}) \
@@ -202,7 +211,7 @@ def nearest(places: DataFrame, targets: DataFrame, key: str | None = None,
     # smaller cells inside the surviving pairs, cut the same way
     for size, prefix in LEVELS:
         own, reach = [f"{prefix}_row", f"{prefix}_col"], 2 * _reach(size) + SLACK_KM
-        met = points.select(*parent, *own).distinct().join(pairs, parent) \
+        met = _fan(points.select(*parent, *own).distinct(), own).join(pairs, parent) \
             .join(target_cells(*parent, *own), [*_target(parent), *keys]) \
             .withColumn("km", _cell_km(own, _target(own), size)) \
             .select(*own, *_target(own), "km", "held", *keys)
@@ -214,7 +223,8 @@ def nearest(places: DataFrame, targets: DataFrame, key: str | None = None,
     there = held.select(*keys, "label", F.col("latitude").alias("t_lat"),
                         F.col("longitude").alias("t_lng"),
                         *[F.col(c).alias(f"t_{c}") for c in parent])
-    met = points.select("latitude", "longitude", *parent).join(pairs, parent) \
+    met = _fan(points.select("latitude", "longitude", *parent), ["latitude", "longitude"]) \
+        .join(pairs, parent) \
         .join(there, [*_target(parent), *keys])
     if other_points:
         met = met.where((F.col("latitude") != F.col("t_lat"))

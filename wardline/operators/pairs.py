@@ -5,11 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 SALTS = 32
+# Spark cuts row_number groups on the map side up to this k (windowGroupLimitThreshold).
+MAP_SIDE_K = 1000
 
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, salt_on: str | None = None,
           rank: str = "rank") -> DataFrame:
-    """First k rows per key. With `salt_on`, a hot key is cut down in 32 parts first."""
+    """First k rows per key. With `salt_on`, a hot key is cut down in 32 parts first.
+
+    Up to MAP_SIDE_K every map task sends at most k rows per key; for a larger k the
+    rows of one input partition form the first part, so no group outgrows a split.
+    """
+    if salt_on is not None and k > MAP_SIDE_K:
+        w = Window.partitionBy(*keys, "_split").orderBy(*order)
+        df = (df.withColumn("_split", F.spark_partition_id())
+              .withColumn(rank, F.row_number().over(w))
+              .where(F.col(rank) <= k).drop("_split", rank))
     if salt_on is not None:
         part = F.pmod(F.xxhash64(salt_on), F.lit(SALTS))
         w = Window.partitionBy(*keys, "_part").orderBy(*order)

@@ -246,7 +246,12 @@ def _search_pass(gold, silver, spec_rows, num_results, ignore_case):
 
 
 def with_details(found: DataFrame, gold: DataFrame, silver: DataFrame) -> DataFrame:
-    """Adds the record columns to search hits (at most 100 per query of a pass)."""
+    """Adds the record columns to search hits.
+
+    The hits (at most 100 per query) are stored first, so Spark sees how few they are and
+    scans the wide tables in place instead of shuffling them.
+    """
+    found = cut(found)
     s = silver.select(
         F.col("facility_id").alias("silver_id"), "address_state", "address_city", "address_zip",
         "facility_type", "latitude", "longitude", "specialties", "description",

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from wardline.functions import columns as X
 from wardline.operators.pairs import first_pairs
+from wardline.sources.layers import cut
 
 MAP_POINTS = 2000
 
@@ -43,12 +44,17 @@ def map_points(gold: DataFrame, silver: DataFrame, limit: int = MAP_POINTS) -> D
     s = silver.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()).select(
         "name", F.col("facility_id").alias("silver_id"), "address_state", "address_city",
         "facility_type", "latitude", "longitude", "specialties")
-    g_key = g.select("name", "gold_id", "trust_score")
-    s_key = s.select("name", "silver_id")
     order = [F.col("trust_score").desc(), F.col("gold_id"), F.col("silver_id")]
-    best = first_pairs(
-        g_key, s_key, ["name"], order[:2], [F.col("silver_id")], limit, "gold_id", "silver_id",
-    ).orderBy(*order).limit(limit)
+    # every gold row that joins at all gives a pair, so the first pairs come from the
+    # first `limit` of those rows
+    top = cut(g.select("name", "gold_id", "trust_score")
+              .join(s.select("name").distinct(), "name", "left_semi")
+              .orderBy(*order[:2]).limit(limit))
+    mates = s.select("name", "silver_id").join(
+        top.select("name").distinct(), "name", "left_semi")
+    best = cut(first_pairs(
+        top, mates, ["name"], order[:2], [F.col("silver_id")], limit, "gold_id", "silver_id",
+    ).orderBy(*order).limit(limit))
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     return (
         best.select("gold_id", "silver_id")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from wardline.sources.layers import cut
+
 # Names of the source columns that the engine stores under shorter names.
 RENAMED = {
     "address_stateOrRegion": "address_state",
@@ -13,14 +15,16 @@ RENAMED = {
 
 
 def read_facilities(spark: SparkSession, path: str, max_rows: int | None = None,
-                    schema: str | None = None) -> DataFrame:
-    """CSV with header (quoted multi-line text allowed) and a zero-padded id in file order.
+                    schema: str | None = None, multi_line: bool = True) -> DataFrame:
+    """CSV with header and a zero-padded id in file order.
 
     Two passes without a shuffle of the records: the first counts rows per file split,
-    the second adds the split's offset to the row's position. Ids are padded to five
-    digits and never cut.
+    the second adds the split's offset to the row's position. The counts are stored, so
+    Spark sees their size and broadcasts them while they are small. Ids are padded to five
+    digits and never cut. Files whose texts hold line breaks need `multi_line`, and are
+    then read one file per task; without it large files are split.
     """
-    reader = (spark.read.option("header", True).option("multiLine", True)
+    reader = (spark.read.option("header", True).option("multiLine", multi_line)
               .option("escape", '"').option("nullValue", ""))
     raw = reader.schema(schema).csv(path) if schema else reader.csv(path)
     placed = raw.select("*", F.col("_metadata.file_path").alias("_file"),
@@ -31,7 +35,7 @@ def read_facilities(spark: SparkSession, path: str, max_rows: int | None = None,
     # one row per file split, not per record
     before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.withColumn("_offset", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
-    numbered = placed.join(offsets.drop("_rows"), ["_file", "_start"]).withColumn(
+    numbered = placed.join(cut(offsets.drop("_rows")), ["_file", "_start"]).withColumn(
         "_index", F.col("_at") - F.col("_first") + F.col("_offset"))
     if max_rows:
         numbered = numbered.where(F.col("_index") < max_rows)
