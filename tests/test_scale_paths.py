@@ -118,7 +118,9 @@ def clustered(seed, n):
     return [(i, round(a, 4), round(b, 4)) for i, (a, b) in enumerate(pts)]
 
 
-def test_radius_counts_match_brute_force(spark):
+@pytest.mark.parametrize("slot_pairs", [10**6, 0])
+def test_radius_counts_match_brute_force(spark, monkeypatch, slot_pairs):
+    monkeypatch.setattr(geo, "POINT_PAIRS_PER_SLOT", slot_pairs)
     pts = clustered(3, 60)
     able = {i: i % 3 == 0 for i, _, _ in pts}
     df = spark.createDataFrame([(i, a, b, int(able[i])) for i, a, b in pts],
@@ -130,8 +132,9 @@ def test_radius_counts_match_brute_force(spark):
         assert got[i] == (sum(x <= 50 for x in near), sum(x <= 100 for x in near)), (i, a, b)
 
 
-@pytest.mark.parametrize("every", [3, 40])
-def test_nearest_matches_brute_force(spark, every):
+@pytest.mark.parametrize("every, slot_pairs", [(3, 10**6), (3, 0), (40, 0)])
+def test_nearest_matches_brute_force(spark, monkeypatch, every, slot_pairs):
+    monkeypatch.setattr(geo, "POINT_PAIRS_PER_SLOT", slot_pairs)
     pts = clustered(4, 40)
     df = spark.createDataFrame(
         [(f"{i:05d}", a, b, i % every == 0) for i, a, b in pts],

@@ -106,14 +106,10 @@ def literal_table(rows: list, schema: str) -> Column:
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    half_dphi = F.radians(lat2 - lat1) / 2
-    half_dlam = F.radians(lon2 - lon1) / 2
-    a = (
-        F.sin(half_dphi) * F.sin(half_dphi)
-        + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.sin(half_dlam) * F.sin(half_dlam)
-    )
-    a = F.least(a, F.lit(1.0))
-    return F.lit(2 * EARTH_KM) * F.atan2(F.sqrt(a), F.sqrt(1 - a))
+    sin_phi, sin_lam = F.sin(F.radians(lat2 - lat1) / 2), F.sin(F.radians(lon2 - lon1) / 2)
+    a = (sin_phi * sin_phi
+         + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * sin_lam * sin_lam)
+    return F.lit(2 * EARTH_KM) * F.asin(F.least(F.sqrt(a), F.lit(1.0)))
 
 
 def gap_severity(count: Column, total: Column) -> Column:

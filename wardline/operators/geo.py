@@ -1,9 +1,10 @@
 """Distances, radius counts and nearest places as equi-joins on grid cells.
 
-Records are first reduced to their distinct points, and points to nested cells of 1, 0.05
-and 0.01 degrees.  Pairs of cells are decided whole where the distance bounds allow it and
-only the undecided ones are opened, so the number of pairs looked at depends on the shape
-of the map and not on how many records share a cell.
+Records are first reduced to their distinct points, and points to nested cells from 1 down
+to 0.0004 degrees.  Pairs of cells are decided whole where the distance bounds allow it and
+only the undecided ones are opened, level by level while they hold many point pairs, so the
+number of pairs looked at depends on the shape of the map and not on how many records
+share a cell.
 """
 
 from __future__ import annotations
@@ -17,8 +18,12 @@ from wardline.functions import columns as X
 from wardline.sources.layers import cut
 
 # (size in degrees, column prefix) of the cells inside a coarse one, from large to small.
-LEVELS = [(0.05, "m"), (0.01, "f")]
-SLACK_KM = 0.01
+LEVELS = [(0.05, "m"), (0.01, "f"), (0.002, "d"), (0.0004, "e")]
+CELLS_PER_DEGREE = 2500
+SLACK_KM = 0.002
+# Undecided cell pairs holding fewer point pairs than this per task slot are compared point
+# by point at once; more are opened on the next level first.
+POINT_PAIRS_PER_SLOT = 1_000_000
 
 
 def distance_to_reference(df: DataFrame, lat: float, lng: float,
@@ -61,10 +66,12 @@ def _with_cells(points: DataFrame) -> DataFrame:
     """Whole-number cells of each point; the larger ones are derived from the smallest, so
     a cell lies in exactly one cell of the level above."""
     points = points.withColumns({
-        "f_row": F.floor(F.col("latitude") * 100), "f_col": F.floor(F.col("longitude") * 100)})
+        "e_row": F.floor(F.col("latitude") * CELLS_PER_DEGREE),
+        "e_col": F.floor(F.col("longitude") * CELLS_PER_DEGREE)})
+    steps = [("d_", 5), ("f_", 25), ("m_", 125), ("", CELLS_PER_DEGREE)]
     return points.withColumns({
-        f"{to}{axis}": F.floor(F.col(f"f_{axis}") / n)
-        for to, n in (("m_", 5), ("", 100)) for axis in ("row", "col")})
+        f"{to}{axis}": F.floor(F.col(f"e_{axis}") / n)
+        for to, n in steps for axis in ("row", "col")})
 
 
 def _cell_km(a: list[str], b: list[str], size: float) -> Column:
@@ -80,6 +87,11 @@ def _fan(df: DataFrame, cells: list[str]) -> DataFrame:
     return df.repartition(n, *cells)
 
 
+def _few_point_pairs(pairs: DataFrame) -> bool:
+    total = pairs.agg(F.sum("work").alias("n")).collect()[0]["n"] or 0
+    return total <= POINT_PAIRS_PER_SLOT * pairs.sparkSession.sparkContext.defaultParallelism
+
+
 def _target(names: list[str]) -> list[str]:
     return [f"t_{n}" for n in names]
 
@@ -111,8 +123,9 @@ def radius_counts(places: DataFrame, targets: DataFrame, radii: list[float],
     decided = []
     for size, prefix in LEVELS:
         own, reach = [f"{prefix}_row", f"{prefix}_col"], 2 * _reach(size) + SLACK_KM
-        here = _fan(asked.select(*parent, *own).distinct(), own)
-        there = held.groupBy(*parent, *own).agg(*[F.sum(m).alias(m) for m in measures]) \
+        here = _fan(asked.groupBy(*parent, *own).agg(F.count(F.lit(1)).alias("asked")), own)
+        there = held.groupBy(*parent, *own).agg(
+            F.count(F.lit(1)).alias("held"), *[F.sum(m).alias(m) for m in measures]) \
             .withColumnsRenamed({c: f"t_{c}" for c in parent + own})
         km = F.col("km")
         met = here.join(pairs, parent).join(there, _target(parent)) \
@@ -120,12 +133,16 @@ def radius_counts(places: DataFrame, targets: DataFrame, radii: list[float],
             .where(km <= max(radii) + reach)
         inside = {r: F.col(open_[r]) & (km <= r - reach) for r in radii}
         edge = {r: F.col(open_[r]) & (km > r - reach) & (km <= r + reach) for r in radii}
-        decided.append((own, met.groupBy(*own).agg(*[
+        decided.append((prefix, own, met.groupBy(*own).agg(*[
             F.sum(F.when(inside[r], F.col(m)).otherwise(zero)).alias(f"{prefix}_{n}")
             for (m, r), n in names.items()])))
         pairs = cut(met.where(reduce(lambda x, y: x | y, edge.values())).select(
-            *own, *_target(own), *[edge[r].alias(open_[r]) for r in radii]))
+            *own, *_target(own), (F.col("asked") * F.col("held")).alias("work"),
+            *[edge[r].alias(open_[r]) for r in radii]))
         parent = own
+        if _few_point_pairs(pairs):
+            break
+        pairs = pairs.drop("work")
 
     a = asked.select("latitude", "longitude", *parent)
     t = held.select(F.col("latitude").alias("t_lat"), F.col("longitude").alias("t_lng"),
@@ -140,12 +157,12 @@ def radius_counts(places: DataFrame, targets: DataFrame, radii: list[float],
             .alias(f"x_{n}") for (m, r), n in names.items()])
     )
     per_point = asked
-    for own, sums in decided:
+    for _, own, sums in decided:
         per_point = per_point.join(sums, own, "left")
     per_point = per_point.join(exact, ["latitude", "longitude"], "left").select(
         "latitude", "longitude", *[
             reduce(lambda x, y: x + y, [
-                F.coalesce(f"{k}_{n}", zero) for k in [*[p for _, p in LEVELS], "x"]]).alias(n)
+                F.coalesce(f"{k}_{n}", zero) for k in [*[p for p, _, _ in decided], "x"]]).alias(n)
             for n in names.values()])
     own_share = {m: (F.coalesce(F.col(c), zero) if c else zero)
                  for m, c in zip(measures, exclude_self or [None] * len(measures))}
@@ -191,11 +208,13 @@ def nearest(places: DataFrame, targets: DataFrame, key: str | None = None,
 
     # coarse cells: keep target cells that can hold the nearest point of some place
     parent = ["row", "col"]
-    p1, t1 = _fan(points.select(*parent).distinct(), parent), target_cells(*parent)
+    p1 = _fan(points.groupBy(*parent).agg(F.count(F.lit(1)).alias("asked")), parent)
+    t1 = target_cells(*parent)
     reach, km1 = 2 * _reach(1.0) + SLACK_KM, _cell_km(parent, _target(parent), 1.0)
     close = _neighbour_cells(p1, near_km).withColumnsRenamed(
         {"near_row": "t_row", "near_col": "t_col"}) \
-        .join(t1, _target(parent)).withColumn("km", km1)
+        .join(t1, _target(parent)).withColumn("km", km1) \
+        .join(p1, parent)
     # a bound that reaches past the searched ring proves nothing
     safe = close.groupBy(*parent, *keys).agg(F.min(bounds(parent)).alias("best")) \
         .where(F.col("best") + reach <= near_km - reach)
@@ -205,26 +224,30 @@ def nearest(places: DataFrame, targets: DataFrame, key: str | None = None,
     far = _meet(rest, t1, keys).withColumn("km", km1)
     far = far.withColumn("best", F.min(bounds(parent)).over(
         Window.partitionBy(*parent, *keys))).where(reachable(reach))
-    cols = [*parent, *_target(parent), *keys]
+    work = (F.col("asked") * F.col("held")).alias("work")
+    cols = [*parent, *_target(parent), *keys, work]
     pairs = cut(pairs.select(*cols).union(far.select(*cols)))
 
     # smaller cells inside the surviving pairs, cut the same way
     for size, prefix in LEVELS:
+        if _few_point_pairs(pairs):
+            break
         own, reach = [f"{prefix}_row", f"{prefix}_col"], 2 * _reach(size) + SLACK_KM
-        met = _fan(points.select(*parent, *own).distinct(), own).join(pairs, parent) \
+        here = _fan(points.groupBy(*parent, *own).agg(F.count(F.lit(1)).alias("asked")), own)
+        met = here.join(pairs.drop("work"), parent) \
             .join(target_cells(*parent, *own), [*_target(parent), *keys]) \
             .withColumn("km", _cell_km(own, _target(own), size)) \
-            .select(*own, *_target(own), "km", "held", *keys)
+            .select(*own, *_target(own), "km", "asked", "held", *keys)
         best = met.groupBy(*own, *keys).agg(F.min(bounds(own)).alias("best"))
         pairs = cut(met.join(best, [*own, *keys]).where(reachable(reach))
-                    .select(*own, *_target(own), *keys))
+                    .select(*own, *_target(own), *keys, work))
         parent = own
 
     there = held.select(*keys, "label", F.col("latitude").alias("t_lat"),
                         F.col("longitude").alias("t_lng"),
                         *[F.col(c).alias(f"t_{c}") for c in parent])
     met = _fan(points.select("latitude", "longitude", *parent), ["latitude", "longitude"]) \
-        .join(pairs, parent) \
+        .join(pairs.drop("work"), parent) \
         .join(there, [*_target(parent), *keys])
     if other_points:
         met = met.where((F.col("latitude") != F.col("t_lat"))
@@ -243,7 +266,7 @@ def _keys(p1: DataFrame, t1: DataFrame, key_cols: list[str]) -> DataFrame:
         return p1
     keys = t1.agg(F.collect_set(key_cols[0]).alias("keys")).withColumn("one", F.lit(1))
     return p1.withColumn("one", F.lit(1)).join(keys, "one").select(
-        "row", "col", F.explode("keys").alias(key_cols[0]))
+        "row", "col", "asked", F.explode("keys").alias(key_cols[0]))
 
 
 def _meet(rest: DataFrame, t1: DataFrame, key_cols: list[str]) -> DataFrame:

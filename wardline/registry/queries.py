@@ -59,6 +59,13 @@ def gap_table(spark, sf):
         gold(spark, sf), TABLE_SPECIALTIES))
 
 
+def flags(spark, sf):
+    """Specialty flags and positions without the texts: the texts are searched once."""
+    return layers.stored(spark, f"flags:{sf}", lambda: gaps.specialty_match(gold(spark, sf)).select(
+        "facility_id", "address_state", "address_zip", "latitude", "longitude", "confidence",
+        "trust_score", *[f"is_{s}" for s in SPECIALTIES]))
+
+
 def questions(spark, sf):
     return derived.questions(spark, sf)
 
@@ -674,16 +681,16 @@ def pin_gaps(spark, sf):
 
 @query
 def nearest_capable(spark, sf):
-    return geo.nearest_capable(gaps.specialty_match(gold(spark, sf)), SPECIALTIES)
+    return geo.nearest_capable(flags(spark, sf), SPECIALTIES)
 
 
 @query
 def radius_counts(spark, sf):
-    return geo.facility_radius_counts(gaps.specialty_match(gold(spark, sf)), SPECIALTIES)
+    return geo.facility_radius_counts(flags(spark, sf), SPECIALTIES)
 
 
 def pins(spark, sf):
-    return geo.pin_severity(gaps.specialty_match(gold(spark, sf)), SPECIALTIES)
+    return geo.pin_severity(flags(spark, sf), SPECIALTIES)
 
 
 @query
