@@ -13,7 +13,8 @@ _LAYERS: dict[tuple, str] = {}
 
 def shared_root(spark: SparkSession) -> str:
     """The cluster's shared folder; a temporary one only where none is configured (tests)."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = (spark.conf.get("spark.checkpoint.dir", None)
+                  or spark.sparkContext.getConf().get("spark.checkpoint.dir"))
     if configured:
         return configured.rstrip("/")
     app = spark.sparkContext.applicationId
