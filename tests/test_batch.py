@@ -1,6 +1,7 @@
 """The batch run end to end: layers, reports and totals."""
 
 import json
+from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
@@ -38,12 +39,10 @@ def test_no_failures_means_no_file(spark):
     assert sinks.write_failures(empty, layers.scratch_path(spark, "none")) is False
 
 
-def test_scratch_follows_the_configured_folder(spark):
-    spark.conf.set("spark.checkpoint.dir", "/tmp/wardline-shared/")
-    try:
-        assert layers.scratch_path(spark, "x").startswith("/tmp/wardline-shared/x-")
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+def test_scratch_follows_the_configured_folder():
+    settings = {"spark.checkpoint.dir": "hdfs://shared/tmp/"}
+    session = SimpleNamespace(conf=settings)
+    assert layers.scratch_path(session, "x").startswith("hdfs://shared/tmp/x-")
 
 
 def test_vector_without_queries(spark):
