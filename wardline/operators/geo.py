@@ -172,12 +172,12 @@ def radius_counts(places: DataFrame, targets: DataFrame, radii: list[float],
 
 
 def nearest(places: DataFrame, targets: DataFrame, key: str | None = None,
-            label: str | None = None, near_km: float = 500.0,
-            other_points: bool = False) -> DataFrame:
+            key_values: list[str] | None = None, label: str | None = None,
+            near_km: float = 500.0, other_points: bool = False) -> DataFrame:
     """Distance from each distinct place point to the nearest target point, per target key.
 
-    targets: latitude, longitude, optional key (a place is matched with every key) and
-    optional label (the smallest label at equal distance wins, distance in whole metres).
+    targets: latitude, longitude, optional key (a place is matched with each of
+    `key_values`) and optional label (the smallest label at equal distance wins, distance in whole metres).
     `other_points` leaves out a target at the very place.  Returns latitude, longitude,
     key, nearest_km, label.  Three cuts, each exact by distance bounds: coarse cells, fine
     cells, points; places whose coarse cell has nothing within `near_km` are compared with
@@ -219,7 +219,7 @@ def nearest(places: DataFrame, targets: DataFrame, key: str | None = None,
     safe = close.groupBy(*parent, *keys).agg(F.min(bounds(parent)).alias("best")) \
         .where(F.col("best") + reach <= near_km - reach)
     pairs = close.join(safe, [*parent, *keys]).where(reachable(reach))
-    rest = _keys(p1, t1, keys).join(safe, [*parent, *keys], "left_anti")
+    rest = _keys(p1, key, key_values).join(safe, [*parent, *keys], "left_anti")
     # few coarse cells are left here, and there are at most 64,800 of them on the globe
     far = _meet(rest, t1, keys).withColumn("km", km1)
     far = far.withColumn("best", F.min(bounds(parent)).over(
@@ -260,13 +260,11 @@ def nearest(places: DataFrame, targets: DataFrame, key: str | None = None,
                        F.col("best.km").alias("nearest_km"), F.col("best.label").alias("label"))
 
 
-def _keys(p1: DataFrame, t1: DataFrame, key_cols: list[str]) -> DataFrame:
-    """Place cells for every target key: keys are values of a fixed list, cells a bounded grid."""
-    if not key_cols:
-        return p1
-    keys = t1.agg(F.collect_set(key_cols[0]).alias("keys")).withColumn("one", F.lit(1))
-    return p1.withColumn("one", F.lit(1)).join(keys, "one").select(
-        "row", "col", "asked", F.explode("keys").alias(key_cols[0]))
+def _keys(cells: DataFrame, key: str | None, values: list[str] | None) -> DataFrame:
+    """Place cells once per key value; the values are a fixed list."""
+    if key is None:
+        return cells
+    return cells.withColumn(key, F.explode(F.array(*[F.lit(v) for v in values])))
 
 
 def _meet(rest: DataFrame, t1: DataFrame, key_cols: list[str]) -> DataFrame:
@@ -288,7 +286,8 @@ def nearest_capable(gold: DataFrame, specialties: list[str]) -> DataFrame:
     targets = located.select("latitude", "longitude", able)
     crowd = targets.groupBy("latitude", "longitude", "specialty").agg(
         F.count(F.lit(1)).alias("here"))
-    others = nearest(located, targets, "specialty", other_points=True).drop("label")
+    others = nearest(located, targets, "specialty", specialties,
+                     other_points=True).drop("label")
     every = located.select("facility_id", "latitude", "longitude",
                            F.explode(F.array(*[F.struct(
                                F.lit(s).alias("specialty"), F.col(f"is_{s}").alias("own"))
