@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import gc
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -12,14 +16,19 @@ _LAYERS: dict[tuple, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is configured (tests)."""
+    """The cluster's shared folder. Where none is configured, a local master (tests) gets a
+    temporary one, deleted at exit; any other master is an error, since machines would not
+    see each other's files."""
     configured = (spark.conf.get("spark.checkpoint.dir", None)
                   or spark.sparkContext.getConf().get("spark.checkpoint.dir"))
     if configured:
         return configured.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_ROOT:
         _LOCAL_ROOT[app] = tempfile.mkdtemp(prefix="wardline-")
+        atexit.register(shutil.rmtree, _LOCAL_ROOT[app], ignore_errors=True)
     return _LOCAL_ROOT[app]
 
 
@@ -43,3 +52,17 @@ def cut(df: DataFrame) -> DataFrame:
     path = scratch_path(df.sparkSession, "cut")
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a table that this module's callers wrote and no longer read."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more: they
+    stay on the executors' disks until the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
