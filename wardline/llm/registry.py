@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from wardline.llm import language_id, mixing, packing, sharding
 from wardline.llm.substring_dedup import substring_dedup
 
 QUERIES: dict = {}
@@ -23,3 +24,39 @@ def table(spark, sf, name):
 @query
 def op1_substring_dedup(spark, sf):
     return substring_dedup(table(spark, sf, "documents"))
+
+
+@query
+def op2_best_fit_packing(spark, sf):
+    return packing.pack(table(spark, sf, "documents"))
+
+
+@query
+def op8_language_id(spark, sf):
+    docs = table(spark, sf, "documents")
+    rows = docs.select("doc_id", language_id.held_out().alias("held_out"), "text")
+    return language_id.identify(rows, language_id.learnable(docs), ["doc_id", "held_out"])
+
+
+@query
+def op9_sharding(spark, sf):
+    return sharding.shard_by_bytes(table(spark, sf, "documents"))
+
+
+ORACLE["op9_sharding"] = """
+WITH d AS (SELECT doc_id, CAST(coalesce(octet_length(encode(text)), 0) + 16 AS BIGINT) AS size, text
+           FROM documents),
+p AS (SELECT *, sum(size) OVER (ORDER BY doc_id) AS upto, sum(size) OVER () AS whole,
+             row_number() OVER (ORDER BY doc_id) - 1 AS place FROM d),
+s AS (SELECT *, CAST(least((2 * upto - size) * 40 // (2 * whole), 39) AS INTEGER) AS shard FROM p)
+SELECT doc_id, size, 'bytes' AS law, shard,
+       CAST(place - min(place) OVER (PARTITION BY shard) AS BIGINT) AS slot,
+       CAST(NULL AS INTEGER) AS grown_shard
+FROM s"""
+
+
+@query
+def op10_source_mixing(spark, sf):
+    docs = table(spark, sf, "documents")
+    return mixing.mix(docs, ["doc_id"]).select(
+        "doc_id", "size", "source_size", "target", "taken", "copies")
