@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wardline.llm import language_id, mixing, packing, sharding
+from wardline.llm.minhash_dedup import near_duplicates
 from wardline.llm.substring_dedup import substring_dedup
 
 QUERIES: dict = {}
@@ -60,3 +61,8 @@ def op10_source_mixing(spark, sf):
     docs = table(spark, sf, "documents")
     return mixing.mix(docs, ["doc_id"]).select(
         "doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+@query
+def op5_minhash_dedup(spark, sf):
+    return near_duplicates(table(spark, sf, "documents"))
