@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wardline.llm import language_id, mixing, packing, sharding
+from wardline.llm.line_dedup import line_dedup
 from wardline.llm.minhash_dedup import near_duplicates
 from wardline.llm.substring_dedup import substring_dedup
 
@@ -45,12 +46,19 @@ def op9_sharding(spark, sf):
 
 
 ORACLE["op9_sharding"] = """
-WITH d AS (SELECT doc_id, CAST(coalesce(octet_length(encode(text)), 0) + 16 AS BIGINT) AS size, text
-           FROM documents),
+WITH t AS (SELECT list(list_reduce([v, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z:
+               CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY v) AS tab
+           FROM (SELECT unnest(range(256)) AS v)),
+d AS (SELECT doc_id, CAST(coalesce(octet_length(encode(text)), 0) + 16 AS BIGINT) AS size,
+             xor(4294967295, list_reduce(list_concat([4294967295], list_transform(
+                 regexp_extract_all(hex(encode(text)), '..'),
+                 lambda h: CAST(concat('0x', h) AS BIGINT))),
+                 lambda c, v: xor(tab[xor(c & 255, v) + 1], c >> 8))) AS text_crc32
+      FROM documents, t),
 p AS (SELECT *, sum(size) OVER (ORDER BY doc_id) AS upto, sum(size) OVER () AS whole,
              row_number() OVER (ORDER BY doc_id) - 1 AS place FROM d),
 s AS (SELECT *, CAST(least((2 * upto - size) * 40 // (2 * whole), 39) AS INTEGER) AS shard FROM p)
-SELECT doc_id, size, 'bytes' AS law, shard,
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
        CAST(place - min(place) OVER (PARTITION BY shard) AS BIGINT) AS slot,
        CAST(NULL AS INTEGER) AS grown_shard
 FROM s"""
@@ -66,3 +74,34 @@ def op10_source_mixing(spark, sf):
 @query
 def op5_minhash_dedup(spark, sf):
     return near_duplicates(table(spark, sf, "documents"))
+
+
+@query
+def op7_line_dedup(spark, sf):
+    out = line_dedup(table(spark, sf, "documents"), ["doc_id"])
+    return out.select("doc_id", "n_lines", "n_removed", "longest_repeat",
+                      F.md5("text").alias("text_md5"))
+
+
+ORACLE["op7_line_dedup"] = """
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS pos, ls FROM d),
+k AS (SELECT unnest([1, 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024, 2048, 4096, 8192]) AS k),
+w AS (SELECT doc_id, pos, k, length(ls[pos]) AS chars,
+             array_to_string(list_slice(ls, pos, pos + k - 1), chr(10)) AS run
+      FROM p JOIN k ON pos + k - 1 <= len(ls)),
+f AS (SELECT doc_id, pos, k, chars, row_number() OVER (PARTITION BY k, run ORDER BY doc_id, pos) AS nth
+      FROM w),
+again AS (SELECT * FROM f WHERE nth > 1),
+gone AS (SELECT doc_id, list(DISTINCT ln) AS ats FROM (
+             SELECT doc_id, pos AS ln FROM again WHERE k = 1 AND chars >= 40
+             UNION ALL SELECT doc_id, unnest([pos, pos + 1]) AS ln FROM again WHERE k = 2)
+         GROUP BY doc_id),
+most AS (SELECT doc_id, max(k) AS longest FROM again GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ls) AS BIGINT) AS n_lines,
+       CAST(coalesce(len(ats), 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(longest, 0) AS BIGINT) AS longest_repeat,
+       md5(array_to_string(CASE WHEN ats IS NULL THEN ls ELSE list_select(
+           ls, list_filter(range(1, len(ls) + 1), lambda i: NOT list_contains(ats, i))) END,
+           chr(10))) AS text_md5
+FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN most USING (doc_id)"""
