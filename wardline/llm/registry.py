@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wardline.llm import language_id, mixing, packing, sharding
+from wardline.llm import language_id, lsh_forest, mixing, packing, sharding
 from wardline.llm.line_dedup import line_dedup
 from wardline.llm.minhash_dedup import near_duplicates
 from wardline.llm.substring_dedup import substring_dedup
@@ -105,3 +105,8 @@ SELECT d.doc_id, CAST(len(ls) AS BIGINT) AS n_lines,
            ls, list_filter(range(1, len(ls) + 1), lambda i: NOT list_contains(ats, i))) END,
            chr(10))) AS text_md5
 FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN most USING (doc_id)"""
+
+
+@query
+def op4_lsh_forest(spark, sf):
+    return lsh_forest.search(table(spark, sf, "embeddings"))
