@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wardline.llm import language_id, lsh_forest, mixing, packing, sharding
 from wardline.llm.line_dedup import line_dedup
 from wardline.llm.minhash_dedup import near_duplicates
+from wardline.llm.nn_descent import near_vectors
 from wardline.llm.substring_dedup import substring_dedup
 
 QUERIES: dict = {}
@@ -110,3 +111,8 @@ FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN most USING (doc_id)"""
 @query
 def op4_lsh_forest(spark, sf):
     return lsh_forest.search(table(spark, sf, "embeddings"))
+
+
+@query
+def op6_nn_descent(spark, sf):
+    return near_vectors(table(spark, sf, "embeddings"))
