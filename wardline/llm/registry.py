@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wardline.llm import language_id, lsh_forest, mixing, packing, sharding
+from wardline.llm.html_text import extract
 from wardline.llm.line_dedup import line_dedup
 from wardline.llm.minhash_dedup import near_duplicates
 from wardline.llm.nn_descent import near_vectors
@@ -116,3 +117,8 @@ def op4_lsh_forest(spark, sf):
 @query
 def op6_nn_descent(spark, sf):
     return near_vectors(table(spark, sf, "embeddings"))
+
+
+@query
+def op3_html_text(spark, sf):
+    return extract(table(spark, sf, "pages"))
