@@ -108,7 +108,7 @@ def _score(model):
         names, table, priors = model.value
         labels = np.array([*names, UNKNOWN], dtype=object)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
+            texts = batch.column("_text").to_pylist()
             best = np.full(len(texts), len(names))
             score = np.zeros(len(texts))
             for a, b in _slices(texts) if names else ():
@@ -121,12 +121,9 @@ def _score(model):
                 sure = 1.0 / np.exp(gap).sum(axis=1)
                 best[a:b] = np.where(has_letter, top, len(names))
                 score[a:b] = np.where(has_letter, sure, 0.0)
-            at = batch.schema.get_field_index("text")
-            rest = [c for i, c in enumerate(batch.columns) if i != at]
-            kept = [n for i, n in enumerate(batch.schema.names) if i != at]
             yield pa.RecordBatch.from_arrays(
-                [*rest, pa.array(labels[best], pa.string()), pa.array(score)],
-                [*kept, "lang_pred", "score"])
+                [*batch.columns[:-1], pa.array(labels[best], pa.string()), pa.array(score)],
+                [*batch.schema.names[:-1], "lang_pred", "score"])
     return run
 
 
@@ -134,9 +131,11 @@ def identify(docs: DataFrame, labelled: DataFrame, keep: list[str]) -> DataFrame
     """Columns `keep` of docs, lang_pred and score (the posterior), learned from `labelled`."""
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(learn(labelled))
-    rows = docs.select(*keep, F.col("text").alias("text"))
+    kept = [f"_{i}" for i in range(len(keep))]
+    rows = docs.select(*[F.col(c).alias(k) for c, k in zip(keep, kept)], F.col("text").alias("_text"))
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(_score(model), f"{fields}, lang_pred string, score double")
+    out = rows.mapInArrow(_score(model), f"{fields}, lang_pred string, score double")
+    return out.select(*[F.col(k).alias(c) for c, k in zip(keep, kept)], "lang_pred", "score")
 
 
 def held_out() -> "F.Column":
