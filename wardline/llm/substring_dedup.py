@@ -19,6 +19,7 @@ an empty table gives an empty result; columns other than doc_id and text are ign
 from __future__ import annotations
 
 import hashlib
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ WINDOW = 35
 #: Pair rounds before symbols are compared: symbols are then about five words long and nearly
 #: every window of 35 words holds one with all that decided it.
 LOW_ROUNDS = 6
-_FAR = 1 << 40
+_FAR = 1 << 29
 
 
 def _sides(name: np.ndarray, round_no: int) -> np.ndarray:
@@ -39,25 +40,18 @@ def _sides(name: np.ndarray, round_no: int) -> np.ndarray:
     return (mix(name ^ np.uint64(round_no * 7919 + 13)) >> np.uint64(40)) & np.uint64(1) == 1
 
 
-def _runs(name, start, end, doc, span=None):
-    """Maximal runs of one symbol become one symbol named by symbol and count. Neighbours
-    decide where a run ends, so they join the span."""
+def _runs(name, start, end, doc):
+    """Maximal runs of one symbol become one symbol named by symbol and count."""
     n = len(name)
     if n < 2:
-        return name, start, end, doc, span
+        return name, start, end, doc, np.zeros(n, bool)
     same_doc = doc[1:] == doc[:-1]
     first = np.append(True, (name[1:] != name[:-1]) | ~same_doc)
     at = np.flatnonzero(first)
     count = np.diff(np.append(at, n))
     last = at + count - 1
     out = np.where(count > 1, mix(name[at] * np.uint64(5) + count.astype(np.uint64)), name[at])
-    if span is not None:
-        lo, hi = span
-        left = np.append(False, same_doc)[at]
-        right = np.append(same_doc, False)[last]
-        span = (np.where(left, lo[np.maximum(at - 1, 0)], -_FAR),
-                np.where(right, hi[np.minimum(last + 1, n - 1)], _FAR))
-    return out, start[at], end[last], doc[at], span
+    return out, start[at], end[last], doc[at], count > 1
 
 
 def _pairs(name, start, end, doc, round_no, span=None):
@@ -65,7 +59,7 @@ def _pairs(name, start, end, doc, round_no, span=None):
     n = len(name)
     if n < 2:
         if span is not None and n:
-            span = (np.full(n, -_FAR), np.full(n, _FAR))
+            span = (np.full(n, -_FAR, np.int32), np.full(n, _FAR, np.int32))
         return name, start, end, doc, span, np.zeros(n, bool)
     right = _sides(name, round_no)
     after = np.append(doc[1:] == doc[:-1], False)
@@ -75,18 +69,18 @@ def _pairs(name, start, end, doc, round_no, span=None):
     merged = np.zeros(n, bool)
     merged[at] = True
     if span is not None:
+        # a pair is decided by its halves, a symbol that stays alone by its neighbour too
         lo, hi = span[0].copy(), span[1].copy()
-        alone = ~merged & ~second
-        i = np.flatnonzero(alone & ~right)
-        ok = after[i]
-        hi[i] = np.where(ok, np.maximum(span[1][i], span[1][np.minimum(i + 1, n - 1)]), _FAR)
-        lo[i] = np.where(ok, np.minimum(span[0][i], span[0][np.minimum(i + 1, n - 1)]), lo[i])
-        i = np.flatnonzero(alone & right)
-        ok = np.append(False, after[:-1])[i]
-        lo[i] = np.where(ok, np.minimum(span[0][i], span[0][np.maximum(i - 1, 0)]), -_FAR)
-        hi[i] = np.where(ok, np.maximum(span[1][i], span[1][np.maximum(i - 1, 0)]), hi[i])
-        hi[at] = np.maximum(span[1][at], span[1][at + 1])
+        alone = ~(merged | second)
+        for i, there, other in ((np.flatnonzero(alone & ~right), after, 1),
+                                (np.flatnonzero(alone & right), np.append(False, after[:-1]), -1)):
+            edge = i[~there[i]]
+            i = i[there[i]]
+            lo[i] = np.minimum(span[0][i], span[0][i + other])
+            hi[i] = np.maximum(span[1][i], span[1][i + other])
+            lo[edge], hi[edge] = -_FAR, _FAR
         lo[at] = np.minimum(span[0][at], span[0][at + 1])
+        hi[at] = np.maximum(span[1][at], span[1][at + 1])
         span = (lo[~second], hi[~second])
     name, end = name.copy(), end.copy()
     name[at] = mix(name[at] * np.uint64(3) + mix(name[at + 1]))
@@ -99,41 +93,38 @@ class _Slice:
     """Words of some rows: hashes, document of each word, first word of each row."""
 
     def __init__(self, data, offsets):
-        self.data = data
+        self.data, self.offsets = data, offsets
         self.starts, self.ends, self.first = word_spans(data, offsets)
         self.hashes = word_hashes(data, self.starts, self.ends)
-        self.doc = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
+        self.doc = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(self.first))
 
     def low(self, window):
         """Low-level symbols (name, first word, document, span) decided within a window."""
-        n = len(self.hashes)
-        at = np.arange(n)
-        s = _runs(self.hashes, at, at + 1, self.doc, (at, at + 1))
+        at = np.arange(len(self.hashes), dtype=np.int32)
+        s = (self.hashes, at, at + 1, self.doc, (at, at + 1))
         for r in range(LOW_ROUNDS):
             s = _pairs(*s[:4], r, s[4])[:5]
         ok = s[4][1] - s[4][0] <= window
         return s[0][ok], s[1][ok], s[3][ok], s[4][0][ok], s[4][1][ok]
 
-    def high(self, window):
-        """Symbols (name, first word, last word + 1, document) of a window or more."""
-        at = np.arange(len(self.hashes))
-        s = _runs(self.hashes, at, at + 1, self.doc)
+    def high(self, window, ranges):
+        """Symbols (name, first word, last word + 1) of a window or more in the passages
+        whose windows start in one of the ranges, each passage parsed on its own."""
+        size = ranges[:, 1] - ranges[:, 0] + window - 1
+        part = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        at = (np.arange(len(part)) + (ranges[:, 0] - np.cumsum(size) + size)[part]).astype(np.int32)
+        s = _runs(self.hashes[at], at, at + 1, part)
         found, round_no = [], 0
         while len(s[0]) > 1 and (s[3][1:] == s[3][:-1]).any():
-            before = len(s[0])
             *s, _, merged = _pairs(*s[:4], round_no)
             new = merged & (s[2] - s[1] >= window)
-            found.append([x[new] for x in s])
+            found.append([x[new] for x in s[:3]])
             round_no += 1
             if round_no % 4 == 0:
-                before, was = len(s[0]), s
-                s = list(_runs(*s)[:4])
-                if len(s[0]) < before:
-                    new = (s[2] - s[1] >= window) & ~np.isin(s[0], was[0])
-                    found.append([x[new] for x in s])
-        if not found:
-            return at.astype(np.uint64)[:0], at[:0], at[:0], at[:0]
-        return tuple(np.concatenate(x) for x in zip(*found))
+                *s, merged = _runs(*s[:4])
+                new = merged & (s[2] - s[1] >= window)
+                found.append([x[new] for x in s[:3]])
+        return [np.concatenate(x) for x in zip(*found)] if found else [at[:0]] * 3
 
     def windows(self, window):
         """128-bit hashes of the window at each word (rows are not minded)."""
@@ -179,10 +170,10 @@ def _low_symbols(window):
 
 
 def _kept(s: _Slice, row: int, removed: np.ndarray | None) -> str:
-    a, b = s.first[row], s.first[row + 1]
-    at = np.arange(a, b) if removed is None else a + np.flatnonzero(~removed)
-    data = s.data.tobytes() if len(s.data) < 1 << 16 else memoryview(s.data)
-    words = [bytes(data[x:y]) for x, y in zip(s.starts[at].tolist(), s.ends[at].tolist())]
+    """Digest of the words that stay (bytes.split() splits at the same six characters)."""
+    words = s.data[s.offsets[row]:s.offsets[row + 1]].tobytes().split()
+    if removed is not None:
+        words = compress(words, (~removed).tolist())
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
@@ -235,14 +226,9 @@ def _high_symbols(window):
             keys, opened = batch.column("row_key").to_numpy(), _lists(batch.column("open"))
             for first, n, data, offsets in text_slices(batch.column("text")):
                 s = _Slice(data, offsets)
-                name, a, b, doc = s.high(window)
-                ok = np.zeros(len(s.hashes) + 1, np.int64)
-                for i in range(n):
-                    r = opened[first + i].reshape(-1, 2) + s.first[i]
-                    ok[1:][_cover(len(s.hashes), r[:, 0], r[:, 1])] = 1
-                total = np.cumsum(ok)
-                inside = total[b - window + 1] - total[a] == b - window + 1 - a
-                name, a, b, doc = (x[inside] for x in (name, a, b, doc))
+                ranges = [opened[first + i].reshape(-1, 2) + s.first[i] for i in range(n)]
+                name, a, b = s.high(window, np.concatenate(ranges))
+                doc = s.doc[a]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(signed(name)), pa.array(keys[first:first + n][doc]),
                     pa.array((a - s.first[doc]).astype(np.int32)),
