@@ -8,9 +8,9 @@ become one class; bands of the signatures of classes give buckets.
 
 Nothing is compared all against all: in a bucket every class is compared with the least one,
 on full sets. Linked classes are grouped; where a bucket still holds several groups, classes
-are compared with the least class of another group, and at last every pair across groups that
-is left, so that no link between groups is missed, whatever the bucket's size. Pairs inside a
-group need no comparison: they cannot change the result.
+are compared with the least class of another group, and at last in blocks of BLOCK classes, of
+which only links that join groups leave a task, so that no link between groups is missed, whatever
+the bucket's size. Pairs inside a group need no comparison: they cannot change the result.
 
 Defined cases: null texts and texts without words have no set and link with nothing; texts
 shorter than a shingle are one shingle; rows with a null doc_id link with nothing and are kept;
@@ -30,8 +30,10 @@ from wardline.llm.common import Steps, components, keyed, mix, powers, signed, t
 SHINGLE = 5
 #: 24 bands of 5: a pair at similarity 0.85 shares no band with probability 8e-7, at 0.80 7e-5.
 BANDS, ROWS = 24, 5
-#: Rounds that compare a bucket's classes with one leader before pairs across groups are listed.
+#: Rounds that compare a bucket's classes with one leader before blocks are compared.
 STAR_ROUNDS = 2
+#: Classes of one block; shingles that more of them hold are counted as a matrix.
+BLOCK, OFTEN = 256, 16
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int):
@@ -144,6 +146,74 @@ def _linked(percent):
     return run
 
 
+def _shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of some sets."""
+    n = len(sets)
+    of = np.repeat(np.arange(n), [len(x) for x in sets])
+    order = np.argsort(np.concatenate(sets), kind="stable")
+    values, of = np.concatenate(sets)[order], of[order]
+    first = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
+    count = np.diff(np.append(first, len(values)))
+    out = np.zeros((n, n), np.int64)
+    for df in range(2, OFTEN + 1):
+        rows = of[first[count == df][:, None] + np.arange(df)]
+        i, j = np.triu_indices(df, 1)
+        np.add.at(out, (rows[:, i].ravel(), rows[:, j].ravel()), 1)
+    out += out.T
+    often = np.flatnonzero(count > OFTEN)
+    for at in range(0, len(often), 4096):
+        part = often[at:at + 4096]
+        column = np.repeat(np.arange(len(part)), count[part])
+        place = np.arange(len(column)) + np.repeat(first[part] - np.cumsum(count[part]) + count[part],
+                                                   count[part])
+        held = np.zeros((n, len(part)), np.float32)
+        held[of[place], column] = 1
+        out += (held @ held.T).astype(np.int64)
+    return out
+
+
+def _joining(percent):
+    """Of two blocks (or one) of a bucket: links that join groups, a spanning forest of them."""
+    def run(table):
+        nodes, groups = (table.column(c).to_numpy() for c in ("node", "component"))
+        a, b = [], []
+        if len(set(groups.tolist())) > 1:
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("elements")]
+            size = np.array([len(x) for x in sets])
+            shared = _shared_counts(sets)
+            linked = 100 * shared >= percent * (size[:, None] + size[None, :] - shared)
+            same = groups[:, None] == groups[None, :]
+            seen = np.zeros(len(nodes), bool)
+            for start in range(len(nodes)):
+                todo = [] if seen[start] else [start]
+                seen[start] = True
+                while todo:
+                    x = todo.pop()
+                    new = np.flatnonzero((linked[x] | same[x]) & ~seen)
+                    seen[new] = True
+                    todo += new.tolist()
+                    cross = new[~same[x, new]]
+                    a += [nodes[x]] * len(cross)
+                    b += nodes[cross].tolist()
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+    return run
+
+
+def _block_links(at: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join groups inside buckets; at: bucket, node, component. Buckets with
+    the same classes are looked at once."""
+    once = at.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias(
+        "what"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("also")).groupBy("n", "what", "also").agg(
+        F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    dealt = at.select("bucket", "node", "component").join(once, "bucket").withColumn(
+        "mine", F.pmod(F.xxhash64("node"), "blocks"))
+    sent = dealt.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).select(
+        "bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
+        "node", "component")
+    return sent.join(sets, "node").groupBy("bucket", "i", "j").applyInArrow(
+        _joining(percent), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = SHINGLE,
                     bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text)."""
@@ -195,17 +265,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = SHINGLE,
         at = steps.put("open", at.join(open_, "bucket"))
         if at.isEmpty():
             break
-        if turn < STAR_ROUNDS:
+        if turn == STAR_ROUNDS:
+            new = steps.put("more", _block_links(at, sets, percent))
+        else:
             # the least class outside the first group against all other groups
             lead = at.filter("component <> low").groupBy("bucket").agg(F.min(
                 F.struct("node", "component")).alias("lead"))
             pairs = at.join(lead, "bucket").filter("component <> lead.component").select(
                 F.col("lead.node").alias("a"), F.col("node").alias("b"))
-        else:
-            other = at.select("bucket", F.col("node").alias("b"), F.col("component").alias("other"))
-            pairs = at.select("bucket", F.col("node").alias("a"), "component").join(
-                other, "bucket").filter("a < b and component <> other").select("a", "b")
-        new = verify(pairs, "more")
+            new = verify(pairs, "more")
         if not new.isEmpty():
             links = steps.put("links", links.unionByName(new))
             groups = steps.put("groups", components(links, steps))
