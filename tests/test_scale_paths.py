@@ -186,11 +186,11 @@ def test_ids_follow_file_order_over_many_files(spark):
         F.concat(F.lit("n"), F.col("id")).alias("name"),
         F.when(F.col("id") % 5 == 0, "two\nlines, \"quoted\"").alias("description"))
     sinks.write_csv(df, path)
-    back = readers.read_facilities(spark, path).orderBy("facility_id").collect()
+    back = readers.read_facilities(spark, path, multi_line=True).orderBy("facility_id").collect()
     assert [r.name for r in back] == [f"n{i}" for i in range(500)]
     assert [r.facility_id for r in back] == [f"{i:05d}" for i in range(500)]
     assert back[5].description == 'two\nlines, "quoted"'
-    few = readers.read_facilities(spark, path, max_rows=13).collect()
+    few = readers.read_facilities(spark, path, max_rows=13, multi_line=True).collect()
     assert sorted(r.name for r in few) == sorted(f"n{i}" for i in range(13))
 
 

@@ -122,13 +122,6 @@ MAP_GROUPS = {
 }
 TRANSLATED_LANGUAGES = ["hi-IN", "ur-PK", "hi", "ur"]
 FACILITY_TYPES = ["hospital", "clinic", "dentist", "doctor", "pharmacy"]
-INDIAN_STATES = [
-    "Maharashtra", "Uttar Pradesh", "Gujarat", "Tamil Nadu", "Kerala", "Rajasthan",
-    "West Bengal", "Karnataka", "Delhi", "Telangana", "Bihar", "Haryana", "Punjab",
-    "Madhya Pradesh", "Andhra Pradesh", "Odisha", "Jharkhand", "Uttarakhand",
-    "Chhattisgarh", "Assam", "Jammu & Kashmir", "Himachal Pradesh", "Goa", "Tripura",
-    "Meghalaya", "Manipur", "Nagaland", "Puducherry", "Chandigarh",
-]
 DEFAULT_LAT, DEFAULT_LNG = 20.5, 78.9
 
 # Clinical category of a readable specialty label.

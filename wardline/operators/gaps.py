@@ -161,18 +161,22 @@ def gap_lookup(questions: DataFrame, gaps: DataFrame,
                specialties: list[str] | None = None) -> DataFrame:
     """Gap rows for every gap question, worst 50 each (query_id, rank, gap columns).
 
-    The specialties a question means are one of the subsets of a fixed list, so gaps are
-    ranked once per subset and questions only look their subset up.
+    The specialties are those of the gap table unless a list is given. A question means one
+    of their subsets, so gaps are ranked once per subset and questions only look theirs up.
     """
-    specialties = list(vocab.GAP_SPECIALTIES) if specialties is None else specialties
-    names = intents.literal_words(specialties)
     asked = questions.where(intents.is_gap_query(F.col("query"))).withColumn(
         "patterns", intents.specialty_filters(F.col("query")))
+    if specialties is None:
+        names = F.col("names")
+        asked = asked.crossJoin(F.broadcast(gaps.agg(  # one row
+            F.array_sort(F.collect_set("specialty")).alias("names"))))
+    else:
+        names = intents.literal_words(specialties)
     wanted = F.when(F.size("patterns") == 0, names).otherwise(F.filter(
         names, lambda s: F.exists("patterns", lambda p: F.contains(F.lower(s), p))))
-    asked = asked.select("query_id", F.array_join(wanted, ",").alias("wanted"))
-    member = asked.select("wanted").distinct().where(F.col("wanted") != "").select(
-        "wanted", F.explode(F.split("wanted", ",")).alias("specialty"))
+    asked = asked.select("query_id", wanted.alias("wanted"))
+    member = asked.select("wanted").distinct().select(
+        "wanted", F.explode("wanted").alias("specialty"))
     w = Window.partitionBy("wanted").orderBy(*gap_order())
     # at most one list of 50 per subset: stored, so the questions are not shuffled to meet it
     ranked = cut(

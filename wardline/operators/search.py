@@ -220,7 +220,7 @@ def _search_pass(gold, silver, spec_rows, num_results, ignore_case):
     g0 = indirect(g, _gold_ok, s1.where("mask > 0").select("qi", "name").distinct())
 
     by_trust = [F.col("trust_score").desc(), F.col("gold_id")]
-    k = KEPT_PER_QUERY
+    k = max(KEPT_PER_QUERY, num_results)
     left = top_k(g1.union(g0.select(*g_keep)), ["qi", "name", "mask"], by_trust, k,
                  "gold_id", "_i").withColumnRenamed("mask", "gold_mask")
     right = top_k(s1.union(s0.select(*s_keep)), ["qi", "name", "mask"], [F.col("silver_id")], k,
@@ -238,7 +238,7 @@ def _search_pass(gold, silver, spec_rows, num_results, ignore_case):
     )
     order = [F.col("relevance_score").desc(), F.col("trust_score").desc(),
              F.col("gold_id"), F.col("silver_id")]
-    best = top_k(pairs, ["qi"], order, min(k, num_results), "gold_id")
+    best = top_k(pairs, ["qi"], order, num_results, "gold_id")
     return best.select(
         F.get(table, F.col("qi")).getField("query_id").alias("query_id"),
         "rank", "gold_id", "silver_id", "relevance_score", "trust_score",

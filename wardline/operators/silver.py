@@ -17,7 +17,10 @@ def clean_silver(raw: DataFrame) -> DataFrame:
         for c in vocab.LIST_FIELDS
     }
     typed = {c: F.lower(F.trim(c)) for c in ENUM_FIELDS if c in raw.columns}
-    typed |= {c: F.expr(f"try_cast({c} AS double)") for c in NUMERIC_FIELDS if c in raw.columns}
+    # texts such as nan and Infinity are no numbers
+    typed |= {c: F.expr(f"if(abs(try_cast({c} AS double)) < double('Infinity'), "
+                        f"try_cast({c} AS double), NULL)")
+              for c in NUMERIC_FIELDS if c in raw.columns}
     silver = raw.withColumns({**parsed, **typed})
     return silver.withColumns({
         "data_completeness": completeness(silver.columns),

@@ -146,9 +146,9 @@ def verdict_counts(answered: DataFrame, rows: int = VALIDATED_ROWS) -> DataFrame
 
 def stratified_sample(gold: DataFrame, percent: int = 10) -> DataFrame:
     """A repeatable share of the records of every trust band, chosen by a hash of the id."""
-    every = 100 // percent
     banded = gold.withColumn("band", X.trust_band(F.col("trust_score")))
-    return banded.where(F.pmod(X.hash_number(F.col("facility_id")), F.lit(every)) == 0)
+    return banded.where(
+        F.pmod(X.hash_number(F.col("facility_id")), F.lit(10_000)) < round(100 * percent))
 
 
 def agreement(sampled: DataFrame, claims: list[str]) -> DataFrame:

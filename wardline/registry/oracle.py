@@ -725,7 +725,7 @@ def md5_number(text: str) -> str:
 
 
 SAMPLE = f"""sampled AS (SELECT *, CASE WHEN trust_score >= 70 THEN 'high' WHEN trust_score >= 40
-  THEN 'medium' ELSE 'low' END AS band FROM gold WHERE {md5_number('facility_id')} % 10 = 0)"""
+  THEN 'medium' ELSE 'low' END AS band FROM gold WHERE {md5_number('facility_id')} % 10000 < 1000)"""
 check("stratified_sample", "SELECT facility_id, band FROM sampled", UP_TO_GOLD, SAMPLE)
 OPINION = SAMPLE + """,
 compared AS (SELECT s.facility_id,

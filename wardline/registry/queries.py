@@ -160,7 +160,8 @@ def read_csv_with_ids(spark, sf):
     path = layers.scratch_path(spark, "raw_csv")
     sinks.write_csv(raw(spark, sf).orderBy(F.length("facility_id"), "facility_id")
                     .select(*RAW_TEXT), path)
-    back = readers.read_facilities(spark, path, schema=", ".join(f"{c} string" for c in RAW_TEXT))
+    back = readers.read_facilities(spark, path, schema=", ".join(f"{c} string" for c in RAW_TEXT),
+                                   multi_line=True)
     return back.select("facility_id", "name", "address_state", "address_city", "specialties",
                        F.md5("description").alias("description_md5"))
 
@@ -654,7 +655,7 @@ def critical_specialties(spark, sf):
 @query
 def gap_lookup(spark, sf):
     return plain(gaps.gap_lookup(
-        questions(spark, sf), gap_table(spark, sf), list(TABLE_SPECIALTIES)).select(
+        questions(spark, sf), gap_table(spark, sf)).select(
         "query_id", "rank", "state", "specialty", "desert_severity"))
 
 

@@ -15,7 +15,7 @@ RENAMED = {
 
 
 def read_facilities(spark: SparkSession, path: str, max_rows: int | None = None,
-                    schema: str | None = None, multi_line: bool = True) -> DataFrame:
+                    schema: str | None = None, multi_line: bool = False) -> DataFrame:
     """CSV with header and a zero-padded id in file order.
 
     Two passes without a shuffle of the records: the first counts rows per file split,
