@@ -34,9 +34,11 @@ def sentence_citations() -> Column:
     return F.when(F.size(said) > 0, said).otherwise(fallback)
 
 
-def source_snippet(chars: int = 400) -> Column:
-    return F.substring(F.coalesce(X.blank_to_null(F.col("description")),
-                                  X.text_or_empty(F.col("searchable_text"))), 1, chars)
+def source_snippet(chars: int | None = 400) -> Column:
+    """The record's text, cut for display (None: whole)."""
+    text = F.coalesce(X.blank_to_null(F.col("description")),
+                      X.text_or_empty(F.col("searchable_text")))
+    return text if chars is None else F.substring(text, 1, chars)
 
 
 def trust_justification(legacy_labels: bool = False) -> Column:
@@ -137,7 +139,7 @@ def query_trace(queries: DataFrame, answered: DataFrame) -> DataFrame:
     scored = F.when(F.col("trust_score") > 0, F.col("trust_score"))
     per_query = answered.groupBy("query_id").agg(
         F.max("total_found").alias("candidates"),
-        F.round(F.avg(scored), 1).alias("avg_trust"),
+        F.sum(F.round(scored * 10).cast("bigint")).alias("tenths"), F.count(scored).alias("scored"),
         F.count_if(F.col("validation_verdict") == "VERIFIED").alias("verified"),
         F.count_if(F.col("validation_verdict") == "DISPUTED").alias("disputed"),
         F.count_if(F.col("self_corrected")).alias("self_corrected"),
@@ -147,7 +149,9 @@ def query_trace(queries: DataFrame, answered: DataFrame) -> DataFrame:
     return queries.select("query_id", tokens.alias("tokens")).join(
         per_query, "query_id", "left").select(
         "query_id", F.coalesce("candidates", zero).cast("bigint").alias("candidates"),
-        F.coalesce("avg_trust", F.lit(0.0)).alias("avg_trust"),
+        # scores have one decimal: a mean of whole tenths, halves up, in any order of the rows
+        F.coalesce(F.try_divide(F.expr("(2 * tenths + scored) div (2 * nullif(scored, 0))"), F.lit(10.0)),
+                   F.lit(0.0)).alias("avg_trust"),
         *[F.coalesce(c, zero).alias(c) for c in ("verified", "disputed", "self_corrected")],
         "tokens")
 

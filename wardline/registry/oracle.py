@@ -628,7 +628,9 @@ check("answer_summary", """SELECT a.query_id, coalesce(s.total_found, 0)::BIGINT
   END AS answer FROM asked a LEFT JOIN shown s ON a.query_id = s.query_id AND s.rank = 1""",
       UP_TO_GOLD, ANSWERS)
 check("query_trace", f"""SELECT a.query_id, coalesce(max(s.total_found), 0)::BIGINT AS candidates,
-  coalesce(round(avg(CASE WHEN s.trust_score > 0 THEN s.trust_score END), 1), 0.0::DOUBLE)
+  coalesce(((2 * sum(round(s.trust_score * 10)::BIGINT) FILTER (WHERE s.trust_score > 0)
+      + count(*) FILTER (WHERE s.trust_score > 0))
+    // (2 * nullif(count(*) FILTER (WHERE s.trust_score > 0), 0)))::DOUBLE / 10.0::DOUBLE, 0.0::DOUBLE)
     AS avg_trust,
   count(*) FILTER (WHERE s.validation_verdict = 'VERIFIED') AS verified,
   count(*) FILTER (WHERE s.validation_verdict = 'DISPUTED') AS disputed,
@@ -697,7 +699,7 @@ check("min_doctors", """SELECT facility_id, number_doctors, inferred_doctors FRO
   WHERE coalesce(number_doctors, inferred_doctors) > 5""", UP_TO_CLAIMS)
 
 # --- validation ----------------------------------------------------------------------------
-SNIPPET = "lower(substring(coalesce(nullif(description, ''), searchable_text), 1, 400))"
+SNIPPET = "lower(coalesce(nullif(description, ''), searchable_text))"
 
 
 def first_found(words) -> str:

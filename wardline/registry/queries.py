@@ -527,12 +527,12 @@ def contradiction_text(spark, sf):
 @query
 def standards_check(spark, sf):
     return validate.standards_long(validate.with_standards_check(
-        gold(spark, sf), present.source_snippet()))
+        gold(spark, sf), present.source_snippet(None)))
 
 
 @query
 def failed_claims(spark, sf):
-    checked = validate.with_standards_check(gold(spark, sf), present.source_snippet())
+    checked = validate.with_standards_check(gold(spark, sf), present.source_snippet(None))
     return plain(checked.select(
         "facility_id", validate.failed_claims(F.col("standards_check")).alias("failed"))
         .where(F.size("failed") > 0))

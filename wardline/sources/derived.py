@@ -20,9 +20,9 @@ SELECT
   concat(n.n_name, '_C', CAST(d.doc_id % 3 AS STRING)) AS address_city,
   CASE WHEN d.doc_id % 23 = 0 THEN NULL
        ELSE CAST(100000 + (d.doc_id % 25) * 10 + d.doc_id % 4 AS STRING) END AS address_zip,
-  CASE WHEN d.doc_id % 50 = 7 THEN NULL
+  CASE WHEN d.doc_id % 50 = 7 OR d.text IS NULL THEN NULL
        ELSE 8e0 + ((d.doc_id * 37) % 2900) / 100e0 END AS latitude,
-  CASE WHEN d.doc_id % 50 = 7 THEN NULL
+  CASE WHEN d.doc_id % 50 = 7 OR d.text IS NULL THEN NULL
        ELSE 68e0 + ((d.doc_id * 91) % 2900) / 100e0 END AS longitude,
   CASE WHEN d.doc_id % 30 = 11 THEN NULL
        WHEN d.doc_id % 5 = 0 THEN 'Hospital'
@@ -47,7 +47,7 @@ SELECT
        WHEN 3 THEN 'Surgery with anaesthesiologist on call.'
        WHEN 4 THEN 'Dialysis unit, 24 hours.'
        WHEN 6 THEN 'Neonatal NICU and maternity ward.' END AS capability,
-  CASE WHEN d.doc_id % 11 = 0 THEN NULL ELSE d.text END AS description,
+  d.text AS description,
   CASE d.doc_id % 9 WHEN 0 THEN '1' WHEN 1 THEN '12' WHEN 2 THEN 'n/a' END AS "numberDoctors",
   CASE WHEN d.doc_id % 20 = 0 THEN '50' END AS capacity,
   CASE d.doc_id % 3 WHEN 0 THEN '2024-05-01' WHEN 1 THEN 'null' END AS recency_of_page_update,
@@ -56,7 +56,9 @@ SELECT
        WHEN 1 THEN concat('```json', chr(10),
             '{"properties": {"has_icu": true, "has_24_7": true}}', chr(10), '```')
        WHEN 2 THEN 'not json' END AS model_reply
-FROM {documents} d JOIN {nation} n ON d.doc_id % 25 = n.n_nationkey
+FROM (SELECT doc_id, text FROM {documents}
+      UNION ALL SELECT doc_id + 360360000, NULL FROM {documents} WHERE doc_id % 11 = 0) d
+JOIN {nation} n ON d.doc_id % 25 = n.n_nationkey
 """
 
 # User questions: every user turn, with a clinical request appended by its number so
@@ -69,11 +71,11 @@ SELECT
        WHEN 1 THEN concat('Find hospital with ICU and emergency care in ', n.n_name,
                           ' trust above ', CAST(40 + c.turn AS STRING), '. ', c.text)
        WHEN 2 THEN concat('List clinic claiming surgery with contradictions near ', n.n_name,
-                          '_C1')
+                          '_C1 ', c.text)
        WHEN 3 THEN concat(c.text, ' kidney and cancer care open 24/7')
-       WHEN 4 THEN 'eye'
+       WHEN 4 THEN concat('eye ', c.text)
        WHEN 5 THEN concat('states lack psychiatric support and maternity wards ', c.text)
-       WHEN 6 THEN 'ok'
+       WHEN 6 THEN concat('ok ', c.text)
        WHEN 7 THEN concat('Disputed ICU beds in ', lower(n.n_name), ' ', c.text)
        ELSE c.text END AS query,
   CASE c.conv_id % 4 WHEN 0 THEN 'hi-IN' WHEN 1 THEN 'en' WHEN 2 THEN 'ur' END AS language,
