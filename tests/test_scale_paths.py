@@ -67,6 +67,19 @@ def test_search_in_passes_equals_one_pass(spark, small_gold, monkeypatch):
     assert rows(search.hybrid_search(small_gold, s, asked(spark), 10)) == one
 
 
+def test_repeated_and_null_query_ids_lose_no_answer(spark, small_gold, monkeypatch):
+    s = search.silver_view(small_gold)
+    queries = asked(spark).withColumn("query_id", F.expr("if(query_id > 4, null, 7L)"))
+
+    def found():
+        got = search.hybrid_search(small_gold, s, queries, 5)
+        return rows(got.withColumn("query_id", F.coalesce("query_id", F.lit(-1))))
+
+    one = found()
+    monkeypatch.setattr(search, "QUERIES_PER_PASS", 5)
+    assert found() == one and one
+
+
 def test_search_with_a_hot_name_matches_brute_force(spark, small_gold):
     g = small_gold.withColumn("name", F.when(F.col("facility_id") % 3 != 0, "same")
                               .otherwise(F.col("name")))

@@ -102,9 +102,9 @@ def search_specs(queries: DataFrame, use_24_7: bool = False) -> DataFrame:
     ).alias("spec"))
 
 
-def _spec_rows(specs: DataFrame) -> list[dict]:
+def _as_dicts(rows: list) -> list[dict]:
     """The records of one pass on the driver: never more than QUERIES_PER_PASS."""
-    return [r["spec"].asDict(recursive=True) for r in specs.limit(QUERIES_PER_PASS).collect()]
+    return [r["spec"].asDict(recursive=True) for r in rows]
 
 
 def _mask(q: Column, hits: Column) -> Column:
@@ -149,7 +149,8 @@ def hybrid_search(gold: DataFrame, silver: DataFrame, queries: DataFrame,
     specs = search_specs(queries, use_24_7)
     passes = -(-specs.count() // QUERIES_PER_PASS)
     if passes <= 1:
-        return _search_pass(gold, silver, _spec_rows(specs), num_results, ignore_case)
+        return _search_pass(gold, silver, _as_dicts(specs.limit(QUERIES_PER_PASS).collect()),
+                            num_results, ignore_case)
     return _search_passes(gold, silver, specs, num_results, ignore_case)
 
 
@@ -157,21 +158,20 @@ def _search_passes(gold, silver, specs, num_results, ignore_case):
     spark = specs.sparkSession
     source, out = scratch_path(spark, "queries"), scratch_path(spark, "answers")
     parts = -(-2 * specs.count() // QUERIES_PER_PASS)
-    part = F.pmod(F.xxhash64("spec.query_id"), F.lit(parts))
-    specs.withColumn("part", part).write.partitionBy("part").parquet(source)
+    # rows are numbered, since query ids may repeat or be null
+    specs.withColumn("row", F.monotonically_increasing_id()).withColumn(
+        "part", F.pmod(F.xxhash64("row"), F.lit(parts))).write.partitionBy("part").parquet(source)
     stored = spark.read.parquet(source)
     for p in range(parts):
-        last = None
+        last = -1
         while True:
-            # a part is read in query order, one bounded pass after another
-            todo = stored.where(F.col("part") == p)
-            if last is not None:
-                todo = todo.where(F.col("spec.query_id") > last)
-            rows = _spec_rows(todo.orderBy("spec.query_id").select("spec"))
-            if not rows:
+            # a part is read in row order, one bounded pass after another
+            todo = stored.where((F.col("part") == p) & (F.col("row") > last)) \
+                .orderBy("row").limit(QUERIES_PER_PASS).select("row", "spec").collect()
+            if not todo:
                 break
-            last = rows[-1]["query_id"]
-            _search_pass(gold, silver, rows, num_results, ignore_case) \
+            last = todo[-1]["row"]
+            _search_pass(gold, silver, _as_dicts(todo), num_results, ignore_case) \
                 .write.mode("append").parquet(out)
     return spark.read.parquet(out)
 
