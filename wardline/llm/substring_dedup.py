@@ -241,27 +241,44 @@ def _pairs_of(values) -> np.ndarray:
     return np.zeros((0, 2), np.int64) if values is None else np.asarray(values).reshape(-1, 2)
 
 
-def _tops(batches):
-    """Of each row's repeated symbols (they nest) those that no other one holds."""
-    for batch in batches:
-        keys = batch.column("row_key").to_numpy()
-        out = [[], [], [], []]
-        for key, at, to, name in zip(keys, *(_lists(batch.column(c))
-                                             for c in ("at", "to", "name"))):
-            order = np.lexsort((-to, at))
-            reach = np.maximum.accumulate(to[order])
-            top = order[np.append(True, to[order][1:] > reach[:-1])]
-            for column, x in zip(out, (name[top], np.full(len(top), key), at[top], to[top])):
-                column.append(x)
-        if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out],
-                                             ["name", "row_key", "at", "to"])
+def _tops(window):
+    """Of each row's repeated symbols (they nest) those that no other one holds; and, named by
+    both, the words of the windows that cross from one of them into the next and lie in neither,
+    where no word stands between the two."""
+    def run(batches):
+        for batch in batches:
+            keys = batch.column("row_key").to_numpy()
+            out = [[], [], [], []]
+            for key, at, to, name in zip(keys, *(_lists(batch.column(c))
+                                                 for c in ("at", "to", "name"))):
+                order = np.lexsort((-to, at))
+                reach = np.maximum.accumulate(to[order])
+                top = order[np.append(True, to[order][1:] > reach[:-1])]
+                name, at, to = name[top], at[top], to[top]
+                over = to[:-1] - at[1:]
+                meet = np.flatnonzero(over >= 0)
+                u = name.view(np.uint64)
+                both = mix(mix(u[meet] * np.uint64(7) + mix(u[meet + 1] ^ np.uint64(0x5C5C5C5C)))
+                           + over[meet].astype(np.uint64))
+                # the crossing windows start behind to - window and before the next symbol
+                a, b = to[meet] - window + 1, at[meet + 1] + window - 1
+                some = b - a >= window
+                for column, x in zip(out, (np.append(name, signed(both[some])),
+                                           np.full(len(name) + int(some.sum()), key),
+                                           np.append(at, a[some]), np.append(to, b[some]))):
+                    column.append(x)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.concatenate(x).astype(t)) for x, t in
+                    zip(out, (np.int64, np.int64, np.int32, np.int32))],
+                    ["name", "row_key", "at", "to"])
+    return run
 
 
 def _left_windows(window):
     """Hashes of open windows that hold a word no repeated symbol verifies, with their places;
-    and without place those inside the one copy of each repeated symbol that stands for all,
-    since they occur again for certain."""
+    and without place those inside the one copy of each repeated symbol, or of each two that
+    meet, that stands for all: none of these asks, but a window with a place may equal it."""
     def run(batches):
         for batch in batches:
             keys = batch.column("row_key").to_numpy()
@@ -347,7 +364,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     covers = steps.put("covers", found.groupBy("row_key").agg(
         F.flatten(F.collect_set(F.array("at", "to"))).alias("covers")))
     tops = found.groupBy("row_key").agg(*[F.collect_list(c).alias(c) for c in ("at", "to", "name")])
-    one = tops.mapInArrow(_tops, "name long, row_key long, at int, to int").groupBy("name").agg(
+    one = tops.mapInArrow(_tops(window), "name long, row_key long, at int, to int").groupBy("name").agg(
         F.min(F.struct("row_key", "at", "to")).alias("one")).select("one.*")
     chosen = one.groupBy("row_key").agg(F.flatten(F.collect_set(F.array("at", "to"))).alias("chosen"))
 
