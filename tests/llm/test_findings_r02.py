@@ -3,6 +3,7 @@
 import numpy as np
 
 from tests.llm.test_operators import frame, passages
+from wardline.llm.nn_descent import near_vectors
 from wardline.llm.substring_dedup import substring_dedup
 
 
@@ -17,3 +18,20 @@ def test_fragment_across_repeated_symbols(spark):
             rows.append((len(rows), " ".join(ends[2 * k] + x + ends[2 * k + 1]), "en", "a"))
     got = sorted((tuple(r)[:4] for r in substring_dedup(frame(spark, rows)).collect()), key=repr)
     assert got == passages([r[:2] for r in rows])
+
+
+def test_links_between_saturated_groups(spark):
+    """Two groups of 20 whose cross cosines are just over 0.95: no list of 8 holds a cross link."""
+    rng = np.random.default_rng(3)
+    e = np.eye(32)
+    far = 0.953 * e[0] + np.sqrt(1 - 0.953 ** 2) * e[1]
+    x = np.concatenate([np.stack([c] * 20) + rng.normal(0, 1e-4, (20, 32)) for c in (e[0], far)]
+                       + [rng.normal(size=(60, 32))])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    ok = (u @ u.T >= 0.95) & ~np.eye(len(u), dtype=bool)
+    assert ok[:20, 20:40].all()
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)],
+                               "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_vectors(df).collect()}
+    assert got == {i: (int(ok[i].sum()), 0 if i < 40 else i, i == 0 or i >= 40) for i in got}
+    assert len(got) == len(x)

@@ -4,12 +4,13 @@ Every distinct vector keeps a list of its K nearest vectors so far. The first li
 neighbours in the sorted order of random hash strings. A round brings together, at each vector,
 the vectors on its list and those that list it, and compares all that have not met there before:
 neighbours of neighbours become neighbours. Vectors that very many others list deal these out in
-groups of GROUP, anew each round. Rounds end when no link at the threshold is new.
+groups of GROUP, anew each round. Rounds end when at most UPDATES of the list entries are new.
 
-A list full of links is saturated: it may hide further ones. It is enlarged to the whole group
-of vectors that its links reach, which are compared in blocks; only counts leave a block, never
-pairs. An audit compares up to AUDIT vectors (a documented bound) with all rows; as long as the
-links found fall short of RECALL of theirs, K is doubled and rounds go on.
+A list full of links is saturated: it may hide further ones, also to other groups. All members of
+a group with a saturated list are compared with all vectors in blocks; counts and pairs of groups
+leave a block, never pairs of vectors. An audit compares up to AUDIT vectors (a documented bound)
+with all rows; as long as the share of its links that an audited vector has, on the mean over
+those with few links or over those with many, is under RECALL, K is doubled and rounds go on.
 
 Equal vectors are one vertex with a count. Defined cases: vectors that are null, zero, or hold
 null or non-finite components, or have an unusual length link with nothing; rows with a null id
@@ -33,6 +34,7 @@ GROUP = 64
 BLOCK = 2_000
 AUDIT = 512
 RECALL = 0.99
+UPDATES = 0.001
 MAX_ROUNDS = 10
 SEED = 20240229
 #: Descent works on single precision; links within this of the threshold are decided in double.
@@ -188,32 +190,51 @@ def _links(lists: DataFrame, units: DataFrame, threshold: float) -> DataFrame:
 
 
 def _block_counts(threshold):
-    """Links of each vector of two blocks of a group with the other block (or within one)."""
+    """Links of a block of members of saturated groups (side 0) with a block of all vectors (side
+    1), for both ends, and the pairs of different groups that links join."""
     def run(table):
-        side = table.column("side").to_numpy()
-        ids, n = table.column("node").to_numpy(), table.column("n").to_numpy()
+        side, wide = (table.column(c).to_numpy() for c in ("side", "wide"))
+        ids, n, group = (table.column(c).to_numpy() for c in ("node", "n", "component"))
         u = _stack(table.column("unit"), np.float64)
         a, b = side == 0, side == 1
-        if not b.any():
-            ok = (u @ u.T >= threshold) & (ids[:, None] != ids[None, :])
-            return pa.table({"node": ids, "links": (ok * n).sum(axis=1)})
-        ok = u[a] @ u[b].T >= threshold
-        return pa.table({"node": np.append(ids[a], ids[b]), "links": np.append(
-            (ok * n[b]).sum(axis=1), (ok * n[a][:, None]).sum(axis=0))})
+        ok = (u[a] @ u[b].T >= threshold) & (ids[a][:, None] != ids[b][None, :])
+        # vectors of saturated groups have their turn as side 0
+        rest = ~wide[b]
+        nodes = np.append(ids[a], ids[b][rest])
+        links = np.append((ok * n[b]).sum(axis=1), (ok * n[a][:, None]).sum(axis=0)[rest])
+        i, j = np.nonzero(ok & (group[a][:, None] != group[b][None, :]))
+        pairs = np.unique(np.stack([group[a][i], group[b][j]], axis=1), axis=0)
+        none, blank = pa.nulls(len(pairs), pa.int64()), pa.nulls(len(nodes), pa.int64())
+        return pa.table([
+            pa.concat_arrays([pa.array(nodes), none]), pa.concat_arrays([pa.array(links), none]),
+            *(pa.concat_arrays([blank, pa.array(pairs[:, c])]) for c in (0, 1))],
+            ["node", "links", "a", "b"])
     return run
 
 
-def _enlarged(members: DataFrame, threshold: float) -> DataFrame:
-    """(node, links) of all vectors of groups with a saturated list; members: component, node,
-    n, unit, size (of the group)."""
-    blocks = F.ceil(F.col("size") / BLOCK).cast("long")
-    dealt = members.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("node"), "blocks"))
-    sent = dealt.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).select(
-        "component", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
-        (F.col("mine") > F.col("other")).cast("int").alias("side"), "node", "n", "unit")
-    return sent.groupBy("component", "i", "j").applyInArrow(
-        _block_counts(threshold), "node long, links long").groupBy("node").agg(
-        F.sum("links").alias("links"))
+def _enlarged(placed: DataFrame, threshold: float) -> DataFrame:
+    """(node, links) and (a, b), pairs of groups that a link joins, from the comparison of all
+    vectors of groups with a saturated list with all vectors; placed: component, wide (of such a
+    group), node, n, unit."""
+    total, wide = placed.agg(F.count(F.lit(1)), F.count_if("wide")).first()
+    rows, columns = -(-wide // BLOCK), -(-total // BLOCK)
+    place = lambda n: F.pmod(F.xxhash64("node"), F.lit(max(1, n)))
+    each = lambda n: F.explode(F.expr(f"sequence(0L, {max(1, n) - 1}L)"))
+    kept = ["component", "wide", "node", "n", "unit"]
+    asking = placed.filter("wide").select(place(rows).alias("i"), F.lit(0).alias("side"), *kept) \
+        .select("*", each(columns).alias("j"))
+    asked = placed.filter(F.lit(wide > 0)).select(
+        place(columns).alias("j"), F.lit(1).alias("side"), *kept).select("*", each(rows).alias("i"))
+    return asking.unionByName(asked).groupBy("i", "j").applyInArrow(
+        _block_counts(threshold), "node long, links long, a long, b long")
+
+
+def _recall(truth: dict, got: dict, k: int) -> float:
+    """Mean share of an audited vector's links that were found; the smaller mean of the vectors
+    with up to k and with more links."""
+    share = [(t > k, min(got.get(i, 0), t) / t) for i, t in truth.items() if t]
+    return min((float(np.mean(x)) for many in (False, True)
+                if (x := [v for m, v in share if m == many])), default=1.0)
 
 
 def _truth(sample, threshold):
@@ -255,41 +276,45 @@ def near_vectors(table: DataFrame, threshold: float = 0.95, k: int = K, trees: i
     truth = {r["node"]: r["links"] for r in units.mapInArrow(_truth(
         spark.sparkContext.broadcast(asked), threshold), "node long, links long").groupBy("node").agg(
         F.sum("links").alias("links")).collect()}
-    near = F.sum((F.col("s") >= threshold - SLACK).cast("long"))
-    known, turn = _flat(lists).agg(near).first()[0] or 0, 0
+    vertices, turn = units.count(), 0
     while True:
         for _ in range(MAX_ROUNDS):
             turn += 1
             lists = steps.put("lists", _round(lists, units, k, turn))
-            found = _flat(lists).agg(near).first()[0] or 0
-            if found == known:
+            entries, fresh = _flat(lists).agg(F.count(F.lit(1)), F.count_if("fresh")).first()
+            if fresh <= UPDATES * entries:
                 break
-            known = found
         links = steps.put("links", _links(lists, units, threshold))
         groups = steps.put("groups", components(links, steps))
         full = lists.filter((F.size("list") >= k) & (F.element_at("list", -1)["s"] >= threshold - SLACK))
-        wide = steps.put("wide", groups.join(full.select("node"), "node", "left_semi").select(
-            "component").distinct())
-        inside = groups.join(wide, "component", "left_semi").join(
-            groups.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "component") \
-            .join(units.select("node", "n", "unit"), "node")
+        grouped = units.select("node", "n", "unit").join(groups, "node", "left").withColumn(
+            "component", F.coalesce("component", "node"))
+        wide = steps.put("wide", grouped.join(full.select("node"), "node", "left_semi").select(
+            "component", F.lit(True).alias("wide")).distinct())
+        placed = steps.put("placed", grouped.join(wide, "component", "left").withColumn(
+            "wide", F.coalesce("wide", F.lit(False))))
+        blocks = steps.put("blocks", _enlarged(placed, threshold))
+        # listed links of the other groups stay inside them, so that none is counted twice
         counts = steps.put("counts", links.select("a", "b").unionByName(links.select(
             F.col("b").alias("a"), F.col("a").alias("b"))).join(
-            groups.join(wide, "component", "left_anti").select(F.col("node").alias("a")), "a",
-            "left_semi").join(units.select(F.col("node").alias("b"), "n"), "b").groupBy(
-            F.col("a").alias("node")).agg(F.sum("n").alias("links")).unionByName(
-            _enlarged(inside, threshold)))
+            placed.filter("not wide").select(F.col("node").alias("a")), "a",
+            "left_semi").join(units.select(F.col("node").alias("b"), "n"), "b").select(
+            F.col("a").alias("node"), F.col("n").alias("links")).unionByName(
+            blocks.filter("node is not null").select("node", "links")).groupBy("node").agg(
+            F.sum("links").alias("links")))
         got = {r["node"]: r["links"] for r in counts.filter(F.col("node").isin(
             asked[0].tolist())).collect()}
-        true = sum(truth.values())
-        if sum(min(got.get(i, 0), t) for i, t in truth.items()) >= RECALL * true or k >= 64:
+        if k >= vertices or _recall(truth, got, k) >= RECALL:
             break
         k *= 2
         lists = lists.withColumn("list", F.transform("list", lambda e: F.struct(
             e["s"].alias("s"), e["v"].alias("v"), F.lit(True).alias("fresh"))))
-    ends = units.select("node", "n").join(counts, "node", "left").join(groups, "node", "left").select(
+    joined = steps.put("joined", components(blocks.filter("a is not null").select("a", "b"), steps)) \
+        .select(F.col("node").alias("component"), F.col("component").alias("root"))
+    ends = placed.select("node", "n", "component").join(joined, "component", "left").join(
+        counts, "node", "left").select(
         "node", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"),
-        F.coalesce("component", "node").alias("component_id"))
+        F.coalesce("root", "component").alias("component_id"))
     # rows -> vertex by the vector itself
     vertex = steps.put("vertex", counted.select("vector", "node").join(ends, "node"))
     linked = rows.join(vertex, "vector").select("vec_id", "n_links", "component_id")
