@@ -3,6 +3,7 @@
 import numpy as np
 
 from tests.llm.test_operators import frame, passages
+from wardline.llm.html_text import extract
 from wardline.llm.nn_descent import near_vectors
 from wardline.llm.substring_dedup import substring_dedup
 
@@ -35,3 +36,16 @@ def test_links_between_saturated_groups(spark):
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_vectors(df).collect()}
     assert got == {i: (int(ok[i].sum()), 0 if i < 40 else i, i == 0 or i >= 40) for i in got}
     assert len(got) == len(x)
+
+
+def test_copies_keep_their_article(spark):
+    """24 copies of one page on a host of 25, and 25 pages that differ in a number only."""
+    page = "<html><body><article><h1>Summary</h1><p>Body of the one article here.</p>{}</article></body></html>"
+    rows = [(i, "http://a.org/x", page.format("")) for i in range(24)]
+    rows += [(24, "http://a.org/y", "<body><article><p>Other text.</p></article></body>")]
+    rows += [(100 + i, "http://b.org/x", page.format(f"<p>{i}</p>")) for i in range(25)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in extract(df).collect()}
+    text = "Summary Body of the one article here."
+    assert got == {**{i: text for i in range(24)}, 24: "Other text.",
+                   **{100 + i: f"{text} {i}" for i in range(25)}}

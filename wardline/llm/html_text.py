@@ -7,8 +7,9 @@ page hashes times counts, so it needs no list of pages and adds up hot hosts ins
 Classes of two tokens or more on enough pages are valid; they nest by their paths, and the once
 per page ones form the template. Its elements are the slots: the main slot of a host is the
 article or main element of the template, or else its deepest element that holds most of the
-text outside menus, adverts and the like. Texts that stand in the main slot of nearly all pages
-of a host are tokens of the template too and are left out.
+text outside menus, adverts and the like. Texts outside side parts that stand on nearly all
+distinct pages of a host are tokens of the template too and are left out, except on pages that
+would lose more than half of their text: there they are the article.
 
 A second pass extracts the main slot of each page. A page of a host without template (few pages,
 or other mark-up) has its own article or main element, or the whole body, as main slot.
@@ -148,7 +149,8 @@ def _tokens(batches):
     side parts and link text (of everything below an element)."""
     for batch in batches:
         total: dict[tuple, list] = {}
-        for host, page, html in zip(*(batch.column(c).to_pylist() for c in ("host", "draw", "html"))):
+        for host, page, rows, html in zip(*(batch.column(c).to_pylist() for c in (
+                "host", "draw", "rows", "html"))):
             here: dict[tuple, list] = {}
             walk = _Walk(html or "")
             for kind, text in walk.events():
@@ -161,24 +163,27 @@ def _tokens(batches):
                         got[2] += size * walk.link
                     here.setdefault(("text", _text_key(walk.path, text.strip())), [0, 0, 0])[0] += 1
             for token, (n, size, link) in here.items():
-                sums = total.setdefault((host, *token), [0] * 5)
-                for i, x in enumerate((1, n, page * n, size, link)):
+                sums = total.setdefault((host, *token), [0] * 6)
+                for i, x in enumerate((rows, n * rows, page * n, size * rows, link * rows, 1)):
                     sums[i] += x
         if total:
             keys, sums = zip(*total.items())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(x, pa.string()) for x in zip(*keys)] + [pa.array(x, pa.int64()) for x in zip(*sums)],
-                ["host", "kind", "token", "pages", "n", "vector", "size", "link"])
+                ["host", "kind", "token", "pages", "n", "vector", "size", "link", "contents"])
 
 
 def templates(pages: DataFrame, steps: Steps) -> DataFrame:
     """(host, main, shared): the main slot's path, and the keys of template texts."""
-    tokens = steps.put("tokens", pages.select(
-        "host", F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 24)).alias("draw"), "html").mapInArrow(
+    # copies are read once and count as one content, but as so many pages
+    contents = pages.groupBy("host", "html").agg(F.count(F.lit(1)).alias("rows"), F.sum(
+        F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 24))).alias("draw"))
+    tokens = steps.put("tokens", contents.mapInArrow(
         _tokens, "host string, kind string, token string, pages long, n long, vector long, "
-                 "size long, link long").groupBy("host", "kind", "token").agg(
-        *[F.sum(c).alias(c) for c in ("pages", "n", "vector", "size", "link")]))
-    of_host = pages.groupBy("host").agg(F.count(F.lit(1)).alias("all"))
+                 "size long, link long, contents long").groupBy("host", "kind", "token").agg(
+        *[F.sum(c).alias(c) for c in ("pages", "n", "vector", "size", "link", "contents")]))
+    of_host = pages.groupBy("host").agg(F.count(F.lit(1)).alias("all"), F.count_distinct(
+        F.xxhash64(F.coalesce("html", F.lit("")))).alias("all_contents"))
     tags = tokens.filter("kind <> 'text'")
     valid = tags.groupBy("host", "pages", "n", "vector").agg(F.count(F.lit(1)).alias("members")) \
         .filter(f"members > 1 and pages >= {LEAST_PAGES} and n = pages")
@@ -192,7 +197,8 @@ def templates(pages: DataFrame, steps: Steps) -> DataFrame:
         F.max_by("token", F.struct(named, F.col("size") * named.cast("int"), F.size(F.split(
             "token", "/")), "token")).alias("main"))
     shared = tokens.filter("kind = 'text'").join(of_host, "host").filter(
-        (F.col("pages") >= TEXT_PAGES) & (F.col("pages") >= TEXT_SHARE * F.col("all"))).groupBy(
+        (F.col("contents") >= TEXT_PAGES) & (F.col("contents") >= TEXT_SHARE * F.col(
+            "all_contents"))).groupBy(
         "host").agg(F.collect_set("token").alias("shared"))
     return steps.put("templates", main.join(shared, "host", "left"))
 
@@ -202,9 +208,11 @@ def main_text(html: str, main: str | None, shared: frozenset) -> str:
     own, body, found = [], [], []
     walk, depth = _Walk(html), 0
     for kind, text in walk.events():
+        drop = False
         if kind == "text":
-            if walk.outside or shared and _text_key(walk.path, text.strip()) in shared:
+            if walk.outside:
                 continue
+            drop = bool(shared) and _text_key(walk.path, text.strip()) in shared
             text = unescape(text)
         elif kind == "open":
             depth += text == main
@@ -212,15 +220,16 @@ def main_text(html: str, main: str | None, shared: frozenset) -> str:
             depth -= text == main
         if kind not in ("text", "break"):
             continue
-        text = text or " "
-        body.append(text)
+        part = text or " ", drop
+        body.append(part)
         if depth > 0:
-            found.append(text)
+            found.append(part)
         if any(s[0] in _MAIN for s in walk.stack):
-            own.append(text)
+            own.append(part)
     for parts in (found, own, body):
-        if out := " ".join("".join(parts).split()):
-            return out
+        if whole := " ".join("".join(text for text, _ in parts).split()):
+            left = " ".join("".join(text for text, drop in parts if not drop).split())
+            return left if 2 * len(left) >= len(whole) else whole
     return ""
 
 
