@@ -253,7 +253,7 @@ def test_html_text(spark):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_queries_cover_their_tables(spark, name):
     rows = QUERIES[name](spark, SMALL).collect()
-    table = {"op3": "pages", "op4": "embeddings", "op6": "embeddings"}.get(name.split("_")[0], "documents")
+    table = {"op3": "pages", "op13": "pages", "op4": "embeddings", "op6": "embeddings", "op11": "embeddings"}.get(name.split("_")[0], "documents")
     n = spark.read.parquet(f"{SMALL}/{table}.parquet").count()
     assert len(rows) == 50 if name.startswith("op4") else len(rows) >= n
 

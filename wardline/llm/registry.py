@@ -5,7 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wardline.llm import language_id, lsh_forest, mixing, packing, sharding
+from wardline.llm import (filter_audit, language_id, lsh_forest, mixing, packing, sharding, warc,
+                          whitening)
 from wardline.llm.html_text import extract
 from wardline.llm.line_dedup import line_dedup
 from wardline.llm.minhash_dedup import near_duplicates
@@ -122,3 +123,70 @@ def op6_nn_descent(spark, sf):
 @query
 def op3_html_text(spark, sf):
     return extract(table(spark, sf, "pages"))
+
+
+@query
+def op11_whitening(spark, sf):
+    return whitening.whiten(table(spark, sf, "embeddings"))
+
+
+@query
+def op12_filter_audit(spark, sf):
+    return filter_audit.audit(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+ORACLE["op12_filter_audit"] = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+first AS (SELECT t, min(doc_id) AS least FROM d GROUP BY t),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good,
+             max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
+f AS (SELECT w.part, coalesce(l.good, 0) AS good, coalesce(l.bad, 0) AS bad,
+             [len(ws) < 200, 100 * len(list_distinct(ws)) < 50 * len(ws),
+              100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t),
+              regexp_matches(t, '[#$%&*|]'), coalesce(least < w.doc_id, false)] AS fails
+      FROM w JOIN first USING (t) LEFT JOIN l ON l.doc_id = w.doc_id),
+c AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(bad) AS bad FROM f GROUP BY ALL),
+s AS (SELECT unnest(range(1, 6)) AS i),
+orders AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM s a, s b, s c, s d, s e
+           WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+m AS (SELECT part, o, s.i AS step, o[s.i] AS f, n, good, bad, fails,
+             fails[o[s.i]] AS failing,
+             len(list_filter(range(1, s.i), lambda j: fails[o[j]])) > 0 AS gone,
+             len(list_filter(fails, lambda x: x)) AS k
+      FROM c, orders, s),
+r AS (SELECT part, o, step, f, sum(CASE WHEN NOT failing AND NOT gone THEN n ELSE 0 END) AS kept,
+             sum(CASE WHEN failing AND NOT gone THEN n ELSE 0 END) AS removed,
+             sum(CASE WHEN failing AND gone THEN n ELSE 0 END) AS redundant,
+             sum(CASE WHEN failing AND k = 1 THEN n ELSE 0 END) AS unique_fails,
+             sum(CASE WHEN failing AND NOT gone THEN good ELSE 0 END) AS good_lost,
+             sum(CASE WHEN failing AND NOT gone THEN bad ELSE 0 END) AS toxic_lost
+      FROM m GROUP BY ALL)
+SELECT part, array_to_string(list_transform(o, lambda i: substr('ABCDE', i, 1)), '') AS filter_order,
+       CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept,
+       CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+       CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM r"""
+
+
+@query
+def op13_warc_archive(spark, sf):
+    return warc.archive_digests(table(spark, sf, "pages"))
+
+
+ORACLE["op13_warc_archive"] = """
+WITH t AS (SELECT *, coalesce(html, '') AS body FROM pages),
+d AS (SELECT *, sha1(body) AS hex, max(page_id) OVER (PARTITION BY body) AS top FROM t),
+b AS (SELECT *, list_transform(range(0, 32), lambda i:
+               CAST(concat('0x0', substr(hex, (5 * i) // 4 + 1, 1)) AS INTEGER) * 16
+               + CAST(concat('0x0', coalesce(nullif(substr(hex, (5 * i) // 4 + 2, 1), ''), '0'))
+                      AS INTEGER)) AS pairs FROM d)
+SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr(
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((pairs[i + 1] >> (3 - (5 * i) % 4)) & 31) + 1, 1)),
+           '') AS payload_digest,
+       CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to
+FROM b"""
