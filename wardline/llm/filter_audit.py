@@ -4,9 +4,10 @@ A filter is a condition of one document, but for the last one: a document also f
 smaller doc_id has the same text. That one is an existential self-join: documents whose text
 hash occurs under several ids are stored, and a left-semi join on hash, exact text and smaller
 doc_id marks them. Its right side is first reduced to the smallest id per text, which decides
-the existence and keeps a text that a third of all documents share to one row per task. The
-marked ids are united with the ids that fail the other filters, one bit per filter; combinations
-of bits are counted per part. Every order of the filters follows from these counts alone.
+the existence, and put once before every GROUP_ROWS rows of the left side, so that a text that a
+third of all documents share is met in many tasks. The marked ids are united with the ids that
+fail the other filters, one bit per filter; combinations of bits are counted per part. Every
+order of the filters follows from these counts alone.
 
 Defined cases: a null text is empty, so that it equals an empty one; a null source is the part
 ''; a null doc_id is neither smaller nor larger than any other, so that it never fails by the
@@ -27,6 +28,8 @@ from wardline.llm.common import Steps
 
 #: A-E in this order; E is the copy test.
 LETTERS = "ABCDE"
+#: Rows of one text that meet its smallest id in one place; a larger group is split by a salt.
+GROUP_ROWS = 256
 _SPACES = "[\\x20\\x09-\\x0D]+"
 
 
@@ -46,12 +49,17 @@ def copies(rows: DataFrame, narrow: DataFrame, steps: Steps) -> DataFrame:
     """(doc_id, part, h) of the rows (doc_id, part, h, text) whose text a smaller doc_id has.
     `narrow` holds doc_id and h of the same rows."""
     repeats = steps.put("repeats", narrow.groupBy("h").agg(
-        F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-        .filter("first < last").select("h"))
-    same = steps.put("same", rows.join(repeats, "h", "left_semi"))
-    least = same.groupBy("h", "text").agg(F.min("doc_id").alias("first"))
+        F.min("doc_id").alias("first"), F.max("doc_id").alias("last"),
+        F.ceil(F.count(F.lit(1)) / GROUP_ROWS).cast("int").alias("salts"))
+        .filter("first < last").select("h", "salts"))
+    same = steps.put("same", rows.join(repeats, "h").withColumn(
+        "salt", F.pmod(F.xxhash64("doc_id"), "salts").cast("int")))
+    least = same.groupBy("h", "text").agg(
+        F.min("doc_id").alias("first"), F.max("salts").alias("salts")) \
+        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     a, b = same.alias("a"), least.alias("b")
-    return a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.text") == F.col("b.text"))
+    return a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.salt") == F.col("b.salt"))
+                  & (F.col("a.text") == F.col("b.text"))
                   & (F.col("b.first") < F.col("a.doc_id")), "left_semi") \
         .select("doc_id", "part", "h")
 
