@@ -60,13 +60,61 @@ def rows(df):
         "query_id", "rank", "gold_id", "silver_id", "relevance_score").collect())
 
 
-def test_search_in_passes_equals_one_pass(spark, small_gold, monkeypatch):
+def test_search_block_by_block_equals_all_blocks(spark, small_gold, monkeypatch):
     s = search.silver_view(small_gold)
     one = rows(search.hybrid_search(small_gold, s, asked(spark), 10))
-    monkeypatch.setattr(search, "QUERIES_PER_PASS", 3)
+    monkeypatch.setattr(search, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(search, "FIRST_BLOCKS", 1)
+    monkeypatch.setattr(search, "NEXT_BLOCKS", 3)
     assert rows(search.hybrid_search(small_gold, s, asked(spark), 10)) == one
 
 
+def test_blocks_that_cannot_enter_are_not_opened(spark, small_gold, monkeypatch):
+    """One block is opened per query; the rest of them hold worse answers only."""
+    records = [(f"{i:03d}", f"n{i}", 99.0 - i // 10, "ventilator" if i % 10 == 0 else "bed") for i in range(400)]
+    g = small_gold.limit(1).drop("facility_id", "name", "trust_score", "searchable_text").crossJoin(
+        spark.createDataFrame(records, "facility_id string, name string, trust_score double, searchable_text string"))
+    opened = []
+    inner = search._opened
+    monkeypatch.setattr(search, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(search, "FIRST_BLOCKS", 6)
+    monkeypatch.setattr(search, "_opened", lambda blocks, *rest: opened.append(blocks.count()) or inner(blocks, *rest))
+    q = asked(spark).where("query_id = 7").withColumn("search_text", F.lit("ventilator"))
+    found = search.hybrid_search(g, search.silver_view(g), q, 1)
+    assert [r.gold_id for r in found.collect()] == ["000"] and sum(opened) <= 12
+
+
+def test_600_queries_match_brute_force(spark, small_gold):
+    rnd = random.Random(8)
+    g = small_gold.limit(60)
+    recs = [r.asDict() for r in g.collect()]
+    words = sorted({w for r in recs for w in r["searchable_text"].split() if w.isalnum() and len(w) > 3})
+    states = sorted({r["address_state"] for r in recs if r["address_state"]})
+    asks = []
+    for i in range(600):
+        text = " ".join(rnd.sample(words, rnd.randrange(4)))
+        asks.append((i, rnd.choice([None, "", *states, "A"]), rnd.choice([None, None, 30.0, 60.0]),
+                     rnd.random() < 0.2, text))
+    q = spark.createDataFrame(asks, "query_id long, state string, min_trust_score double, requires_icu boolean, search_text string")
+    got = rows(search.hybrid_search(g, search.silver_view(g), q, 5))
+    terms = {r["spec"]["query_id"]: [t["term"] for t in r["spec"]["terms"]] for r in search.search_specs(q).collect()}
+    want = []
+    for i, state, trust, icu, _ in asks:
+        hits = []
+        for a in recs:
+            for b in recs:
+                if a["name"] != b["name"] or (trust and a["trust_score"] < trust) or (icu and not a["has_icu"]):
+                    continue
+                if state is not None and (b["address_state"] is None or state not in b["address_state"]):
+                    continue
+                hay = "\n".join([b["searchable_text"], *b["specialties"], *a["capabilities"]])
+                rel = sum(t in hay for t in terms[i])
+                if rel or not terms[i]:
+                    hits.append((-rel, -a["trust_score"], a["facility_id"], b["facility_id"]))
+        want += [(i, n + 1, x[2], x[3], -x[0]) for n, x in enumerate(sorted(hits)[:5])]
+    assert got == sorted(want)
+
+
 def test_repeated_and_null_query_ids_lose_no_answer(spark, small_gold, monkeypatch):
     s = search.silver_view(small_gold)
     queries = asked(spark).withColumn("query_id", F.expr("if(query_id > 4, null, 7L)"))
@@ -76,7 +124,7 @@ def test_repeated_and_null_query_ids_lose_no_answer(spark, small_gold, monkeypat
         return rows(got.withColumn("query_id", F.coalesce("query_id", F.lit(-1))))
 
     one = found()
-    monkeypatch.setattr(search, "QUERIES_PER_PASS", 5)
+    monkeypatch.setattr(search, "BLOCK_ROWS", 5)
     assert found() == one and one
 
 

@@ -1,19 +1,40 @@
-"""Filtered keyword search: many queries answered in one pass, ranked and cut to top-k."""
+"""Filtered keyword search by an inverted index: any number of queries in one plan, ranked and
+cut to top-k.
+
+Names are dealt into blocks by the best trust of their records, so a block holds whole names of
+about equal trust. The index lists, per token of the texts and per filter value, the blocks that
+hold it and which of their records do. A search finds the tokens that hold a term, then for each
+query and block an upper bound: the terms that occur in the block at all and its best trust.
+Blocks are opened best bound first; those that cannot enter the top k any more never are.
+"""
 
 from __future__ import annotations
 
-import json
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from wardline.functions import columns as X
 from wardline.operators import intents
 from wardline.operators.pairs import top_k
 from wardline.sources.layers import cut, scratch_path
 
-# Queries answered per pass; a longer table of queries is answered pass by pass.
-QUERIES_PER_PASS = 256
 KEPT_PER_QUERY = 100
+# Records that one block holds, about; a name that many records share is a block of its own.
+BLOCK_ROWS = 1024
+# Blocks a query opens first, and next; then all that could still hold an answer.
+FIRST_BLOCKS, NEXT_BLOCKS = 64, 1024
+# Letters by which a token is found; query terms have that many at least.
+GRAM = 3
+# Filters whose text may be any part of the value.
+NAMED = ("state", "city")
+# Records that one row of the index marks, one bit each.
+CHUNK = 64
+# Bits of a mask: up to eight terms, then the filters a block can be skipped by.
+TERM_BITS = 0xFF
+FILTER_BITS = {"state": 1 << 8, "city": 1 << 9, "facility_type": 1 << 10, "icu": 1 << 11,
+               "emergency": 1 << 12, "open_24_7": 1 << 13, "dialysis": 1 << 14,
+               "contradictions": 1 << 15}
 
 SPEC = """struct<query_id: bigint, state: string, city: string, facility_type: string,
  min_trust: double, icu: boolean, emergency: boolean, open_24_7: boolean, dialysis: boolean,
@@ -102,16 +123,6 @@ def search_specs(queries: DataFrame, use_24_7: bool = False) -> DataFrame:
     ).alias("spec"))
 
 
-def _as_dicts(rows: list) -> list[dict]:
-    """The records of one pass on the driver: never more than QUERIES_PER_PASS."""
-    return [r["spec"].asDict(recursive=True) for r in rows]
-
-
-def _mask(q: Column, hits: Column) -> Column:
-    found = F.filter(q.getField("terms"), lambda t: F.array_contains(hits, t.getField("term")))
-    return F.aggregate(found, F.lit(0), lambda a, t: a + t.getField("bit"))
-
-
 def _silver_ok(q: Column) -> Column:
     def given(field, test):
         return q.getField(field).isNull() | F.coalesce(test, F.lit(False))
@@ -137,111 +148,226 @@ def _gold_ok(q: Column) -> Column:
     )
 
 
-def hybrid_search(gold: DataFrame, silver: DataFrame, queries: DataFrame,
-                  num_results: int = 20, use_24_7: bool = False,
-                  ignore_case: bool = False) -> DataFrame:
-    """Top results of every query over gold JOIN silver ON name (repeated names multiply).
-
-    Returns query_id, rank, gold_id, silver_id, relevance_score, trust_score, final_score.
-    Up to QUERIES_PER_PASS queries are one plan; more are answered pass by pass, each
-    pass written to the shared folder, so neither driver nor plan grows with them.
-    """
-    specs = search_specs(queries, use_24_7)
-    passes = -(-specs.count() // QUERIES_PER_PASS)
-    if passes <= 1:
-        return _search_pass(gold, silver, _as_dicts(specs.limit(QUERIES_PER_PASS).collect()),
-                            num_results, ignore_case)
-    return _search_passes(gold, silver, specs, num_results, ignore_case)
-
-
-def _search_passes(gold, silver, specs, num_results, ignore_case):
-    spark = specs.sparkSession
-    source, out = scratch_path(spark, "queries"), scratch_path(spark, "answers")
-    parts = -(-2 * specs.count() // QUERIES_PER_PASS)
-    # rows are numbered, since query ids may repeat or be null
-    specs.withColumn("row", F.monotonically_increasing_id()).withColumn(
-        "part", F.pmod(F.xxhash64("row"), F.lit(parts))).write.partitionBy("part").parquet(source)
-    stored = spark.read.parquet(source)
-    for p in range(parts):
-        last = -1
-        while True:
-            # a part is read in row order, one bounded pass after another
-            todo = stored.where((F.col("part") == p) & (F.col("row") > last)) \
-                .orderBy("row").limit(QUERIES_PER_PASS).select("row", "spec").collect()
-            if not todo:
-                break
-            last = todo[-1]["row"]
-            _search_pass(gold, silver, _as_dicts(todo), num_results, ignore_case) \
-                .write.mode("append").parquet(out)
-    return spark.read.parquet(out)
-
-
-def _search_pass(gold, silver, spec_rows, num_results, ignore_case):
-    table = X.literal_table(spec_rows, SPEC)
-    terms = list(dict.fromkeys(t["term"] for s in spec_rows for t in s["terms"]))
-
-    def hits(hay: Column) -> Column:
-        """Terms the text holds: each distinct term of the pass is looked up once."""
-        hay = F.lower(hay) if ignore_case else hay
-        return F.filter(F.from_json(F.lit(json.dumps(terms)), "array<string>"),
-                        lambda t: F.contains(hay, t)) if terms else X.empty_strings()
-
-    # the long texts are read once; what follows scans ids, filter columns and found terms
-    s = cut(silver.select(
-        "facility_id", "name", "address_state", "address_city", "facility_type", "specialties",
-        hits(F.concat_ws("\n", "searchable_text", F.array_join("specialties", "\n")))
-        .alias("_hits")))
-    g = cut(gold.where(F.col("trust_score").isNotNull()).select(
-        "facility_id", "name", "trust_score", "has_icu", "has_emergency", "has_24_7",
-        "number_doctors", "inferred_doctors", "contradictions",
-        hits(F.array_join("capabilities", "\n")).alias("_hits")))
-
-    def direct(df, ok):
-        """(query, row) for rows that hold a term themselves, or any row without terms."""
-        per_query = F.filter(
-            F.transform(table, lambda q, i: F.struct(
-                i.alias("qi"), _mask(q, F.col("_hits")).alias("mask"),
-                q.getField("any_terms").alias("any_terms"), ok(q).alias("ok"))),
-            lambda x: x.getField("ok") & ((x.getField("mask") > 0) | ~x.getField("any_terms")))
-        return df.withColumn("_q", F.explode(per_query)).select(
-            "*", F.col("_q.qi").alias("qi"), F.col("_q.mask").alias("mask")).drop("_q")
-
-    def indirect(df, ok, names):
-        """Rows without a term that share a name with a row of the other side that has one."""
-        joined = df.join(names, "name").withColumn("_spec", F.get(table, F.col("qi")))
-        spec = F.col("_spec")
-        return joined.withColumn("mask", _mask(spec, F.col("_hits"))).where(
-            spec.getField("any_terms") & (F.col("mask") == 0) & ok(spec)).drop("_spec")
-
-    s_keep = ["qi", "name", "mask", F.col("facility_id").alias("silver_id")]
-    g_keep = ["qi", "name", "mask", F.col("facility_id").alias("gold_id"), "trust_score"]
-    s1, g1 = direct(s, _silver_ok).select(*s_keep), direct(g, _gold_ok).select(*g_keep)
-    s0 = indirect(s, _silver_ok, g1.where("mask > 0").select("qi", "name").distinct())
-    g0 = indirect(g, _gold_ok, s1.where("mask > 0").select("qi", "name").distinct())
-
-    by_trust = [F.col("trust_score").desc(), F.col("gold_id")]
-    k = max(KEPT_PER_QUERY, num_results)
-    left = top_k(g1.union(g0.select(*g_keep)), ["qi", "name", "mask"], by_trust, k,
+def _grams(text: str, n: int) -> Column:
+    starts = F.sequence(F.lit(1), F.length(text) - n + 1)
+    return F.when(F.length(text) < n, X.empty_strings()).otherwise(
+        F.transform(starts, lambda i: F.substring(F.col(text), i, F.lit(n))))
+
+
+class SearchIndex(NamedTuple):
+    """rows: row, block, name, side, filter columns and tokens of every record that joins;
+    postings: kind, token, block, chunk, bits (records of the chunk that hold the token);
+    grams: kind, gram and the distinct tokens that hold it; blocks: block and its best trust."""
+
+    rows: DataFrame
+    postings: DataFrame
+    grams: DataFrame
+    blocks: DataFrame
+
+
+def _blocks(g: DataFrame, s: DataFrame) -> DataFrame:
+    """name, block: names on both sides, by whole points of their best trust and then by hash."""
+    names = g.groupBy("name").agg(F.max("trust_score").alias("best"), F.count(F.lit(1)).alias("n")) \
+        .join(s.groupBy("name").agg(F.count(F.lit(1)).alias("m")), "name") \
+        .select("name", F.floor("best").alias("level"), (F.col("n") + F.col("m")).alias("n"))
+    names = cut(names)
+    levels = names.groupBy("level").agg(F.ceil(F.sum("n") / BLOCK_ROWS).alias("parts"))
+    part = F.pmod(F.xxhash64("name"), F.col("parts"))
+    return names.join(levels, "level").select(
+        "name", (F.col("level") * F.lit(1 << 32) + part).alias("block"))
+
+
+def open_index(spark: SparkSession, folder: str) -> SearchIndex:
+    """An index that build_index wrote to folder."""
+    return SearchIndex(*[spark.read.parquet(f"{folder}/{part}") for part in SearchIndex._fields])
+
+
+def build_index(gold: DataFrame, silver: DataFrame, folder: str | None = None,
+                ignore_case: bool = False) -> SearchIndex:
+    """The inverted index of both sides, written to folder (by default one in the shared
+    folder); the texts are read once. Terms hold no white space, so a text holds a term exactly
+    where one of its tokens does."""
+    spark = gold.sparkSession
+    folder = folder or scratch_path(spark, "index")
+
+    def store(part: str, df: DataFrame) -> DataFrame:
+        df.write.parquet(f"{folder}/{part}")
+        return spark.read.parquet(f"{folder}/{part}")
+
+    g = gold.where(F.col("trust_score").isNotNull() & F.col("name").isNotNull())
+    s = silver.where(F.col("name").isNotNull())
+    names = cut(_blocks(g.select("name", "trust_score"), s.select("name")))
+    lower = F.lower if ignore_case else (lambda c: c)
+
+    def tokens(*texts: Column) -> Column:
+        words = F.split(lower(F.concat_ws("\n", *texts)), r"\s+")
+        return F.array_distinct(F.filter(words, lambda w: w != ""))
+
+    left = g.select(
+        F.lit("g").alias("side"), "name", "facility_id", "trust_score", "has_icu",
+        "has_emergency", "has_24_7", "number_doctors", "inferred_doctors", "contradictions",
+        tokens(F.array_join("capabilities", "\n")).alias("tokens"))
+    right = s.select(
+        F.lit("s").alias("side"), "name", "facility_id", "address_state", "address_city",
+        "facility_type", "specialties",
+        tokens(F.col("searchable_text"), F.array_join("specialties", "\n")).alias("tokens"))
+    rows = left.unionByName(right, allowMissingColumns=True).join(names, "name")
+    rows = store("rows", rows.repartition("block").sortWithinPartitions("block")
+                 .withColumn("row", F.monotonically_increasing_id()))
+
+    def entry(kind: str, token: Column, given: Column = F.lit(True)) -> Column:
+        return F.when(given & token.isNotNull(), F.struct(F.lit(kind).alias("kind"), token.alias("token")))
+
+    flag = F.lit("")
+    filters = F.array_compact(F.array(
+        entry("state", F.col("address_state")), entry("city", F.col("address_city")),
+        entry("facility_type", F.col("facility_type")),
+        entry("icu", flag, filter_flag("has_icu")),
+        entry("emergency", flag, filter_flag("has_emergency")),
+        entry("open_24_7", flag, filter_flag("has_24_7")),
+        entry("dialysis", flag, F.coalesce(filter_dialysis(), F.lit(False))),
+        entry("contradictions", flag, F.coalesce(filter_contradictions(), F.lit(False))),
+        # every block is listed once more, for queries without terms
+        entry("any", flag)))
+    chunk = F.shiftright("row", 6)
+    bit = F.expr(f"shiftleft(1L, cast(row & {CHUNK - 1} as int))")
+    terms = rows.select("block", F.explode("tokens").alias("token"), chunk.alias("chunk"), bit.alias("bits")) \
+        .withColumn("kind", F.lit("term"))
+    marks = rows.select("block", F.explode(filters).alias("e")).select(
+        "e.kind", "e.token", "block", F.lit(-1).cast("long").alias("chunk"), F.lit(0).cast("long").alias("bits"))
+    postings = store("postings", terms.unionByName(marks).groupBy("kind", "token", "block", "chunk")
+                     .agg(F.bit_or("bits").alias("bits")))
+    # a token is found by any GRAM letters of it; place names by one or two letters as well
+    grams = F.when(F.col("kind").isin(*NAMED), F.concat(*[_grams("token", n) for n in range(1, GRAM + 1)])) \
+        .otherwise(_grams("token", GRAM))
+    store("grams", postings.where(F.col("kind").isin("term", *NAMED)).select("kind", "token").distinct()
+          .select("kind", F.explode(F.array_distinct(grams)).alias("gram"), "token"))
+    store("blocks", rows.where("side = 'g'").groupBy("block").agg(F.max("trust_score").alias("best")))
+    return open_index(spark, folder)
+
+
+def _asked_tokens(specs: DataFrame, index: SearchIndex) -> DataFrame:
+    """(qi, kind, token, bit): index tokens that hold a term of the query or fit a filter of it.
+    A query without terms asks for the entry that every block has."""
+    q = F.col("spec")
+
+    def want(kind: str, text: Column, bit) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), text.alias("text"), F.lit(bit).alias("bit"))
+
+    given = {k: q.getField(k) if k in (*NAMED, "facility_type") else F.when(q.getField(k), F.lit(""))
+             for k in FILTER_BITS}
+    wanted = F.concat(
+        F.transform(q.getField("terms"), lambda t: F.struct(
+            F.lit("term").alias("kind"), t.getField("term").alias("text"), t.getField("bit").alias("bit"))),
+        F.array(*[want(k, text, FILTER_BITS[k]) for k, text in given.items()]),
+        F.array(want("any", F.when(~q.getField("any_terms"), F.lit("")), 0)))
+    wanted = specs.select("qi", F.explode(wanted).alias("w")).select("qi", "w.*").where(
+        F.col("text").isNotNull())
+    parts = F.col("kind").isin("term", *NAMED)
+    found = wanted.where(parts & (F.col("text") != "")).withColumn("gram", F.substring("text", 1, GRAM)) \
+        .join(index.grams, ["kind", "gram"]).where(F.contains("token", F.col("text")))
+    columns = ["qi", "kind", "token", "bit"]
+    return cut(wanted.where(~parts).withColumnRenamed("text", "token").select(*columns)
+               .unionByName(found.select(*columns)))
+
+
+def _bounds(specs: DataFrame, asked: DataFrame, index: SearchIndex) -> DataFrame:
+    """(qi, block, most, best): blocks that can hold an answer, with the most terms and the best
+    trust that one could have."""
+    q = F.col("spec")
+    need = F.lit(0)
+    for kind, bit in FILTER_BITS.items():
+        asks = F.length(q.getField(kind)) > 0 if kind in NAMED else \
+            q.getField(kind).isNotNull() if kind == "facility_type" else q.getField(kind)
+        need = need + F.when(asks, bit).otherwise(0)
+    needs = specs.select("qi", need.alias("need"), q.getField("min_trust").alias("min_trust"),
+                         q.getField("any_terms").alias("any_terms"))
+    seen = index.postings.select("kind", "token", "block").join(asked, ["kind", "token"]) \
+        .groupBy("qi", "block").agg(F.bit_or("bit").alias("bits"))
+    most = F.bit_count(F.col("bits").bitwiseAND(F.lit(TERM_BITS)))
+    return seen.join(needs, "qi").join(index.blocks, "block").where(
+        (F.col("bits").bitwiseAND(F.col("need")) == F.col("need"))
+        & ((most > 0) | ~F.col("any_terms"))
+        & (F.col("min_trust").isNull() | (F.col("best") >= F.col("min_trust")))
+    ).select("qi", "block", most.alias("most"), "best")
+
+
+def _opened(blocks: DataFrame, specs: DataFrame, asked: DataFrame, index: SearchIndex,
+            k: int) -> DataFrame:
+    """The first k pairs of every query within the given (qi, block): name joins of records
+    that pass the filters, a term found on either side."""
+    terms = asked.where("kind = 'term'")
+    hits = index.postings.where("kind = 'term'").join(terms, ["kind", "token"]).join(
+        blocks, ["qi", "block"], "left_semi")
+    slots = F.filter(F.sequence(F.lit(0), F.lit(CHUNK - 1)),
+                     lambda i: F.col("bits").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)) != 0)
+    masks = hits.select("qi", "bit", F.explode(slots).alias("slot"), "chunk").select(
+        "qi", "bit", (F.col("chunk") * CHUNK + F.col("slot")).alias("row")) \
+        .groupBy("qi", "row").agg(F.bit_or("bit").alias("mask"))
+    spec = F.col("spec")
+    met = blocks.join(index.rows.drop("tokens"), "block").join(masks, ["qi", "row"], "left").withColumn(
+        "mask", F.coalesce("mask", F.lit(0))).join(specs, "qi")
+    g = met.where((F.col("side") == "g") & _gold_ok(spec)).select(
+        "qi", "name", "mask", F.col("facility_id").alias("gold_id"), "trust_score")
+    s = met.where((F.col("side") == "s") & _silver_ok(spec)).select(
+        "qi", "name", "mask", F.col("facility_id").alias("silver_id"))
+    left = top_k(g, ["qi", "name", "mask"], [F.col("trust_score").desc(), F.col("gold_id")], k,
                  "gold_id", "_i").withColumnRenamed("mask", "gold_mask")
-    right = top_k(s1.union(s0.select(*s_keep)), ["qi", "name", "mask"], [F.col("silver_id")], k,
+    right = top_k(s, ["qi", "name", "mask"], [F.col("silver_id")], k,
                   "silver_id", "_j").withColumnRenamed("mask", "silver_mask")
     right = right.withColumn(
         "_n", F.count(F.lit(1)).over(Window.partitionBy("qi", "name", "silver_mask")))
     both = F.col("gold_mask").bitwiseOR(F.col("silver_mask"))
-    any_terms = F.get(table, F.col("qi")).getField("any_terms")
-    pairs = (
+    return (
         left.join(right, ["qi", "name"])
         .where((F.col("_i") - 1) * F.col("_n") + F.col("_j") <= k)
-        .where((both > 0) | ~any_terms)
+        .join(specs.select("qi", spec.getField("any_terms").alias("any_terms")), "qi")
+        .where((both > 0) | ~F.col("any_terms"))
         .select("qi", "gold_id", "silver_id", "trust_score",
                 F.bit_count(both).alias("relevance_score"))
     )
+
+
+def hybrid_search(gold: DataFrame, silver: DataFrame, queries: DataFrame,
+                  num_results: int = 20, use_24_7: bool = False,
+                  ignore_case: bool = False, index: SearchIndex | None = None) -> DataFrame:
+    """Top results of every query over gold JOIN silver ON name (repeated names multiply).
+
+    Returns query_id, rank, gold_id, silver_id, relevance_score, trust_score, final_score.
+    Any number of queries is one plan; query ids may repeat or be null. An index built
+    before (with the same ignore_case) spares reading the texts.
+    """
+    index = index or build_index(gold, silver, ignore_case=ignore_case)
+    specs = cut(search_specs(queries, use_24_7).withColumn("qi", F.monotonically_increasing_id()))
+    asked = _asked_tokens(specs, index)
+    left = cut(_bounds(specs, asked, index))
+    best_first = [F.col("most").desc(), F.col("best").desc(), F.col("block")]
     order = [F.col("relevance_score").desc(), F.col("trust_score").desc(),
              F.col("gold_id"), F.col("silver_id")]
-    best = top_k(pairs, ["qi"], order, num_results, "gold_id")
-    return best.select(
-        F.get(table, F.col("qi")).getField("query_id").alias("query_id"),
-        "rank", "gold_id", "silver_id", "relevance_score", "trust_score",
+    k = max(KEPT_PER_QUERY, num_results)
+    found = None
+    for blocks in (FIRST_BLOCKS, NEXT_BLOCKS, None):
+        now = left if blocks is None else top_k(
+            left, ["qi"], best_first, blocks, "block", "_rank").drop("_rank")
+        now = cut(now)
+        opened = _opened(now.select("qi", "block"), specs, asked, index, k)
+        if found is not None:
+            opened = opened.unionByName(found.drop("rank"))
+        found = cut(top_k(opened, ["qi"], order, num_results, "gold_id"))
+        if blocks is None:
+            break
+        # what is left must beat, or tie with, the last answer of a full list
+        last = found.where(F.col("rank") == num_results).select(
+            "qi", F.col("relevance_score").alias("_terms"), F.col("trust_score").alias("_trust"))
+        rest = left.join(now.select("qi", "block"), ["qi", "block"], "left_anti").join(last, "qi", "left")
+        left = cut(rest.where(
+            F.col("_terms").isNull() | (F.col("most") > F.col("_terms"))
+            | ((F.col("most") == F.col("_terms")) & (F.col("best") >= F.col("_trust"))))
+            .drop("_terms", "_trust"))
+        if left.isEmpty():
+            break
+    return found.join(specs.select("qi", F.col("spec.query_id").alias("query_id")), "qi").select(
+        "query_id", "rank", "gold_id", "silver_id", "relevance_score", "trust_score",
         F.col("trust_score").alias("final_score"))
 
 

@@ -8,9 +8,9 @@ from wardline.operators import present, search, trust, validate
 
 
 def answer_batch(gold: DataFrame, silver: DataFrame, queries: DataFrame,
-                 num_results: int = 10) -> DataFrame:
+                 num_results: int = 10, index: search.SearchIndex | None = None) -> DataFrame:
     """Search keeps 2n candidates per query; the first n are formatted, checked and corrected."""
-    found = search.hybrid_search(gold, silver, queries, num_results * 2)
+    found = search.hybrid_search(gold, silver, queries, num_results * 2, index=index)
     total = F.count(F.lit(1)).over(Window.partitionBy("query_id"))
     found = found.withColumn("total_found", total).where(F.col("rank") <= num_results)
     formatted = present.format_results(search.with_details(found, gold, silver),

@@ -66,6 +66,13 @@ def flags(spark, sf):
         "trust_score", *[f"is_{s}" for s in SPECIALTIES]))
 
 
+def search_index(spark, sf):
+    """The stored inverted index of gold and silver, as all searches read it."""
+    g = gold(spark, sf)
+    return search.open_index(spark, layers.folder(
+        spark, f"index:{sf}", lambda path: search.build_index(g, search.silver_view(g), path)))
+
+
 def questions(spark, sf):
     return derived.questions(spark, sf)
 
@@ -73,7 +80,7 @@ def questions(spark, sf):
 def answers(spark, sf):
     g = gold(spark, sf)
     return layers.stored(spark, f"answers:{sf}", lambda: answer_batch(
-        g, search.silver_view(g), asked(spark), 10))
+        g, search.silver_view(g), asked(spark), 10, search_index(spark, sf)))
 
 
 # --- cleaning ----------------------------------------------------------------------------
@@ -413,7 +420,8 @@ def name_join(spark, sf):
 @query
 def search_batch(spark, sf):
     g = gold(spark, sf)
-    return plain(search.hybrid_search(g, search.silver_view(g), asked(spark), 20))
+    return plain(search.hybrid_search(g, search.silver_view(g), asked(spark), 20,
+                                      index=search_index(spark, sf)))
 
 
 @query
@@ -485,7 +493,8 @@ def min_doctors(spark, sf):
 def found(spark, sf):
     g = gold(spark, sf)
     s = search.silver_view(g)
-    return search.with_details(search.hybrid_search(g, s, asked(spark), 10), g, s)
+    return search.with_details(search.hybrid_search(
+        g, s, asked(spark), 10, index=search_index(spark, sf)), g, s)
 
 
 @query
@@ -546,7 +555,7 @@ def validate_top(spark, sf):
 @query
 def answer_rows(spark, sf):
     g = gold(spark, sf)
-    rows = answer_batch(g, search.silver_view(g), asked(spark), 10)
+    rows = answer_batch(g, search.silver_view(g), asked(spark), 10, search_index(spark, sf))
     return plain(rows.select(
         "query_id", "rank", "name", "validation_verdict", "validation_note", "icu_verified",
         "emergency_verified", "availability_verified", "self_corrected", "correction_note",

@@ -46,6 +46,16 @@ def stored(spark: SparkSession, key: str, build) -> DataFrame:
     return spark.read.parquet(_LAYERS[slot])
 
 
+def folder(spark: SparkSession, key: str, build) -> str:
+    """The folder named by key: build(path) fills it on first use."""
+    slot = (spark.sparkContext.applicationId, key)
+    if slot not in _LAYERS:
+        path = scratch_path(spark, "folder")
+        build(path)
+        _LAYERS[slot] = path
+    return _LAYERS[slot]
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows written to the shared folder and read back: a small intermediate that
     several later steps scan, without repeating the work that made it."""
