@@ -218,14 +218,68 @@ def test_nearest_label_ties_and_single_target(spark):
     assert [r.nearest_km for r in geo.nearest_capable(only, ["x"]).collect()] == [None]
 
 
-def test_longest_place_by_substring_join(spark, monkeypatch):
-    q = spark.createDataFrame([(1, "Clinics in west bengal or Goa"), (2, "anywhere"), (3, "GOA")],
-                              "query_id bigint, query string")
-    places = spark.createDataFrame([("Goa",), ("West Bengal",), ("Bengal",), (None,)], "p string")
-    literal = {r.query_id: r.s for r in intents.longest_place(q, places, "p", "s").collect()}
-    monkeypatch.setattr(intents, "MAX_LITERAL_PLACES", 1)
-    joined = {r.query_id: r.s for r in intents.longest_place(q, places, "p", "s").collect()}
-    assert literal == joined == {1: "West Bengal", 2: None, 3: "Goa"}
+def test_longest_place_in_blocks(spark, monkeypatch):
+    q = spark.createDataFrame(
+        [(1, "Clinics in west bengal or Goa"), (1, "GOA"), (2, "anywhere"), (None, "goa, Delhi; new delhi"),
+         (None, None), (3, ""), (None, "Bengal")], "query_id bigint, query string")
+    places = spark.createDataFrame([("Goa",), ("West Bengal",), ("Bengal",), (None,), ("",), (" ",),
+                                    ("GOA",), ("Delhi",), ("New Delhi",)], "p string")
+    want = sorted([(1, "West Bengal"), (1, "GOA"), (2, None), (None, "New Delhi"), (None, None), (3, None),
+                   (None, "Bengal")], key=repr)
+
+    def found():
+        return sorted(((r.query_id, r.s) for r in intents.longest_place(q, places, "p", "s").collect()), key=repr)
+
+    assert found() == want
+    monkeypatch.setattr(intents, "NAMES_PER_SCAN", 2)
+    monkeypatch.setattr(intents, "QUESTIONS_PER_SCAN", 3)
+    assert found() == want
+
+
+def test_places_of_20000_names_match_brute_force(spark):
+    rnd = random.Random(3)
+    names = list({"".join(rnd.choice("abcd ") for _ in range(rnd.randrange(2, 9))).strip() for _ in range(20000)} - {""})
+    texts = [(i, "".join(rnd.choice("ABcd ") for _ in range(30))) for i in range(50)]
+    got = intents.find_places(spark.createDataFrame(texts, "query_id int, query string"),
+                              {"s": (spark.createDataFrame([(n,) for n in names], "p string"), "p")}).collect()
+    for r in got:
+        held = [(-len(n), n) for n in names if n in r.query.lower()]
+        assert r.s == (min(held)[1] if held else None)
+
+
+@pytest.mark.parametrize("keywords,limit", [
+    (["icu", "surgery monitor"], 2000), ([" nephrology ", "oncology emergencymedicine no"], 300), (None, 2500)])
+def test_map_filters_come_before_the_limit(spark, small_gold, keywords, limit):
+    """More pairs than the limit, keywords on either side of the name join and across it."""
+    g = small_gold.withColumn("name", F.when(F.col("facility_id") % 3 != 0, "same").otherwise(F.col("name")))
+    g = cut_rows = layers.cut(g)
+    recs = [r.asDict() for r in cut_rows.collect()]
+    pairs_, texts = [], [k.strip() for k in keywords or []]
+    for a in recs:
+        if a["trust_score"] is None or a["trust_score"] < 20:
+            continue
+        right = [*a["capabilities"][:3], (a["capabilities"] or ["No capabilities extracted"])[0], a["name"]]
+        for b in recs:
+            if b["name"] != a["name"] or b["latitude"] is None or b["longitude"] is None:
+                continue
+            text = (" ".join(b["specialties"][:4]) + " " + " ".join(
+                [" ".join(right[:-2]), *right[-2:]])).lower()
+            if not texts or any(t in text for t in texts):
+                pairs_.append((-a["trust_score"], a["facility_id"], b["facility_id"]))
+    pairs_.sort()
+    s = search.silver_view(g)
+    got = stats.map_points(g, s, limit, keywords=keywords, min_trust=20).collect()
+    assert sorted((-r.trust, r.gold_id, r.silver_id) for r in got) == pairs_[:limit]
+    total = stats.map_filter_summary(g, s, keywords=keywords, min_trust=20).collect()[0]
+    tenths = sum(round(-10 * t) for t, _, _ in pairs_)
+    assert total.visible == len(pairs_) > limit and total.high_trust == sum(t <= -70 for t, _, _ in pairs_)
+    assert total.avg_trust == (tenths + 5 * len(pairs_)) // (10 * len(pairs_))
+
+
+def test_map_filter_of_nothing(spark, small_gold):
+    s = search.silver_view(small_gold)
+    assert stats.map_points(small_gold, s, state="nowhere").collect() == []
+    assert tuple(stats.map_filter_summary(small_gold, s, state="nowhere").collect()[0]) == (0, 0, 0)
 
 
 def test_overview_counts_every_pair(spark, small_gold):

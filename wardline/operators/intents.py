@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wardline.functions import columns as X, vocab
-from wardline.operators.substring import contains_join
+from wardline.sources.layers import cut
 
-# Place names up to this number go into the plan as a constant; more use the substring join.
-MAX_LITERAL_PLACES = 5000
+# Place names in one automaton, and questions that one task scans with it.
+NAMES_PER_SCAN, QUESTIONS_PER_SCAN = 50_000, 10_000
 
 
 def words_of(text: Column) -> Column:
@@ -82,29 +84,74 @@ def route_queries(questions: DataFrame) -> DataFrame:
         "route", F.when(is_gap_query(F.col("query")), "gap").otherwise("search"))
 
 
+def _automaton(names: pa.Table) -> ahocorasick.Automaton:
+    """All lowered names as one trie with failure links; each leads to its best name per kind."""
+    trie = ahocorasick.Automaton()
+    for kind, name, low in zip(*(names.column(c).to_pylist() for c in ("kind", "name", "low"))):
+        best = trie.get(low, None)
+        if best is None:
+            best = {}
+            trie.add_word(low, best)
+        best[kind] = min(best.get(kind, (0, "")), (-len(name), name))
+    trie.make_automaton()
+    return trie
+
+
+def _scan(_, texts: pa.Table, names: pa.Table) -> pa.Table:
+    """One scan per text: the longest name of every kind that it holds."""
+    out = []
+    if names.num_rows and texts.num_rows:
+        trie = _automaton(names)
+        for row, text in zip(texts.column("row").to_pylist(), texts.column("text").to_pylist()):
+            best: dict = {}
+            for _, found in trie.iter(text):
+                for kind, name in found.items():
+                    best[kind] = min(best.get(kind, name), name)
+            out += [(row, kind, neg, name) for kind, (neg, name) in best.items()]
+    columns = list(zip(*out)) or [[]] * 4
+    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int32(), pa.string()))],
+                    names=["row", "kind", "neg", "name"])
+
+
+def find_places(questions: DataFrame, places: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """Adds, per entry (column to add: table, its name column), the longest name the question
+    contains, ignoring case; of equally long ones the first by name.
+
+    Questions and names meet in blocks of bounded size, each scanned once by an automaton over
+    its names, so any number of either takes the same path. Questions are told apart by row:
+    their ids may repeat or be null. Null and blank names are no places; a null question holds
+    none."""
+    rows = cut(questions.withColumn("_row", F.monotonically_increasing_id()))
+    names = None
+    for kind, (table, column) in places.items():
+        part = table.select(F.lit(kind).alias("kind"), F.col(column).alias("name")).where(
+            F.trim("name") != "").distinct()
+        names = part if names is None else names.unionByName(part)
+    names = cut(names.withColumn("low", F.lower("name")))
+    parts = max(1, -(-names.count() // NAMES_PER_SCAN))
+    blocks = max(1, -(-rows.count() // QUESTIONS_PER_SCAN))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    texts = rows.select(F.col("_row").alias("row"), F.lower("query").alias("text")).where("text is not null") \
+        .withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")).withColumn("part", spread(parts))
+    names = names.withColumn("part", F.pmod(F.xxhash64("low"), F.lit(parts)).cast("int")) \
+        .withColumn("block", spread(blocks))
+    found = texts.groupBy("part", "block").cogroup(names.groupBy("part", "block")).applyInArrow(
+        _scan, "row long, kind string, neg int, name string")
+    best = found.groupBy(F.col("row").alias("_row")).agg(*[
+        F.min(F.when(F.col("kind") == kind, F.struct("neg", "name"))).getField("name").alias(kind)
+        for kind in places])
+    return rows.join(best, "_row", "left").drop("_row")
+
+
 def longest_place(questions: DataFrame, places: DataFrame, place: str, out: str) -> DataFrame:
     """Adds the longest place name the question contains (ignoring case; ties by name)."""
-    names = places.select(F.col(place)).where(F.col(place).isNotNull()).distinct()
-    if names.limit(MAX_LITERAL_PLACES + 1).count() <= MAX_LITERAL_PLACES:
-        known = [r[0] for r in names.orderBy(place).limit(MAX_LITERAL_PLACES).collect()]
-        table = X.literal_table([{"name": n, "low": n.lower(), "neg": -len(n)} for n in known],
-                                "struct<neg: int, name: string, low: string>")
-        low = F.lower("query")
-        found = F.filter(table, lambda e: F.contains(low, e.getField("low")))
-        return questions.withColumn(out, F.array_min(found).getField("name"))
-    texts = questions.select("query_id", F.lower("query").alias("_text"))
-    lows = names.select(F.col(place).alias("_name"), F.lower(place).alias("_low"))
-    hits = contains_join(texts, "query_id", "_text", lows, "_low").join(lows, "_low")
-    best = hits.groupBy("query_id").agg(
-        F.min(F.struct((-F.length("_name")).alias("neg"), F.col("_name").alias("name")))
-        .getField("name").alias(out))
-    return questions.join(best, "query_id", "left")
+    return find_places(questions, {out: (places, place)})
 
 
 def parse_queries(questions: DataFrame, silver: DataFrame) -> DataFrame:
     """Question text to structured filters. A flag is true or unknown, never false."""
-    located = longest_place(questions, silver, "address_state", "state")
-    located = longest_place(located, silver, "address_city", "city")
+    located = find_places(questions, {"state": (silver, "address_state"),
+                                      "city": (silver, "address_city")})
     low = F.lower("query")
     place_words = F.concat(words_of(F.col("state")), words_of(F.col("city")))
     stop = literal_words(vocab.STOP_WORDS)

@@ -36,29 +36,68 @@ def overview_stats(gold: DataFrame, silver: DataFrame) -> DataFrame:
         F.count_distinct("address_state").alias("states_covered"))
 
 
-def map_points(gold: DataFrame, silver: DataFrame, limit: int = MAP_POINTS) -> DataFrame:
-    """The most trusted facilities with coordinates, `limit` rows of the name join."""
-    g = gold.where(F.col("trust_score").isNotNull()).select(
-        "name", F.col("facility_id").alias("gold_id"), "trust_score", "confidence", "has_icu",
-        "has_emergency", "has_24_7", "capabilities", "contradictions")
-    s = silver.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()).select(
-        "name", F.col("facility_id").alias("silver_id"), "address_state", "address_city",
-        "facility_type", "latitude", "longitude", "specialties")
+def _map_sides(gold: DataFrame, silver: DataFrame, state: str | None,
+               keywords: list[str] | None, min_trust: float) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the name join that can be on the map, each row with what it tells about the
+    keywords: `hit`, it holds one, and `cuts`, the places in keywords at which the other side
+    could go on. A pair's text is that of its silver row, a space and that of its gold row."""
+    words = list(dict.fromkeys(k.strip() for k in keywords or []))
+    cuts = [(k[:i], k[i + 1:]) for k in words for i, c in enumerate(k) if c == " "]
+
+    def known(text: Column, side: str, parts: list[Column]) -> list[Column]:
+        if not words:
+            return [F.lit(True).alias(f"{side}_hit"), F.array().cast("array<int>").alias(f"{side}_cuts")]
+        fits = [F.when(F.coalesce(p, F.lit(False)), F.lit(i)) for i, p in enumerate(parts)]
+        return [F.coalesce(X.any_phrase(text, words), F.lit(False)).alias(f"{side}_hit"),
+                F.array_compact(F.array(*fits).cast("array<int>")).alias(f"{side}_cuts")]
+
+    citation = F.coalesce(F.get("capabilities", F.lit(0)), F.lit("No capabilities extracted"))
+    after = F.lower(F.concat_ws(" ", F.array_join(F.slice("capabilities", 1, 3), " "), citation, "name"))
+    before = F.lower(F.array_join(F.slice("specialties", 1, 4), " "))
+    g = gold.where(F.col("trust_score") >= min_trust).select(
+        "name", F.col("facility_id").alias("gold_id"), "trust_score",
+        *known(after, "gold", [F.startswith(after, F.lit(b)) for _, b in cuts]))
+    placed = silver.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
+    if state:
+        placed = placed.where(F.col("address_state") == state)
+    s = placed.select(
+        "name", F.col("facility_id").alias("silver_id"),
+        *known(before, "silver", [F.endswith(before, F.lit(a)) for a, _ in cuts]))
+    return g, s
+
+
+def _fits() -> Column:
+    return F.col("gold_hit") | F.col("silver_hit") | F.arrays_overlap("gold_cuts", "silver_cuts")
+
+
+def map_points(gold: DataFrame, silver: DataFrame, limit: int = MAP_POINTS,
+               state: str | None = None, keywords: list[str] | None = None,
+               min_trust: float = 0) -> DataFrame:
+    """The most trusted facilities with coordinates that pass the filters: the first `limit`
+    rows of the name join by trust and ids. Filters come before the limit.
+
+    A keyword may stand on either side of the join, or across it. Rows of a name fall into few
+    classes by what they tell about the keywords; only gold rows of a class that some silver
+    class of the name completes can give a pair, and the first `limit` of them give enough."""
+    g, s = _map_sides(gold, silver, state, keywords, min_trust)
     order = [F.col("trust_score").desc(), F.col("gold_id"), F.col("silver_id")]
-    # every gold row that joins at all gives a pair, so the first pairs come from the
-    # first `limit` of those rows
-    top = cut(g.select("name", "gold_id", "trust_score")
-              .join(s.select("name").distinct(), "name", "left_semi")
+    mine, theirs = ["name", "gold_hit", "gold_cuts"], ["name", "silver_hit", "silver_cuts"]
+    joining = g.select(mine).distinct().join(s.select(theirs).distinct(), "name").where(_fits())
+    top = cut(g.join(joining.select(mine).distinct(), mine, "left_semi")
               .orderBy(*order[:2]).limit(limit))
-    mates = s.select("name", "silver_id").join(
-        top.select("name").distinct(), "name", "left_semi")
+    mates = s.join(top.select(mine).distinct(), "name").where(_fits()).select(*mine, "silver_id")
     best = cut(first_pairs(
-        top, mates, ["name"], order[:2], [F.col("silver_id")], limit, "gold_id", "silver_id",
-    ).orderBy(*order).limit(limit))
+        top, mates, mine, order[:2], [F.col("silver_id")], limit, "gold_id", "silver_id",
+    ).orderBy(*order).limit(limit).select("gold_id", "silver_id"))
+    g = gold.select(
+        "name", F.col("facility_id").alias("gold_id"), "trust_score", "confidence", "has_icu",
+        "has_emergency", "has_24_7", "capabilities", "contradictions")
+    s = silver.select(
+        F.col("facility_id").alias("silver_id"), "address_state", "address_city",
+        "facility_type", "latitude", "longitude", "specialties")
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     return (
-        best.select("gold_id", "silver_id")
-        .join(g, "gold_id").join(s.drop("name"), "silver_id")
+        best.join(g, "gold_id").join(s, "silver_id")
         .select(
             "gold_id", "silver_id", "name", F.col("address_state").alias("state"),
             F.col("address_city").alias("city"), F.col("facility_type").alias("type"),
@@ -105,23 +144,25 @@ def facility_profiles(gold: DataFrame, silver: DataFrame, names: DataFrame) -> D
         F.coalesce("g.data_completeness", F.lit(0.0)).alias("data_completeness"))
 
 
-def map_filter(points: DataFrame, state: str | None = None, keywords: list[str] | None = None,
-               min_trust: float = 0) -> DataFrame:
-    kept = points.where(F.col("trust") >= min_trust)
-    if state:
-        kept = kept.where(F.col("state") == state)
-    if keywords:
-        text = F.lower(F.concat_ws(" ", F.array_join("specialties", " "),
-                                   F.array_join("capabilities", " "), "citation", "name"))
-        kept = kept.where(X.any_phrase(text, [k.strip() for k in keywords]))
-    return kept
-
-
-def map_filter_summary(points: DataFrame) -> DataFrame:
-    return points.agg(
-        F.count(F.lit(1)).alias("visible"),
-        F.coalesce(F.floor(F.avg("trust") + 0.5), F.lit(0)).cast("bigint").alias("avg_trust"),
-        F.count_if(F.col("trust") >= 70).alias("high_trust"))
+def map_filter_summary(gold: DataFrame, silver: DataFrame, state: str | None = None,
+                       keywords: list[str] | None = None, min_trust: float = 0) -> DataFrame:
+    """Count, mean trust and high-trust count of all facilities the filters leave on the map,
+    however many: pairs are counted per name and class, none is formed."""
+    g, s = _map_sides(gold, silver, state, keywords, min_trust)
+    trust = F.col("trust_score")
+    mine = g.groupBy("name", "gold_hit", "gold_cuts").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(trust >= 70).alias("high"),
+        F.sum(F.round(trust * 10).cast("bigint")).alias("tenths"))
+    theirs = s.groupBy("name", "silver_hit", "silver_cuts").agg(F.count(F.lit(1)).alias("m"))
+
+    def pairs(c: str) -> Column:
+        return F.coalesce(F.sum(F.col(c) * F.col("m")), F.lit(0)).cast("bigint")
+
+    sums = mine.join(theirs, "name").where(_fits()).agg(
+        pairs("n").alias("visible"), pairs("tenths").alias("tenths"), pairs("high").alias("high_trust"))
+    half_up = F.expr("(tenths + 5 * visible) div (10 * visible)")
+    return sums.select("visible", F.when(F.col("visible") > 0, half_up).otherwise(0).cast("bigint")
+                       .alias("avg_trust"), "high_trust")
 
 
 def state_breakdown(summary: DataFrame, limit: int = 8) -> DataFrame:

@@ -911,7 +911,7 @@ check("overview_stats", f"""SELECT count(*) AS total_facilities,
   count(*) FILTER (WHERE g.has_emergency) AS emergency_confirmed,
   count(*) FILTER (WHERE g.confidence = 'high') AS high_confidence,
   count(DISTINCT s.address_state) AS states_covered {PAIRS}""", UP_TO_GOLD)
-POINTS = f"""points AS MATERIALIZED (SELECT g.facility_id AS gold_id, s.facility_id AS silver_id,
+ALL_POINTS = f"""all_points AS (SELECT g.facility_id AS gold_id, s.facility_id AS silver_id,
   g.name, s.address_state AS state, s.address_city AS city, s.facility_type AS type,
   s.latitude AS lat, s.longitude AS lng, g.trust_score AS trust, g.confidence,
   list_slice(s.specialty_list, 1, 4) AS specialties, coalesce(g.has_icu, false) AS has_icu,
@@ -919,19 +919,20 @@ POINTS = f"""points AS MATERIALIZED (SELECT g.facility_id AS gold_id, s.facility
   list_slice(g.capabilities, 1, 3) AS capabilities,
   coalesce(g.capabilities[1], 'No capabilities extracted') AS citation,
   len(g.contradictions) > 0 AS has_contradiction {PAIRS}
-  AND s.latitude IS NOT NULL AND s.longitude IS NOT NULL
-  ORDER BY g.trust_score DESC, gold_id, silver_id LIMIT 2000)"""
+  AND s.latitude IS NOT NULL AND s.longitude IS NOT NULL)"""
+FIRST_POINTS = "ORDER BY trust DESC, gold_id, silver_id LIMIT 2000"
+POINTS = f"{ALL_POINTS},\npoints AS MATERIALIZED (SELECT * FROM all_points {FIRST_POINTS})"
 check("map_points", f"""SELECT * EXCLUDE (specialties, capabilities),
   {joined('specialties')} AS specialties, {joined('capabilities')} AS capabilities FROM points""",
       UP_TO_GOLD, POINTS)
 TEXT = ("lower(concat_ws(' ', array_to_string(specialties, ' '), "
         "array_to_string(capabilities, ' '), citation, name))")
-check("map_filter", f"""SELECT gold_id, silver_id, trust FROM points WHERE trust >= 40 AND
-  {has(TEXT, vocab.MAP_GROUPS['Emergency Trauma'])}""", UP_TO_GOLD, POINTS)
+check("map_filter", f"""SELECT gold_id, silver_id, trust FROM all_points WHERE trust >= 40 AND
+  {has(TEXT, vocab.MAP_GROUPS['Emergency Trauma'])} {FIRST_POINTS}""", UP_TO_GOLD, ALL_POINTS)
 check("map_filter_summary", f"""SELECT count(*) AS visible,
-  coalesce(floor(avg(trust) + 0.5), 0)::BIGINT AS avg_trust,
-  count(*) FILTER (WHERE trust >= 70) AS high_trust FROM points
-  WHERE trust >= 30 AND {has(TEXT, ['oncology', 'cancer'])}""", UP_TO_GOLD, POINTS)
+  coalesce((sum(round(trust * 10)::BIGINT) + 5 * count(*)) // (10 * count(*)), 0)::BIGINT AS avg_trust,
+  count(*) FILTER (WHERE trust >= 70) AS high_trust FROM all_points
+  WHERE trust >= 30 AND {has(TEXT, ['oncology', 'cancer'])}""", UP_TO_GOLD, ALL_POINTS)
 check("facility_profiles", f"""SELECT g.name, coalesce(facility_type, '') AS facility_type,
   coalesce(address_state, '') AS state, coalesce(address_city, '') AS city,
   coalesce(address_zip, '') AS pin_code, coalesce(latitude, 0.0) AS latitude,

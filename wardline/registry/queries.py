@@ -741,15 +741,15 @@ def facility_profiles(spark, sf):
 
 @query
 def map_filter(spark, sf):
-    points = stats.map_points(*both(spark, sf))
-    return stats.map_filter(points, None, vocab.MAP_GROUPS["Emergency Trauma"], 40).select(
-        "gold_id", "silver_id", "trust")
+    g, s = both(spark, sf)
+    return stats.map_points(g, s, keywords=vocab.MAP_GROUPS["Emergency Trauma"], min_trust=40) \
+        .select("gold_id", "silver_id", "trust")
 
 
 @query
 def map_filter_summary(spark, sf):
-    points = stats.map_points(*both(spark, sf))
-    return stats.map_filter_summary(stats.map_filter(points, None, ["oncology", "cancer"], 30))
+    g, s = both(spark, sf)
+    return stats.map_filter_summary(g, s, keywords=["oncology", "cancer"], min_trust=30)
 
 
 @query
