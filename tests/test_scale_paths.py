@@ -159,7 +159,7 @@ def test_vector_blocks_equal_scan(spark, monkeypatch):
     q = v.where("vec_id < 40").select(F.col("vec_id").alias("query_id"), "embedding")
     scan = sorted(map(tuple, vector.vector_top_k(q, v, 5).collect()))
     monkeypatch.setattr(vector, "QUERIES_PER_BLOCK", 8)
-    monkeypatch.setattr(vector, "VECTORS_PER_GROUP", 50)
+    monkeypatch.setattr(vector, "VECTORS_PER_GROUP", 10)
     assert sorted(map(tuple, vector.vector_top_k(q, v, 5).collect())) == scan
     data = {r.vec_id: np.array(r.embedding, dtype=float) for r in v.collect()}
     unit = {i: x / np.linalg.norm(x) for i, x in data.items()}
@@ -282,6 +282,53 @@ def test_map_filter_of_nothing(spark, small_gold):
     assert tuple(stats.map_filter_summary(small_gold, s, state="nowhere").collect()[0]) == (0, 0, 0)
 
 
+@pytest.mark.parametrize("kind", ["clusters", "isotropic", "odd"])
+def test_cells_find_the_nearest_vectors(spark, kind):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((600, 8))
+    if kind == "clusters":
+        x = np.repeat(rng.standard_normal((20, 8)), 30, axis=0) * 3 + 0.2 * x
+    if kind == "odd":
+        x = np.concatenate([np.zeros((3, 8)), np.ones((40, 8)), x[:5]])
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)] + [(-1, None)],
+                              "vec_id bigint, embedding array<float>").repartition(4)
+    q = v.where("vec_id % 10 = 0").withColumnRenamed("vec_id", "query_id")
+    exact = vector.vector_top_k(q, v, 5)
+    index = vector.build_cells(v)
+    want = sorted(map(tuple, exact.collect()))
+    assert sorted(map(tuple, vector.search_cells(q, index, 5).collect())) == want
+    fast = vector.search_cells(q, index, 5, probes=2 if kind == "clusters" else 16, exact=False)
+    found = vector.recall(fast, exact).collect()[0]
+    assert found.answers == len(want) and found.recall >= 0.95
+    assert vector.search_cells(q, vector.build_cells(v.limit(0)), 5).collect() == []
+
+
+def test_poisson_sums_have_their_distribution(spark):
+    counts = spark.createDataFrame([("a", 1), ("b", 40), ("c", 250_000), ("d", 0)], "g string, n bigint")
+    got = validate.poisson_sums(counts, ["g"], 4000).toPandas()
+    assert set(got.g) == {"a", "b", "c"} and len(got) == 12000
+    for g, n in (("a", 1), ("b", 40), ("c", 250_000)):
+        w = got[got.g == g].w
+        assert abs(w.mean() - n) < 5 * math.sqrt(n / 4000) and abs(w.var() / n - 1) < 0.15
+    ones = got[got.g == "a"].w
+    assert abs((ones == 0).mean() - math.exp(-1)) < 0.04 and ones.max() >= 5
+
+
+def test_claims_stated_late_in_a_text_are_found(spark):
+    """Above the former cuts at 300, 400 and 600 characters."""
+    text = "x " * 2000 + "An intensive care unit (ICU) is open 24/7."
+    rows = [(1, r, "n", True, None, True, ["icu"], text if r == 1 else "y " * 900, 50.0, "low", "c") for r in (1, 2)]
+    df = spark.createDataFrame(rows, """query_id int, rank int, name string, has_icu boolean,
+        has_emergency boolean, has_24_7 boolean, key_capabilities array<string>, source_text string,
+        trust_score double, confidence string, citation string""")
+    got = {r["rank"]: r for r in validate.validate_top(df).collect()}
+    assert (got[1].overall_verdict, got[2].overall_verdict) == ("VERIFIED", "DISPUTED")
+    assert got[1].capabilities_supported and not got[2].capabilities_supported
+    disputed = df.where("rank = 1").withColumn("validation_verdict", F.lit("DISPUTED"))
+    kept = validate.re_extract(disputed).collect()[0]
+    assert kept.has_icu and kept.has_24_7 and kept.key_capabilities == ["icu"]
+
+
 def test_overview_counts_every_pair(spark, small_gold):
     g = small_gold.withColumn("name", F.when(F.col("facility_id") % 3 != 0, "same")
                               .otherwise(F.col("name")))

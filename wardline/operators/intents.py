@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import sys
+
 import ahocorasick
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wardline.functions import columns as X, vocab
@@ -12,6 +15,9 @@ from wardline.sources.layers import cut
 # Place names in one automaton, and questions that one task scans with it.
 NAMES_PER_SCAN, QUESTIONS_PER_SCAN = 50_000, 10_000
 
+# tasks get the scanning functions themselves, so executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(X.text_or_empty(text)), r"\s+"), lambda w: w != "")

@@ -57,8 +57,9 @@ def coerce_contradictions(c: Column) -> Column:
 
 
 def format_results(details: DataFrame, num_results: int | None = None,
-                   keep: tuple[str, ...] = ()) -> DataFrame:
-    """Ranked result records, 25 fields, for hits that carry their record columns."""
+                   keep: tuple[str, ...] = (), chars: int | None = 400) -> DataFrame:
+    """Ranked result records, 25 fields, for hits that carry their record columns. The source
+    text is cut to `chars` for display; records that are checked against it take it whole."""
     rows = details if num_results is None else details.where(F.col("rank") <= num_results)
     opt = lambda c: F.col(c) if c in rows.columns else F.lit(None).cast("string")
     cites = sentence_citations()
@@ -71,7 +72,7 @@ def format_results(details: DataFrame, num_results: int | None = None,
         F.slice("capabilities", 1, 5).alias("key_capabilities"),
         F.col("inferred_doctors").alias("doctor_count"), "bed_count",
         F.array_join(cites, " | ").alias("citation"), cites.alias("sentence_citations"),
-        source_snippet().alias("source_text"),
+        source_snippet(chars).alias("source_text"),
         F.lit("description + capability statements").alias("source_field"),
         trust_justification().alias("trust_justification"),
         "contradictions", F.col("trust").alias("trust_breakdown"), *keep,

@@ -12,8 +12,9 @@ from wardline.operators import claims as C
 VALIDATED = ["has_icu", "has_emergency", "has_24_7"]
 VALIDATED_ROWS = 5
 
-# Cumulative Poisson(1) probabilities for weights 0, 1, 2, 3, 4, 5.
-POISSON_STEPS = [0.367879, 0.735759, 0.919699, 0.981012, 0.996340, 0.999406]
+# A Poisson sum is tabulated this many standard deviations (and ten) around its mean: what lies
+# outside is less than the rounding of a double.
+TABLE_WIDTH = 9
 
 
 def with_standards_check(records: DataFrame, text: Column,
@@ -48,15 +49,15 @@ def failed_claims(check: Column) -> Column:
 
 
 def validate(results: DataFrame) -> DataFrame:
-    """Per-claim support, note and verdict from the first 300 characters of the source text."""
-    results = results.withColumn("_low", F.lower(F.substring("source_text", 1, 300)))
+    """Per-claim support, note and verdict from the source text."""
+    results = results.withColumn("_low", F.lower("source_text"))
     low = F.col("_low")
     on = {c: F.coalesce(F.col(c), F.lit(False)) for c in VALIDATED}
     support = {c: F.when(on[c], X.any_word("_low", vocab.STANDARDS[c])) for c in VALIDATED}
     checked = results.withColumns({f"{c}_supported": s for c, s in support.items()})
     failed = F.array_compact(F.array(*[
         F.when(~F.col(f"{c}_supported"), F.lit(c)) for c in VALIDATED]))
-    nothing = (F.length(F.substring("source_text", 1, 300)) < 20) | ~reduce(lambda a, b: a | b, on.values())
+    nothing = (F.length("source_text") < 20) | ~reduce(lambda a, b: a | b, on.values())
     return checked.withColumns({
         "capabilities_supported": F.forall(
             "key_capabilities", lambda c: F.contains(low, F.lower(c))),
@@ -103,11 +104,10 @@ def attach_verdict(results: DataFrame, rows: int = VALIDATED_ROWS) -> DataFrame:
 
 
 def re_extract(answered: DataFrame) -> DataFrame:
-    """Disputed rows keep only what the first 600 characters of the source text support."""
+    """Disputed rows keep only what the source text supports."""
     disputed = F.col("validation_verdict") == "DISPUTED"
-    text = F.substring("source_text", 1, 600)
     answered = with_standards_check(answered, F.col("source_text"), claimed=VALIDATED) \
-        .withColumns({"_text": text, "_low": F.lower(text)})
+        .withColumn("_low", F.lower("source_text"))
     kept_caps = F.filter("key_capabilities", lambda c: F.contains(F.col("_low"), F.lower(c)))
     lost_flag = {c: F.coalesce(F.col(c), F.lit(False)) & ~X.any_word("_low", vocab.STANDARDS[c])
                  for c in VALIDATED}
@@ -115,7 +115,7 @@ def re_extract(answered: DataFrame) -> DataFrame:
         "_caps": F.when(disputed, kept_caps).otherwise(F.col("key_capabilities")),
         **{f"_lost_{c}": disputed & lost for c, lost in lost_flag.items()},
         "_sentence": F.when(disputed, X.first_sentence_with(
-            "_text", "_low", C.ALL_CLAIM_WORDS)),
+            "source_text", "_low", C.ALL_CLAIM_WORDS)),
     })
     removed = reduce(lambda a, b: a | b, [F.col(f"_lost_{c}") for c in VALIDATED],
                      F.size("_caps") < F.size("key_capabilities"))
@@ -130,7 +130,7 @@ def re_extract(answered: DataFrame) -> DataFrame:
         "citation": F.coalesce("_sentence", "citation"),
         **{c: F.when(~F.col(f"_lost_{c}"), F.col(c)) for c in VALIDATED},
     }).withColumn("key_capabilities", F.col("_caps")).drop(
-        "_caps", "_sentence", "_text", "_low", *[f"_lost_{c}" for c in VALIDATED])
+        "_caps", "_sentence", "_low", *[f"_lost_{c}" for c in VALIDATED])
 
 
 def verdict_counts(answered: DataFrame, rows: int = VALIDATED_ROWS) -> DataFrame:
@@ -170,28 +170,55 @@ def agreement_rate(sampled: DataFrame, claims: list[str]) -> DataFrame:
         F.count_if("needs_review").alias("needs_review"))
 
 
-def poisson_weight(key: Column, replicate: Column) -> Column:
-    u = X.hash_number(F.concat_ws("|", key, replicate.cast("string"))) / F.lit(4294967296.0)
-    return reduce(lambda a, b: a + b,
-                  [F.when(u >= step, 1).otherwise(0) for step in POISSON_STEPS])
+def poisson_sums(counts: DataFrame, keys: list[str], replicates: int) -> DataFrame:
+    """(*keys, b, w): for every row of counts (keys, n) and replicate, the sum of n independent
+    Poisson(1) weights. The sum is Poisson(n): its distribution is tabulated around n and
+    inverted at a hash of the keys and the replicate, so a group costs the square root of its
+    records, however many replicates are drawn. A count of 0 has the sum 0."""
+    some = counts.where("n > 0")
+    spread = F.ceil(TABLE_WIDTH * F.sqrt("n")) + 10
+    k = F.sequence(F.greatest(F.lit(0), F.col("n") - spread).cast("bigint"),
+                   (F.col("n") + spread).cast("bigint"))
+    rows = some.select(*keys, "n", F.explode(k).alias("k"))
+    upward = Window.partitionBy(*keys).orderBy("k")
+    whole = Window.partitionBy(*keys)
+    # probabilities up to a factor: each is n / k times the one before
+    step = F.when(F.row_number().over(upward) > 1, F.ln(F.col("n") / F.col("k"))).otherwise(0.0)
+    table = rows.withColumn("step", step).withColumn("logp", F.sum("step").over(upward)) \
+        .withColumn("p", F.exp(F.col("logp") - F.max("logp").over(whole))) \
+        .withColumn("v", F.sum("p").over(upward) / F.sum("p").over(whole))
+    draws = some.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    text = F.concat_ws("|", *[F.col(c).cast("string") for c in keys], F.col("b").cast("string"))
+    draws = draws.withColumn("v", X.hash_number(text) / F.lit(4294967296.0))
+    # the smallest k whose cumulated probability is above the draw
+    both = table.select(*keys, "v", "k", F.lit(None).cast("int").alias("b")).unionByName(
+        draws.select(*keys, "v", F.lit(None).cast("bigint").alias("k"), "b"))
+    above = Window.partitionBy(*keys).orderBy(F.col("v").desc(), F.col("k").asc_nulls_first()) \
+        .rowsBetween(Window.unboundedPreceding, 0)
+    drawn = both.withColumn("w", F.min("k").over(above)).where(F.col("b").isNotNull())
+    # a draw beyond the table, which rounding alone can cause, is the table's last entry
+    last = table.groupBy(*keys).agg(F.max("k").alias("last"))
+    return drawn.join(last, keys).select(*keys, "b", F.coalesce("w", "last").alias("w"))
 
 
 def bootstrap_interval(gold: DataFrame, claim: str, by: str = "address_state",
                        replicates: int = 200) -> DataFrame:
     """95 % interval of the share of records with the claim, per group.
 
-    `low`: unknown counted as no. `known`: unknown left out. Weights are summed on the
-    map side, so a group of any size sends one row per replicate and task.
+    `low`: unknown counted as no. `known`: unknown left out. Only the counts of yes, no and
+    unknown per group are resampled, so no record is ever repeated.
     """
-    rows = gold.where(F.col(by).isNotNull()).select(
-        by, "facility_id", F.col(claim).cast("int").alias("yes"))
-    drawn = rows.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    drawn = drawn.withColumn("w", poisson_weight(F.col("facility_id"), F.col("b")))
-    sums = drawn.groupBy(by, "b").agg(
-        F.sum("w").alias("n"), F.sum(F.when(F.col("yes").isNotNull(), F.col("w"))).alias("known"),
-        F.sum(F.col("w") * F.coalesce("yes", F.lit(0))).alias("yes"))
-    shares = sums.select(by, F.try_divide("yes", "n").alias("of_all"),
-                         F.try_divide("yes", "known").alias("of_known"))
-    return shares.groupBy(by).agg(*[
+    answer = F.when(F.col(claim), "yes").when(~F.col(claim), "no").otherwise("unknown")
+    counts = gold.where(F.col(by).isNotNull()).select(F.col(by).alias("group"), answer.alias("answer")) \
+        .groupBy("group", "answer").agg(F.count(F.lit(1)).alias("n"))
+    drawn = poisson_sums(counts, ["group", "answer"], replicates)
+
+    def total(*answers: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("answer").isin(*answers), F.col("w"))), F.lit(0))
+
+    shares = drawn.groupBy("group", "b").agg(
+        F.try_divide(total("yes"), total("yes", "no", "unknown")).alias("of_all"),
+        F.try_divide(total("yes"), total("yes", "no")).alias("of_known"))
+    return shares.groupBy(F.col("group").alias(by)).agg(*[
         F.bround(F.percentile(c, p), 4).alias(f"{c}_{n}")
         for c in ("of_all", "of_known") for n, p in (("lower", 0.025), ("upper", 0.975))])

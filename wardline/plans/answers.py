@@ -14,7 +14,7 @@ def answer_batch(gold: DataFrame, silver: DataFrame, queries: DataFrame,
     total = F.count(F.lit(1)).over(Window.partitionBy("query_id"))
     found = found.withColumn("total_found", total).where(F.col("rank") <= num_results)
     formatted = present.format_results(search.with_details(found, gold, silver),
-                                       keep=("total_found",))
+                                       keep=("total_found",), chars=None)
     checked = validate.re_extract(validate.attach_verdict(formatted))
     verdict, corrected = F.col("validation_verdict"), F.col("self_corrected")
     return checked.withColumns({

@@ -513,7 +513,8 @@ results AS MATERIALIZED (
     CASE WHEN len({CITES}) > 0 THEN {CITES} ELSE
       ['Basic facility information — insufficient text for detailed citation'] END
       AS sentence_citations,
-    substring(coalesce(nullif(s.description, ''), s.searchable_text), 1, 400) AS source_text,
+    coalesce(nullif(s.description, ''), s.searchable_text) AS whole_text,
+    substring(whole_text, 1, 400) AS source_text,
     'description + capability statements' AS source_field,
     [{PARTS}] AS trust_justification, g.contradictions
   FROM found f JOIN gold g ON f.gold_id = g.facility_id JOIN gold s ON f.silver_id = s.facility_id
@@ -533,7 +534,7 @@ def ok(c: str, text: str) -> str:
     return has(f"lower({text})", vocab.STANDARDS[c])
 
 
-SHORT = "substring(source_text, 1, 300)"
+SHORT = "whole_text"
 VALID = RESULTS + f""",
 validated AS MATERIALIZED (
   SELECT *, CASE WHEN nothing THEN 'INSUFFICIENT_TEXT' WHEN len(failed) > 0 THEN 'DISPUTED'
@@ -553,7 +554,7 @@ validated AS MATERIALIZED (
 check("validate_top", """SELECT query_id, rank, name AS facility_name, has_icu_supported,
   has_emergency_supported, has_24_7_supported, capabilities_supported, validation_note,
   overall_verdict FROM validated WHERE rank <= 5""", UP_TO_GOLD, VALID)
-LONG = "substring(source_text, 1, 600)"
+LONG = "whole_text"
 ANSWERS = VALID + f""",
 top5 AS (SELECT query_id, name, arg_max(overall_verdict, rank) AS verdict,
     arg_max(validation_note, rank) AS note, max(rank) AS last_rank
@@ -651,7 +652,8 @@ scored AS (SELECT e.query_id, v.vec_id, v.label, round_even(list_cosine_similari
     q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 4) AS score
   FROM exemplars e JOIN embeddings q ON e.query_id = q.vec_id, embeddings v
   WHERE v.vec_id <> e.query_id)"""
-for key, test, top in (("vector_top_k", "true", 50), ("vector_top_k_filtered", "label >= 5", 10)):
+for key, test, top in (("vector_top_k", "true", 50), ("vector_top_k_filtered", "label >= 5", 10),
+                       ("vector_cells_top_k", "true", 50)):
     check(key, f"""SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id
   ORDER BY score DESC, vec_id)::BIGINT AS rank, vec_id, score FROM scored WHERE {test})
   WHERE rank <= {top}""", "", VECTORS)
@@ -739,24 +741,27 @@ check("agreement_records", """SELECT facility_id, round_even((icu + surgery) / 2
 check("agreement_rate", """SELECT count(*) AS sampled, round_even(avg(icu), 4) AS has_icu_rate,
   round_even(avg(surgery), 4) AS has_surgery_rate,
   count(*) FILTER (WHERE icu + surgery < 2) AS needs_review FROM compared""", UP_TO_GOLD, OPINION)
-U = f"({md5_number(chr(39) * 0 + 'facility_id || ' + lit('|') + ' || b::VARCHAR')} / 4294967296.0::DOUBLE)"
-WEIGHT = " + ".join(f"(u >= {s}::DOUBLE)::INT" for s in
-                    (0.367879, 0.735759, 0.919699, 0.981012, 0.996340, 0.999406))
-check("bootstrap_interval", """SELECT address_state,
+check("bootstrap_interval", """SELECT grp AS address_state,
   round_even(quantile_cont(of_all, 0.025), 4) AS of_all_lower,
   round_even(quantile_cont(of_all, 0.975), 4) AS of_all_upper,
   round_even(quantile_cont(of_known, 0.025), 4) AS of_known_lower,
   round_even(quantile_cont(of_known, 0.975), 4) AS of_known_upper
   FROM shares GROUP BY 1""", UP_TO_GOLD, f"""
-draws AS (SELECT address_state, has_icu, b, {WEIGHT} AS w FROM (
-  SELECT address_state, has_icu, b, {U} AS u FROM gold, range(1, 201) r(b)
-  WHERE address_state IS NOT NULL)),
-shares AS (SELECT address_state, b,
-  sum(w) FILTER (WHERE has_icu)::DOUBLE / nullif(sum(w), 0) AS of_all0,
-  coalesce(sum(w) FILTER (WHERE has_icu), 0)::DOUBLE / nullif(sum(w), 0)::DOUBLE AS of_all,
-  coalesce(sum(w) FILTER (WHERE has_icu), 0)::DOUBLE
-    / nullif(sum(w) FILTER (WHERE has_icu IS NOT NULL), 0)::DOUBLE AS of_known
-  FROM draws GROUP BY 1, 2)""")
+counts AS (SELECT address_state AS grp, CASE WHEN has_icu THEN 'yes' WHEN NOT has_icu THEN 'no'
+    ELSE 'unknown' END AS answer, count(*) AS n FROM gold WHERE address_state IS NOT NULL GROUP BY 1, 2),
+chances AS (SELECT *, exp(k * ln(n::DOUBLE) - n - lgamma(k + 1)) AS p FROM (
+  SELECT *, unnest(range(greatest(0, n - ceil(9 * sqrt(n))::BIGINT - 10),
+    n + ceil(9 * sqrt(n))::BIGINT + 11)) AS k FROM counts)),
+cumulated AS (SELECT grp, answer, k, sum(p) OVER (PARTITION BY grp, answer ORDER BY k) AS upto FROM chances),
+draws AS (SELECT grp, answer, b, {md5_number("grp || '|' || answer || '|' || b::VARCHAR")}
+    / 4294967296.0::DOUBLE AS u FROM counts, range(1, 201) r(b)),
+weights AS (SELECT grp, answer, b, min(k) AS w FROM draws JOIN cumulated USING (grp, answer)
+  WHERE upto > u GROUP BY 1, 2, 3),
+shares AS (SELECT grp, b,
+  coalesce(sum(w) FILTER (WHERE answer = 'yes'), 0)::DOUBLE / nullif(sum(w), 0)::DOUBLE AS of_all,
+  coalesce(sum(w) FILTER (WHERE answer = 'yes'), 0)::DOUBLE
+    / nullif(sum(w) FILTER (WHERE answer <> 'unknown'), 0)::DOUBLE AS of_known
+  FROM weights GROUP BY 1, 2)""")
 
 # --- gaps ----------------------------------------------------------------------------------
 check("specialty_match", "SELECT facility_id, " + ", ".join(

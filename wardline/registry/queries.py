@@ -430,6 +430,12 @@ def vector_top_k(spark, sf):
     return plain(vector.vector_top_k(vector.exemplars(v), v, 50))
 
 
+@query
+def vector_cells_top_k(spark, sf):
+    v = derived.table(spark, sf, "embeddings")
+    return plain(vector.search_cells(vector.exemplars(v), vector.build_cells(v), 50))
+
+
 @query
 def vector_top_k_filtered(spark, sf):
     v = derived.table(spark, sf, "embeddings")
@@ -549,7 +555,7 @@ def failed_claims(spark, sf):
 
 @query
 def validate_top(spark, sf):
-    return plain(validate.validate_top(present.format_results(found(spark, sf))))
+    return plain(validate.validate_top(present.format_results(found(spark, sf), chars=None)))
 
 
 @query
