@@ -34,6 +34,17 @@ def test_contains_join_matches_brute_force(spark):
     assert {(r.id, r.n) for r in got} == want and len(got) == len(want)
 
 
+def test_contains_scan_matches_brute_force(spark, monkeypatch):
+    rnd = random.Random(4)
+    texts = ["".join(rnd.choice("abc") for _ in range(rnd.randrange(9))) for _ in range(300)] + [None]
+    needles = ["a", "bc", "abc", "zzz", "cab", "", None, "a"]
+    monkeypatch.setattr(substring, "NEEDLES_PER_SCAN", 2)
+    got = substring.contains_scan(spark.createDataFrame([(t,) for t in texts], "t string"), "t",
+                                  spark.createDataFrame([(n,) for n in needles], "n string"), "n").collect()
+    want = {(t, n) for t in texts if t for n in needles if n and n in t}
+    assert {(r.t, r.n) for r in got} == want and len(got) == len(want)
+
+
 def test_first_pairs_is_the_head_of_the_join(spark):
     rnd = random.Random(2)
     # one key holds most rows of both sides

@@ -17,15 +17,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from wardline.functions import columns as X
 from wardline.operators import intents
 from wardline.operators.pairs import top_k
-from wardline.sources.layers import cut, scratch_path
+from wardline.operators.substring import contains_scan
+from wardline.sources.layers import cut, delete, scratch_path
 
 KEPT_PER_QUERY = 100
 # Records that one block holds, about; a name that many records share is a block of its own.
 BLOCK_ROWS = 1024
 # Blocks a query opens first, and next; then all that could still hold an answer.
 FIRST_BLOCKS, NEXT_BLOCKS = 64, 1024
-# Letters by which a token is found; query terms have that many at least.
-GRAM = 3
+# Query terms have that many letters at least, so shorter tokens are not listed.
+SHORTEST = 3
 # Filters whose text may be any part of the value.
 NAMED = ("state", "city")
 # Records that one row of the index marks, one bit each.
@@ -148,20 +149,14 @@ def _gold_ok(q: Column) -> Column:
     )
 
 
-def _grams(text: str, n: int) -> Column:
-    starts = F.sequence(F.lit(1), F.length(text) - n + 1)
-    return F.when(F.length(text) < n, X.empty_strings()).otherwise(
-        F.transform(starts, lambda i: F.substring(F.col(text), i, F.lit(n))))
-
-
 class SearchIndex(NamedTuple):
-    """rows: row, block, name, side, filter columns and tokens of every record that joins;
+    """rows: row, block, name, side and the filter columns of every record that joins;
     postings: kind, token, block, chunk, bits (records of the chunk that hold the token);
-    grams: kind, gram and the distinct tokens that hold it; blocks: block and its best trust."""
+    tokens: the distinct kinds and tokens; blocks: block and its best trust."""
 
     rows: DataFrame
     postings: DataFrame
-    grams: DataFrame
+    tokens: DataFrame
     blocks: DataFrame
 
 
@@ -201,7 +196,7 @@ def build_index(gold: DataFrame, silver: DataFrame, folder: str | None = None,
 
     def tokens(*texts: Column) -> Column:
         words = F.split(lower(F.concat_ws("\n", *texts)), r"\s+")
-        return F.array_distinct(F.filter(words, lambda w: w != ""))
+        return F.array_distinct(F.filter(words, lambda w: F.length(w) >= SHORTEST))
 
     left = g.select(
         F.lit("g").alias("side"), "name", "facility_id", "trust_score", "has_icu",
@@ -211,9 +206,10 @@ def build_index(gold: DataFrame, silver: DataFrame, folder: str | None = None,
         F.lit("s").alias("side"), "name", "facility_id", "address_state", "address_city",
         "facility_type", "specialties",
         tokens(F.col("searchable_text"), F.array_join("specialties", "\n")).alias("tokens"))
-    rows = left.unionByName(right, allowMissingColumns=True).join(names, "name")
-    rows = store("rows", rows.repartition("block").sortWithinPartitions("block")
-                 .withColumn("row", F.monotonically_increasing_id()))
+    # numbered block by block within each task: a chunk of 64 rows meets few blocks
+    texts = store("texts", left.unionByName(right, allowMissingColumns=True).join(names, "name")
+                  .sortWithinPartitions("block").withColumn("row", F.monotonically_increasing_id()))
+    rows = store("rows", texts.drop("tokens"))
 
     def entry(kind: str, token: Column, given: Column = F.lit(True)) -> Column:
         return F.when(given & token.isNotNull(), F.struct(F.lit(kind).alias("kind"), token.alias("token")))
@@ -231,17 +227,14 @@ def build_index(gold: DataFrame, silver: DataFrame, folder: str | None = None,
         entry("any", flag)))
     chunk = F.shiftright("row", 6)
     bit = F.expr(f"shiftleft(1L, cast(row & {CHUNK - 1} as int))")
-    terms = rows.select("block", F.explode("tokens").alias("token"), chunk.alias("chunk"), bit.alias("bits")) \
+    terms = texts.select("block", F.explode("tokens").alias("token"), chunk.alias("chunk"), bit.alias("bits")) \
         .withColumn("kind", F.lit("term"))
     marks = rows.select("block", F.explode(filters).alias("e")).select(
         "e.kind", "e.token", "block", F.lit(-1).cast("long").alias("chunk"), F.lit(0).cast("long").alias("bits"))
     postings = store("postings", terms.unionByName(marks).groupBy("kind", "token", "block", "chunk")
                      .agg(F.bit_or("bits").alias("bits")))
-    # a token is found by any GRAM letters of it; place names by one or two letters as well
-    grams = F.when(F.col("kind").isin(*NAMED), F.concat(*[_grams("token", n) for n in range(1, GRAM + 1)])) \
-        .otherwise(_grams("token", GRAM))
-    store("grams", postings.where(F.col("kind").isin("term", *NAMED)).select("kind", "token").distinct()
-          .select("kind", F.explode(F.array_distinct(grams)).alias("gram"), "token"))
+    delete(spark, f"{folder}/texts")
+    store("tokens", postings.where(F.col("kind").isin("term", *NAMED)).select("kind", "token").distinct())
     store("blocks", rows.where("side = 'g'").groupBy("block").agg(F.max("trust_score").alias("best")))
     return open_index(spark, folder)
 
@@ -261,11 +254,12 @@ def _asked_tokens(specs: DataFrame, index: SearchIndex) -> DataFrame:
             F.lit("term").alias("kind"), t.getField("term").alias("text"), t.getField("bit").alias("bit"))),
         F.array(*[want(k, text, FILTER_BITS[k]) for k, text in given.items()]),
         F.array(want("any", F.when(~q.getField("any_terms"), F.lit("")), 0)))
-    wanted = specs.select("qi", F.explode(wanted).alias("w")).select("qi", "w.*").where(
-        F.col("text").isNotNull())
+    wanted = cut(specs.select("qi", F.explode(wanted).alias("w")).select("qi", "w.*").where(
+        F.col("text").isNotNull()))
     parts = F.col("kind").isin("term", *NAMED)
-    found = wanted.where(parts & (F.col("text") != "")).withColumn("gram", F.substring("text", 1, GRAM)) \
-        .join(index.grams, ["kind", "gram"]).where(F.contains("token", F.col("text")))
+    named = wanted.where(parts & (F.col("text") != ""))
+    held = contains_scan(index.tokens, "token", named.select("text").distinct(), "text")
+    found = named.join(index.tokens.join(held, "token"), ["kind", "text"])
     columns = ["qi", "kind", "token", "bit"]
     return cut(wanted.where(~parts).withColumnRenamed("text", "token").select(*columns)
                .unionByName(found.select(*columns)))
@@ -305,7 +299,7 @@ def _opened(blocks: DataFrame, specs: DataFrame, asked: DataFrame, index: Search
         "qi", "bit", (F.col("chunk") * CHUNK + F.col("slot")).alias("row")) \
         .groupBy("qi", "row").agg(F.bit_or("bit").alias("mask"))
     spec = F.col("spec")
-    met = blocks.join(index.rows.drop("tokens"), "block").join(masks, ["qi", "row"], "left").withColumn(
+    met = blocks.join(index.rows, "block").join(masks, ["qi", "row"], "left").withColumn(
         "mask", F.coalesce("mask", F.lit(0))).join(specs, "qi")
     g = met.where((F.col("side") == "g") & _gold_ok(spec)).select(
         "qi", "name", "mask", F.col("facility_id").alias("gold_id"), "trust_score")
@@ -346,10 +340,10 @@ def hybrid_search(gold: DataFrame, silver: DataFrame, queries: DataFrame,
              F.col("gold_id"), F.col("silver_id")]
     k = max(KEPT_PER_QUERY, num_results)
     found = None
-    for blocks in (FIRST_BLOCKS, NEXT_BLOCKS, None):
-        now = left if blocks is None else top_k(
-            left, ["qi"], best_first, blocks, "block", "_rank").drop("_rank")
-        now = cut(now)
+    few = index.blocks.limit(FIRST_BLOCKS + 1).count() <= FIRST_BLOCKS
+    for blocks in (None,) if few else (FIRST_BLOCKS, NEXT_BLOCKS, None):
+        now = left if blocks is None else cut(top_k(
+            left, ["qi"], best_first, blocks, "block", "_rank").drop("_rank"))
         opened = _opened(now.select("qi", "block"), specs, asked, index, k)
         if found is not None:
             opened = opened.unionByName(found.drop("rank"))

@@ -101,8 +101,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, path: str, key: str) -> DataFrame:
-    """Spread a small file over the cores; big tables keep their own splits (no shuffle)."""
+    """Spread a small file over the cores; big tables and tables of many files keep their own
+    splits (no shuffle)."""
     spark = df.sparkSession
+    if len(spark.read.parquet(path).inputFiles()) >= spark.sparkContext.defaultParallelism:
+        return df
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
     if fs.getContentSummary(hadoop_path).getLength() > SPREAD_BYTES:
