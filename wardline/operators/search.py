@@ -3,13 +3,15 @@ cut to top-k.
 
 Names are dealt into blocks by the best trust of their records, so a block holds whole names of
 about equal trust. The index lists, per token of the texts and per filter value, the blocks that
-hold it and which of their records do. A search finds the tokens that hold a term, then for each
-query and block an upper bound: the terms that occur in the block at all and its best trust.
-Blocks are opened best bound first; those that cannot enter the top k any more never are.
+hold it. A search finds the tokens that hold a term, then for each query and block an upper
+bound: the terms that occur in the block at all and its best trust. Blocks are opened best bound
+first, and the records of opened blocks are looked at; blocks that cannot enter the top k any
+more are never opened.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -18,19 +20,17 @@ from wardline.functions import columns as X
 from wardline.operators import intents
 from wardline.operators.pairs import top_k
 from wardline.operators.substring import contains_scan
-from wardline.sources.layers import cut, delete, scratch_path
+from wardline.sources.layers import cut, scratch_path
 
 KEPT_PER_QUERY = 100
 # Records that one block holds, about; a name that many records share is a block of its own.
 BLOCK_ROWS = 1024
 # Blocks a query opens first, and next; then all that could still hold an answer.
-FIRST_BLOCKS, NEXT_BLOCKS = 64, 1024
+FIRST_BLOCKS, NEXT_BLOCKS = 32, 512
 # Query terms have that many letters at least, so shorter tokens are not listed.
 SHORTEST = 3
 # Filters whose text may be any part of the value.
 NAMED = ("state", "city")
-# Records that one row of the index marks, one bit each.
-CHUNK = 64
 # Bits of a mask: up to eight terms, then the filters a block can be skipped by.
 TERM_BITS = 0xFF
 FILTER_BITS = {"state": 1 << 8, "city": 1 << 9, "facility_type": 1 << 10, "icu": 1 << 11,
@@ -150,26 +150,27 @@ def _gold_ok(q: Column) -> Column:
 
 
 class SearchIndex(NamedTuple):
-    """rows: row, block, name, side and the filter columns of every record that joins;
-    postings: kind, token, block, chunk, bits (records of the chunk that hold the token);
-    tokens: the distinct kinds and tokens; blocks: block and its best trust."""
+    """names: name and block; postings: kind, token, block; tokens: the distinct kinds and
+    tokens; blocks: block and its best trust."""
 
-    rows: DataFrame
+    names: DataFrame
     postings: DataFrame
     tokens: DataFrame
     blocks: DataFrame
 
 
 def _blocks(g: DataFrame, s: DataFrame) -> DataFrame:
-    """name, block: names on both sides, by whole points of their best trust and then by hash."""
+    """name, block, best, parts: names on both sides, by whole points of their best trust and
+    then by hash. A name of many records is indexed in parts."""
     names = g.groupBy("name").agg(F.max("trust_score").alias("best"), F.count(F.lit(1)).alias("n")) \
         .join(s.groupBy("name").agg(F.count(F.lit(1)).alias("m")), "name") \
-        .select("name", F.floor("best").alias("level"), (F.col("n") + F.col("m")).alias("n"))
+        .select("name", "best", F.floor("best").alias("level"), (F.col("n") + F.col("m")).alias("n"))
     names = cut(names)
-    levels = names.groupBy("level").agg(F.ceil(F.sum("n") / BLOCK_ROWS).alias("parts"))
-    part = F.pmod(F.xxhash64("name"), F.col("parts"))
+    levels = names.groupBy("level").agg(F.ceil(F.sum("n") / BLOCK_ROWS).alias("of"))
+    place = F.pmod(F.xxhash64("name"), F.col("of"))
     return names.join(levels, "level").select(
-        "name", (F.col("level") * F.lit(1 << 32) + part).alias("block"))
+        "name", (F.col("level") * F.lit(1 << 32) + place).alias("block"), "best",
+        F.ceil(F.col("n") / (4 * BLOCK_ROWS)).cast("int").alias("parts"))
 
 
 def open_index(spark: SparkSession, folder: str) -> SearchIndex:
@@ -180,8 +181,8 @@ def open_index(spark: SparkSession, folder: str) -> SearchIndex:
 def build_index(gold: DataFrame, silver: DataFrame, folder: str | None = None,
                 ignore_case: bool = False) -> SearchIndex:
     """The inverted index of both sides, written to folder (by default one in the shared
-    folder); the texts are read once. Terms hold no white space, so a text holds a term exactly
-    where one of its tokens does."""
+    folder). Terms hold no white space, so a text holds a term exactly where one of its tokens
+    does."""
     spark = gold.sparkSession
     folder = folder or scratch_path(spark, "index")
 
@@ -191,51 +192,38 @@ def build_index(gold: DataFrame, silver: DataFrame, folder: str | None = None,
 
     g = gold.where(F.col("trust_score").isNotNull() & F.col("name").isNotNull())
     s = silver.where(F.col("name").isNotNull())
-    names = cut(_blocks(g.select("name", "trust_score"), s.select("name")))
-    lower = F.lower if ignore_case else (lambda c: c)
-
-    def tokens(*texts: Column) -> Column:
-        words = F.split(lower(F.concat_ws("\n", *texts)), r"\s+")
-        return F.array_distinct(F.filter(words, lambda w: F.length(w) >= SHORTEST))
-
-    left = g.select(
-        F.lit("g").alias("side"), "name", "facility_id", "trust_score", "has_icu",
-        "has_emergency", "has_24_7", "number_doctors", "inferred_doctors", "contradictions",
-        tokens(F.array_join("capabilities", "\n")).alias("tokens"))
-    right = s.select(
-        F.lit("s").alias("side"), "name", "facility_id", "address_state", "address_city",
-        "facility_type", "specialties",
-        tokens(F.col("searchable_text"), F.array_join("specialties", "\n")).alias("tokens"))
-    # numbered block by block within each task: a chunk of 64 rows meets few blocks
-    texts = store("texts", left.unionByName(right, allowMissingColumns=True).join(names, "name")
-                  .sortWithinPartitions("block").withColumn("row", F.monotonically_increasing_id()))
-    rows = store("rows", texts.drop("tokens"))
+    names = store("names", _blocks(g.select("name", "trust_score"), s.select("name")))
+    store("blocks", names.groupBy("block").agg(F.max("best").alias("best")))
 
     def entry(kind: str, token: Column, given: Column = F.lit(True)) -> Column:
         return F.when(given & token.isNotNull(), F.struct(F.lit(kind).alias("kind"), token.alias("token")))
 
+    def entries(*marks: Column) -> Column:
+        """Filter values of a record, and one entry that every block has."""
+        return F.array_compact(F.array(entry("any", F.lit("")), *marks)).alias("marks")
+
     flag = F.lit("")
-    filters = F.array_compact(F.array(
-        entry("state", F.col("address_state")), entry("city", F.col("address_city")),
-        entry("facility_type", F.col("facility_type")),
+    left = g.select("name", "facility_id", F.array_join("capabilities", "\n").alias("text"), entries(
         entry("icu", flag, filter_flag("has_icu")),
         entry("emergency", flag, filter_flag("has_emergency")),
         entry("open_24_7", flag, filter_flag("has_24_7")),
-        entry("dialysis", flag, F.coalesce(filter_dialysis(), F.lit(False))),
-        entry("contradictions", flag, F.coalesce(filter_contradictions(), F.lit(False))),
-        # every block is listed once more, for queries without terms
-        entry("any", flag)))
-    chunk = F.shiftright("row", 6)
-    bit = F.expr(f"shiftleft(1L, cast(row & {CHUNK - 1} as int))")
-    terms = texts.select("block", F.explode("tokens").alias("token"), chunk.alias("chunk"), bit.alias("bits")) \
-        .withColumn("kind", F.lit("term"))
-    marks = rows.select("block", F.explode(filters).alias("e")).select(
-        "e.kind", "e.token", "block", F.lit(-1).cast("long").alias("chunk"), F.lit(0).cast("long").alias("bits"))
-    postings = store("postings", terms.unionByName(marks).groupBy("kind", "token", "block", "chunk")
-                     .agg(F.bit_or("bits").alias("bits")))
-    delete(spark, f"{folder}/texts")
+        entry("contradictions", flag, F.coalesce(filter_contradictions(), F.lit(False)))))
+    right = s.select("name", "facility_id", F.concat_ws(
+        "\n", "searchable_text", F.array_join("specialties", "\n")).alias("text"), entries(
+        entry("state", F.col("address_state")), entry("city", F.col("address_city")),
+        entry("facility_type", F.col("facility_type")),
+        entry("dialysis", flag, F.coalesce(filter_dialysis(), F.lit(False)))))
+    part = F.pmod(F.xxhash64("facility_id"), F.col("parts"))
+    records = left.unionByName(right).join(names, "name").select(
+        "block", part.alias("part"), "text", "marks").repartition("block", "part")
+    words = F.split(F.lower("text") if ignore_case else F.col("text"), r"\s+")
+    words = F.array_distinct(F.filter(words, lambda w: F.length(w) >= SHORTEST))
+    found = F.concat("marks", F.transform(words, lambda w: F.struct(F.lit("term").alias("kind"), w.alias("token"))))
+    # records of a block are together already: one more exchange would only repeat that
+    postings = store("postings", records.select("block", "part", F.explode(found).alias("e"))
+                     .groupBy("block", "part", "e.kind", "e.token").agg(F.lit(1).alias("one"))
+                     .select("kind", "token", "block"))
     store("tokens", postings.where(F.col("kind").isin("term", *NAMED)).select("kind", "token").distinct())
-    store("blocks", rows.where("side = 'g'").groupBy("block").agg(F.max("trust_score").alias("best")))
     return open_index(spark, folder)
 
 
@@ -286,25 +274,34 @@ def _bounds(specs: DataFrame, asked: DataFrame, index: SearchIndex) -> DataFrame
     ).select("qi", "block", most.alias("most"), "best")
 
 
-def _opened(blocks: DataFrame, specs: DataFrame, asked: DataFrame, index: SearchIndex,
-            k: int) -> DataFrame:
+def _term_mask(q: Column, *texts: Column) -> Column:
+    """The bits of the query's terms that one of the texts holds."""
+    def held(t: Column) -> Column:
+        tests = [F.coalesce(F.contains(text, t.getField("term")), F.lit(False)) for text in texts]
+        return reduce(lambda a, b: a | b, tests)
+    return F.aggregate(F.filter(q.getField("terms"), held), F.lit(0), lambda a, t: a + t.getField("bit"))
+
+
+def _opened(blocks: DataFrame, specs: DataFrame, gold: DataFrame, silver: DataFrame,
+            index: SearchIndex, k: int, ignore_case: bool) -> DataFrame:
     """The first k pairs of every query within the given (qi, block): name joins of records
     that pass the filters, a term found on either side."""
-    terms = asked.where("kind = 'term'")
-    hits = index.postings.where("kind = 'term'").join(terms, ["kind", "token"]).join(
-        blocks, ["qi", "block"], "left_semi")
-    slots = F.filter(F.sequence(F.lit(0), F.lit(CHUNK - 1)),
-                     lambda i: F.col("bits").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)) != 0)
-    masks = hits.select("qi", "bit", F.explode(slots).alias("slot"), "chunk").select(
-        "qi", "bit", (F.col("chunk") * CHUNK + F.col("slot")).alias("row")) \
-        .groupBy("qi", "row").agg(F.bit_or("bit").alias("mask"))
+    lower = F.lower if ignore_case else (lambda c: c)
+    asks = blocks.join(specs, "qi")
     spec = F.col("spec")
-    met = blocks.join(index.rows, "block").join(masks, ["qi", "row"], "left").withColumn(
-        "mask", F.coalesce("mask", F.lit(0))).join(specs, "qi")
-    g = met.where((F.col("side") == "g") & _gold_ok(spec)).select(
-        "qi", "name", "mask", F.col("facility_id").alias("gold_id"), "trust_score")
-    s = met.where((F.col("side") == "s") & _silver_ok(spec)).select(
-        "qi", "name", "mask", F.col("facility_id").alias("silver_id"))
+    g = gold.where(F.col("trust_score").isNotNull()).select(
+        "name", F.col("facility_id").alias("gold_id"), "trust_score", "has_icu", "has_emergency",
+        "has_24_7", "number_doctors", "inferred_doctors", "contradictions",
+        lower(F.array_join("capabilities", "\n")).alias("_text"))
+    s = silver.select(
+        "name", F.col("facility_id").alias("silver_id"), "address_state", "address_city",
+        "facility_type", "specialties", lower(F.array_join("specialties", "\n")).alias("_listed"),
+        lower(F.col("searchable_text")).alias("_text"))
+    names = index.names.select("name", "block")
+    g = g.join(names, "name").join(asks, "block").where(_gold_ok(spec)).select(
+        "qi", "name", _term_mask(spec, F.col("_text")).alias("mask"), "gold_id", "trust_score")
+    s = s.join(names, "name").join(asks, "block").where(_silver_ok(spec)).select(
+        "qi", "name", _term_mask(spec, F.col("_text"), F.col("_listed")).alias("mask"), "silver_id")
     left = top_k(g, ["qi", "name", "mask"], [F.col("trust_score").desc(), F.col("gold_id")], k,
                  "gold_id", "_i").withColumnRenamed("mask", "gold_mask")
     right = top_k(s, ["qi", "name", "mask"], [F.col("silver_id")], k,
@@ -328,8 +325,8 @@ def hybrid_search(gold: DataFrame, silver: DataFrame, queries: DataFrame,
     """Top results of every query over gold JOIN silver ON name (repeated names multiply).
 
     Returns query_id, rank, gold_id, silver_id, relevance_score, trust_score, final_score.
-    Any number of queries is one plan; query ids may repeat or be null. An index built
-    before (with the same ignore_case) spares reading the texts.
+    Any number of queries is one plan; query ids may repeat or be null. An index of the same
+    tables, built before with the same ignore_case, spares building one.
     """
     index = index or build_index(gold, silver, ignore_case=ignore_case)
     specs = cut(search_specs(queries, use_24_7).withColumn("qi", F.monotonically_increasing_id()))
@@ -344,7 +341,7 @@ def hybrid_search(gold: DataFrame, silver: DataFrame, queries: DataFrame,
     for blocks in (None,) if few else (FIRST_BLOCKS, NEXT_BLOCKS, None):
         now = left if blocks is None else cut(top_k(
             left, ["qi"], best_first, blocks, "block", "_rank").drop("_rank"))
-        opened = _opened(now.select("qi", "block"), specs, asked, index, k)
+        opened = _opened(now.select("qi", "block"), specs, gold, silver, index, k, ignore_case)
         if found is not None:
             opened = opened.unionByName(found.drop("rank"))
         found = cut(top_k(opened, ["qi"], order, num_results, "gold_id"))
