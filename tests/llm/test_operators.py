@@ -247,7 +247,7 @@ def test_html_text(spark):
     assert got[0] == (0, "T & U One0 twothree Four", 24)
     assert [t for _, t, _ in got[5:]] == ["", "", "a < b c", "plain"]
     assert extract(df.limit(0)).collect() == []
-    assert main_text("<nav>x<article>y</article>", None, frozenset()) == "y"
+    assert main_text("<nav>x<article>y</article>", frozenset()) == "y"
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
