@@ -287,7 +287,8 @@ def _opened(blocks: DataFrame, specs: DataFrame, gold: DataFrame, silver: DataFr
     """The first k pairs of every query within the given (qi, block): name joins of records
     that pass the filters, a term found on either side."""
     lower = F.lower if ignore_case else (lambda c: c)
-    asks = blocks.join(specs, "qi")
+    # stored, so Spark sees how few they are and leaves the texts of the layers in place
+    asks = cut(blocks.join(specs, "qi"))
     spec = F.col("spec")
     g = gold.where(F.col("trust_score").isNotNull()).select(
         "name", F.col("facility_id").alias("gold_id"), "trust_score", "has_icu", "has_emergency",

@@ -69,7 +69,7 @@ def contains_scan(texts: DataFrame, text: str, needles: DataFrame, needle: str)
     Null and empty needles are in no text."""
     needles = cut(needles.select(F.col(needle).alias("needle")).where("needle <> ''").distinct())
     parts = max(1, -(-needles.count() // NEEDLES_PER_SCAN))
-    left = texts.select(F.col(text).alias("text")).where("text is not null").distinct()
+    left = texts.select(F.col(text).alias("text")).where("text is not null")
     blocks = max(texts.sparkSession.sparkContext.defaultParallelism, -(-texts.count() // TEXTS_PER_SCAN))
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = left.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(blocks)).cast("int")) \
@@ -78,4 +78,4 @@ def contains_scan(texts: DataFrame, text: str, needles: DataFrame, needle: str)
         .withColumn("block", spread(blocks))
     found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(
         _scan, "text string, needle string")
-    return found.select(F.col("text").alias(text), F.col("needle").alias(needle))
+    return found.distinct().select(F.col("text").alias(text), F.col("needle").alias(needle))
