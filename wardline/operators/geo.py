@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from wardline.functions import columns as X
 from wardline.sources.layers import cut
@@ -21,6 +21,8 @@ from wardline.sources.layers import cut
 LEVELS = [(0.05, "m"), (0.01, "f"), (0.002, "d"), (0.0004, "e")]
 CELLS_PER_DEGREE = 2500
 SLACK_KM = 0.002
+# Coarse cells of the nearest-place search, degrees; the largest fold all angles into 12 x 12.
+WIDE, MIDDLE, AROUND = 30, 5, 12
 # Undecided cell pairs holding fewer point pairs than this per task slot are compared point
 # by point at once; more are opened on the next level first.
 POINT_PAIRS_PER_SLOT = 1_000_000
@@ -171,76 +173,84 @@ def radius_counts(places: DataFrame, targets: DataFrame, radii: list[float],
                   F.coalesce(n, zero) - own_share[m]) for (m, _), n in names.items()})
 
 
+def _fold(cell: Column) -> Column:
+    return F.pmod(F.floor(cell / WIDE), F.lit(AROUND))
+
+
+def _cut_pairs(pairs: DataFrame) -> tuple[DataFrame, int]:
+    """The stored pairs of cells and the point pairs they hold, counted while writing."""
+    seen = Observation()
+    stored = cut(pairs.observe(seen, F.sum("work").alias("n")))
+    return stored, seen.get["n"] or 0
+
+
 def nearest(places: DataFrame, targets: DataFrame, key: str | None = None,
-            key_values: list[str] | None = None, label: str | None = None,
-            near_km: float = 500.0, other_points: bool = False) -> DataFrame:
+            label: str | None = None, other_points: bool = False) -> DataFrame:
     """Distance from each distinct place point to the nearest target point, per target key.
 
-    targets: latitude, longitude, optional key (a place is matched with each of
-    `key_values`) and optional label (the smallest label at equal distance wins, distance in whole metres).
+    targets: latitude, longitude, optional key (a place is matched with every key value) and
+    optional label (the smallest label at equal distance wins, distance in whole metres).
     `other_points` leaves out a target at the very place.  Returns latitude, longitude,
-    key, nearest_km, label.  Three cuts, each exact by distance bounds: coarse cells, fine
-    cells, points; places whose coarse cell has nothing within `near_km` are compared with
-    the coarse cells of the key instead.
+    key, nearest_km, label; no row where a key has no target to offer.
+
+    Branch and bound over nested cells: each of the 144 cells of 30 degrees that cover all
+    angles is paired with each, a fixed list.  On every level a pair of cells stays if, by its
+    distance bounds, the target cell may hold the nearest point of some place; what stays is
+    opened on the next level while it holds many point pairs.  Every join is on a cell.
     """
     keys = [key] if key else []
-    points = cut(_with_cells(places.where(
+    top = ["w_row", "w_col"]
+
+    def placed(points: DataFrame) -> DataFrame:
+        points = _with_cells(points)
+        return cut(points.withColumns({
+            "w_row": _fold(F.col("row")), "w_col": _fold(F.col("col")),
+            "g_row": F.floor(F.col("row") / MIDDLE), "g_col": F.floor(F.col("col") / MIDDLE)}))
+
+    points = placed(places.where(
         F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
-        .select("latitude", "longitude").distinct()))
+        .select("latitude", "longitude").distinct())
     held = targets.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
-    held = cut(_with_cells(held.groupBy("latitude", "longitude", *keys).agg(
-        F.min(label).alias("label") if label else F.lit(None).cast("string").alias("label"))))
+    held = placed(held.groupBy("latitude", "longitude", *keys).agg(
+        F.min(label).alias("label") if label else F.lit(None).cast("string").alias("label")))
+
+    def place_cells(cells: list[str]) -> DataFrame:
+        return points.groupBy(*cells).agg(F.count(F.lit(1)).alias("asked"))
 
-    def target_cells(*cells: str) -> DataFrame:
+    def target_cells(cells: list[str]) -> DataFrame:
         return held.groupBy(*cells, *keys).agg(F.count(F.lit(1)).alias("held")) \
             .withColumnsRenamed({c: f"t_{c}" for c in cells})
 
-    def bounds(cells: list[str]) -> Column:
-        """Distances that bound the nearest one: a lone target may be the place itself."""
-        km = F.col("km")
-        if not other_points:
-            return km
-        same = reduce(lambda x, y: x & y, [F.col(c) == F.col(f"t_{c}") for c in cells])
-        return F.when(~same | (F.col("held") > 1), km)
-
-    def reachable(reach: float) -> Column:
-        return F.col("best").isNull() | (F.col("km") - reach <= F.col("best") + reach)
-
-    # coarse cells: keep target cells that can hold the nearest point of some place
-    parent = ["row", "col"]
-    p1 = _fan(points.groupBy(*parent).agg(F.count(F.lit(1)).alias("asked")), parent)
-    t1 = target_cells(*parent)
-    reach, km1 = 2 * _reach(1.0) + SLACK_KM, _cell_km(parent, _target(parent), 1.0)
-    close = _neighbour_cells(p1, near_km).withColumnsRenamed(
-        {"near_row": "t_row", "near_col": "t_col"}) \
-        .join(t1, _target(parent)).withColumn("km", km1) \
-        .join(p1, parent)
-    # a bound that reaches past the searched ring proves nothing
-    safe = close.groupBy(*parent, *keys).agg(F.min(bounds(parent)).alias("best")) \
-        .where(F.col("best") + reach <= near_km - reach)
-    pairs = close.join(safe, [*parent, *keys]).where(reachable(reach))
-    rest = _keys(p1, key, key_values).join(safe, [*parent, *keys], "left_anti")
-    # few coarse cells are left here, and there are at most 64,800 of them on the globe
-    far = _meet(rest, t1, keys).withColumn("km", km1)
-    far = far.withColumn("best", F.min(bounds(parent)).over(
-        Window.partitionBy(*parent, *keys))).where(reachable(reach))
-    work = (F.col("asked") * F.col("held")).alias("work")
-    cols = [*parent, *_target(parent), *keys, work]
-    pairs = cut(pairs.select(*cols).union(far.select(*cols)))
-
-    # smaller cells inside the surviving pairs, cut the same way
-    for size, prefix in LEVELS:
-        if _few_point_pairs(pairs):
-            break
-        own, reach = [f"{prefix}_row", f"{prefix}_col"], 2 * _reach(size) + SLACK_KM
-        here = _fan(points.groupBy(*parent, *own).agg(F.count(F.lit(1)).alias("asked")), own)
-        met = here.join(pairs.drop("work"), parent) \
-            .join(target_cells(*parent, *own), [*_target(parent), *keys]) \
-            .withColumn("km", _cell_km(own, _target(own), size)) \
+    def kept(met: DataFrame, own: list[str], size: float) -> DataFrame:
+        """Pairs whose target cell can hold the nearest point of a place in the other cell.
+        A lone target in the place's own cell may be the place itself and bounds nothing."""
+        km, reach = F.col("km"), 2 * _reach(size) + SLACK_KM
+        bound = km
+        if other_points:
+            same = reduce(lambda x, y: x & y, [F.col(c) == F.col(f"t_{c}") for c in own])
+            bound = F.when(~same | (F.col("held") > 1), km)
+        met = met.withColumn("km", _cell_km(own, _target(own), size)) \
             .select(*own, *_target(own), "km", "asked", "held", *keys)
-        best = met.groupBy(*own, *keys).agg(F.min(bounds(own)).alias("best"))
-        pairs = cut(met.join(best, [*own, *keys]).where(reachable(reach))
-                    .select(*own, *_target(own), *keys, work))
+        # a cell meets few others, whatever the number of points in it
+        best = F.min(bound).over(Window.partitionBy(*own, *keys))
+        return met.withColumn("best", best) \
+            .where(F.col("best").isNull() | (km - reach <= F.col("best") + reach)) \
+            .select(*own, *_target(own), *keys, (F.col("asked") * F.col("held")).alias("work"))
+
+    other = F.explode(F.sequence(F.lit(0), F.lit(AROUND * AROUND - 1)))
+    all_ways = place_cells(top).withColumn("_at", other).withColumns({
+        "t_w_row": F.floor(F.col("_at") / AROUND), "t_w_col": F.col("_at") % AROUND})
+    met = all_ways.join(target_cells(top), _target(top))
+    pairs, work = _cut_pairs(kept(met, top, float(WIDE)))
+    parent = top
+    slots = points.sparkSession.sparkContext.defaultParallelism
+    for size, prefix in [(float(MIDDLE), "g_"), (1.0, ""), *[(s, f"{p}_") for s, p in LEVELS]]:
+        if work <= POINT_PAIRS_PER_SLOT * slots:
+            break
+        own = [f"{prefix}row", f"{prefix}col"]
+        met = _fan(place_cells([*parent, *own]), own).join(pairs.drop("work"), parent) \
+            .join(target_cells([*parent, *own]), [*_target(parent), *keys])
+        pairs, work = _cut_pairs(kept(met, own, size))
         parent = own
 
     there = held.select(*keys, "label", F.col("latitude").alias("t_lat"),
@@ -260,20 +270,6 @@ def nearest(places: DataFrame, targets: DataFrame, key: str | None = None,
                        F.col("best.km").alias("nearest_km"), F.col("best.label").alias("label"))
 
 
-def _keys(cells: DataFrame, key: str | None, values: list[str] | None) -> DataFrame:
-    """Place cells once per key value; the values are a fixed list."""
-    if key is None:
-        return cells
-    return cells.withColumn(key, F.explode(F.array(*[F.lit(v) for v in values])))
-
-
-def _meet(rest: DataFrame, t1: DataFrame, key_cols: list[str]) -> DataFrame:
-    if key_cols:
-        return rest.join(t1, key_cols)
-    return rest.withColumn("one", F.lit(1)).join(t1.withColumn("one", F.lit(1)), "one") \
-        .drop("one")
-
-
 def nearest_capable(gold: DataFrame, specialties: list[str]) -> DataFrame:
     """Kilometres from every located facility to the nearest other one per specialty.
 
@@ -286,8 +282,7 @@ def nearest_capable(gold: DataFrame, specialties: list[str]) -> DataFrame:
     targets = located.select("latitude", "longitude", able)
     crowd = targets.groupBy("latitude", "longitude", "specialty").agg(
         F.count(F.lit(1)).alias("here"))
-    others = nearest(located, targets, "specialty", specialties,
-                     other_points=True).drop("label")
+    others = nearest(located, targets, "specialty", other_points=True).drop("label")
     every = located.select("facility_id", "latitude", "longitude",
                            F.explode(F.array(*[F.struct(
                                F.lit(s).alias("specialty"), F.col(f"is_{s}").alias("own"))

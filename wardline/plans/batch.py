@@ -28,4 +28,5 @@ def run_batch(raw: DataFrame, out: str) -> DataFrame:
     sinks.write_csv(gaps.gap_sort(table), f"{out}/gaps_csv")
     sinks.write_failures(claims.split_failures(gold)[1], f"{out}/failures_csv")
     sinks.write_geojson(gold, f"{out}/features")
+    sinks.write_feature_collection(gold, f"{out}/feature_collection")
     return stats.batch_summary(gold, table)

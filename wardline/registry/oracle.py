@@ -312,6 +312,14 @@ check("geojson_features", f"""SELECT longitude AS lng, latitude AS lat, facility
   address_city AS city, address_state AS state, facility_type AS type, trust_score,
   {joined('specialty_list')} AS specialties, has_icu, has_emergency FROM gold
   WHERE latitude IS NOT NULL AND longitude IS NOT NULL""", UP_TO_GOLD)
+check("geojson_collection", """WITH f AS (SELECT address_state AS state, trust_score, latitude,
+    facility_id FROM gold WHERE latitude IS NOT NULL AND longitude IS NOT NULL)
+  SELECT 'Feature' AS kind, state, count(*) AS n,
+    sum(round(coalesce(trust_score, 0) * 10)::BIGINT)::BIGINT AS trust_tenths,
+    sum(round(latitude * 100)::BIGINT)::BIGINT AS lat_hundredths,
+    sum(length(facility_id))::BIGINT AS id_chars FROM f GROUP BY 2
+  UNION ALL SELECT 'separator', NULL, count(*) - 1, NULL, NULL, NULL FROM f HAVING count(*) > 1
+  UNION ALL SELECT unnest(['header', 'footer']), NULL, 1, NULL, NULL, NULL""", UP_TO_GOLD)
 
 # --- claims --------------------------------------------------------------------------------
 check("claim_flags", f"""SELECT facility_id, {", ".join(vocab.CLAIMS)}, icu_beds, inferred_doctors
@@ -823,6 +831,9 @@ gap_check("gap_payload", f"""SELECT state, specialty, facility_count AS count,
   centroid_lat AS lat, centroid_lng AS lng,
   count(*) FILTER (WHERE severity_label = 'critical') OVER () AS total_critical
   FROM (SELECT * FROM gaps WHERE desert_severity >= 60 {BY_GAP} LIMIT 200)""")
+gap_check("gap_payload_states", """SELECT state, lower(overall_severity_label) AS severity,
+  critical_specialty_count AS critical_count, total_facilities AS facilities,
+  centroid_lat AS lat, centroid_lng AS lng FROM summary""")
 gap_check("top_gaps_per_state", """SELECT state, rank, specialty, desert_severity,
   '#' || rank::VARCHAR || ' ' || action AS report FROM (SELECT *, row_number() OVER (
   PARTITION BY state ORDER BY desert_severity DESC, specialty) AS rank FROM gaps)

@@ -11,7 +11,7 @@ from wardline.operators import (claims, gaps, geo, gold as G, intents, present,
 from wardline.operators.pairs import name_fanout
 from wardline.plans.answers import answer_batch
 from wardline.registry.asked import TABLE_SPECIALTIES, asked
-from wardline.sources import derived, layers, readers, sinks
+from wardline.sources import collection, derived, layers, readers, sinks
 
 SPECIALTIES = list(vocab.GAP_SPECIALTIES)
 QUERIES: dict = {}
@@ -167,8 +167,7 @@ def read_csv_with_ids(spark, sf):
     path = layers.scratch_path(spark, "raw_csv")
     sinks.write_csv(raw(spark, sf).orderBy(F.length("facility_id"), "facility_id")
                     .select(*RAW_TEXT), path)
-    back = readers.read_facilities(spark, path, schema=", ".join(f"{c} string" for c in RAW_TEXT),
-                                   multi_line=True)
+    back = readers.read_facilities(spark, path, schema=", ".join(f"{c} string" for c in RAW_TEXT))
     return back.select("facility_id", "name", "address_state", "address_city", "specialties",
                        F.md5("description").alias("description_md5"))
 
@@ -209,19 +208,37 @@ def failures_csv(spark, sf):
     return spark.read.option("header", True).csv(path)
 
 
+FEATURE = """type string, geometry struct<type: string, coordinates: array<double>>,
+ properties struct<id: string, name: string, city: string, state: string, type: string,
+ trust_score: double, specialties: array<string>, has_icu: boolean, has_emergency: boolean>"""
+
+
 @query
 def geojson_features(spark, sf):
     path = layers.scratch_path(spark, "features")
     sinks.write_geojson(gold(spark, sf), path)
-    f = F.from_json("value", """type string, geometry struct<type: string,
-        coordinates: array<double>>, properties struct<id: string, name: string, city: string,
-        state: string, type: string, trust_score: double, specialties: array<string>,
-        has_icu: boolean, has_emergency: boolean>""").alias("f")
-    return plain(spark.read.text(path).select(f).select(
+    return plain(spark.read.text(path).select(F.from_json("value", FEATURE).alias("f")).select(
         F.col("f.geometry.coordinates")[0].alias("lng"),
         F.col("f.geometry.coordinates")[1].alias("lat"), "f.properties.*"))
 
 
+@query
+def geojson_collection(spark, sf):
+    """The written parts by kind of line and state, with the sums of what the features hold."""
+    path = layers.scratch_path(spark, "collection")
+    sinks.write_feature_collection(gold(spark, sf), path)
+    line, f = F.col("value"), F.from_json("value", FEATURE)
+    kind = (F.when(line == collection.HEADER, "header").when(line == collection.SEPARATOR, "separator")
+            .when(line == collection.FOOTER, "footer").otherwise(f.getField("type")))
+    properties, at = F.col("f.properties"), F.col("f.geometry.coordinates")
+    return spark.read.text(path).select(kind.alias("kind"), F.when(kind == "Feature", f).alias("f")).groupBy(
+        "kind", properties.getField("state").alias("state")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.round(properties.getField("trust_score") * 10).cast("bigint")).alias("trust_tenths"),
+        F.sum(F.round(at[1] * 100).cast("bigint")).alias("lat_hundredths"),
+        F.sum(F.length(properties.getField("id")).cast("bigint")).alias("id_chars"))
+
+
 # --- claims ------------------------------------------------------------------------------
 
 @query
@@ -657,6 +674,12 @@ def gap_payload(spark, sf):
     return plain(gaps.gap_payload(t, gaps.state_summary(t))[0])
 
 
+@query
+def gap_payload_states(spark, sf):
+    t = gap_table(spark, sf)
+    return plain(gaps.gap_payload(t, gaps.state_summary(t))[1])
+
+
 @query
 def top_gaps_per_state(spark, sf):
     return plain(gaps.top_gaps_per_state(gap_table(spark, sf)))

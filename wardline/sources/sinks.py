@@ -5,12 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
+from wardline.sources.collection import FeatureCollection
+from wardline.sources.readers import FOLDERS
+
 
 def write_layer(df: DataFrame, target: str, partition_by: str | None = None) -> None:
-    """A layer as parquet files (path) or a table (name)."""
+    """A layer as parquet files (path) or a table (name).
+
+    A partitioned layer keeps the column in its files, with its type and its empty texts, and
+    folders are named by a copy, which `read_layer` leaves out. Its rows are dealt by that
+    column into files of even size: Spark splits values of many rows and joins small ones.
+    """
+    if partition_by:
+        df = df.withColumn(FOLDERS, F.col(partition_by)).hint("rebalance", FOLDERS)
     writer = df.write.mode("overwrite")
     if partition_by:
-        writer = writer.partitionBy(partition_by)
+        writer = writer.partitionBy(FOLDERS)
     writer.parquet(target) if "/" in target else writer.format("parquet").saveAsTable(target)
 
 
@@ -56,15 +66,12 @@ def geo_features(gold: DataFrame) -> DataFrame:
 
 
 def write_geojson(gold: DataFrame, path: str) -> None:
-    """One feature per line, written by every task; see `feature_collection` for one object."""
+    """One feature per line, written by every task; see `write_feature_collection` for one object."""
     geo_features(gold).write.mode("overwrite").text(path)
 
 
-def feature_collection(gold: DataFrame, max_features: int = 10000) -> DataFrame:
-    """All features in one object, for small outputs; larger ones stay one per line."""
-    features = geo_features(gold)
-    if features.limit(max_features + 1).count() > max_features:
-        raise ValueError(f"more than {max_features} features: use write_geojson")
-    joined = F.array_join(F.array_sort(F.collect_list("feature")), ",")
-    return features.agg(F.concat(
-        F.lit('{"type":"FeatureCollection","features":['), joined, F.lit("]}")).alias("geojson"))
+def write_feature_collection(gold: DataFrame, path: str) -> None:
+    """All features in one object, in parts whose names are in order (see `collection`). What
+    `path` held before is replaced."""
+    gold.sparkSession.dataSource.register(FeatureCollection)
+    geo_features(gold).write.format(FeatureCollection.name()).mode("append").save(path)
