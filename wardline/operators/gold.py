@@ -7,6 +7,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from wardline.functions import columns as X, vocab
 from wardline.operators import claims, trust
 
+# Record columns that a source may lack: gold's name and the source's.
+RECORD_COLUMNS = {
+    "phone": "officialPhone", "website": "officialWebsite", "email": "email",
+    "address_line": "address_line1", "operator_type": "operatorTypeId",
+    "year_established": "yearEstablished",
+}
+
 GOLD_COLUMNS = [
     "facility_id", "name", "address_city", "address_state", "address_zip", "facility_type",
     "latitude", "longitude", "data_completeness", "has_text",
@@ -14,7 +21,7 @@ GOLD_COLUMNS = [
     *vocab.CLAIMS, "icu_beds", "inferred_doctors", "number_doctors", "bed_count",
     "confidence", "trust", "trust_score", "contradictions",
     "searchable_text", "description", "source_field", "source_sentence", "operational_notes",
-    "extraction_error",
+    "extraction_error", *RECORD_COLUMNS,
 ]
 
 
@@ -30,7 +37,8 @@ def searchable_text() -> Column:
 
 
 def build_gold(silver: DataFrame) -> DataFrame:
-    """One gold row per silver row, with or without text: no loop, no shuffle, no UDF."""
+    """One gold row per silver row, with or without text: no loop, no shuffle, no UDF. Record
+    columns that the source lacks are null."""
     scored = trust.with_trust(claims.with_claims(silver))
     return scored.withColumns({
         "searchable_text": searchable_text(),
@@ -40,6 +48,8 @@ def build_gold(silver: DataFrame) -> DataFrame:
             "capability_parsed", "extracted_procedures")).otherwise(X.empty_strings()),
         "number_doctors": F.col("numberDoctors"),
         "bed_count": claims.bed_mentions(F.concat_ws(" ", "description", "capability")),
+        **{name: F.col(source) if source in silver.columns else F.lit(None).cast("string")
+           for name, source in RECORD_COLUMNS.items()},
     }).select(*GOLD_COLUMNS)
 
 

@@ -54,3 +54,16 @@ def name_fanout(gold: DataFrame, silver: DataFrame) -> DataFrame:
     a = gold.groupBy("name").agg(F.count(F.lit(1)).alias("gold_rows"))
     b = silver.groupBy("name").agg(F.count(F.lit(1)).alias("silver_rows"))
     return a.join(b, "name").withColumn("pair_rows", F.col("gold_rows") * F.col("silver_rows"))
+
+
+def name_pairs(gold: DataFrame, silver: DataFrame) -> DataFrame:
+    """Per name of the join: its pairs, the trust summed over them in tenths, the best trust and
+    the states. Both sides are summed per name first, so no pair is formed."""
+    a = gold.groupBy("name").agg(
+        F.count(F.lit(1)).alias("n"), F.max("trust_score").alias("best_trust"),
+        F.sum(F.round(F.col("trust_score") * 10).cast("bigint")).alias("tenths"))
+    b = silver.groupBy("name").agg(F.count(F.lit(1)).alias("m"),
+                                   F.count_distinct("address_state").alias("states"))
+    return a.join(b, "name").select(
+        "name", (F.col("n") * F.col("m")).alias("pair_rows"),
+        (F.col("tenths") * F.col("m")).alias("trust_tenths"), "best_trust", "states")

@@ -66,7 +66,7 @@ def format_results(details: DataFrame, num_results: int | None = None,
     return rows.select(
         "query_id", "rank", "name", "facility_type", F.col("address_state").alias("state"),
         F.col("address_city").alias("city"), F.col("address_zip").alias("pin_code"),
-        opt("officialPhone").alias("phone"), opt("officialWebsite").alias("website"),
+        opt("phone").alias("phone"), opt("website").alias("website"),
         "latitude", "longitude", "trust_score", "confidence",
         "has_icu", "has_emergency", "has_24_7",
         F.slice("capabilities", 1, 5).alias("key_capabilities"),
@@ -184,6 +184,16 @@ def gap_cards(gaps: DataFrame) -> DataFrame:
     )
 
 
+def gap_result_cards(cards: DataFrame) -> DataFrame:
+    """Looked-up gap cards with the columns of result cards."""
+    return cards.select(
+        "query_id", "rank", "name", F.col("state").alias("location"),
+        F.col("trust_score").alias("trust"), F.col("facility_type").alias("type"), "tags",
+        F.substring(F.coalesce("citation", F.lit("")), 1, 200).alias("citation"),
+        "latitude", "longitude", F.lit("").alias("validation_note"),
+        F.lit("").alias("correction_note"), F.lit("").alias("source_text"))
+
+
 def gap_answers(questions: DataFrame, cards: DataFrame) -> DataFrame:
     """One sentence per gap question: gap count, worst states, critical count."""
     critical = F.exists("tags", lambda t: t.getField("label").contains("CRITICAL"))

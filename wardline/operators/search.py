@@ -45,11 +45,13 @@ SPEC = """struct<query_id: bigint, state: string, city: string, facility_type: s
 SILVER_COLUMNS = ["facility_id", "name", "address_state", "address_city", "address_zip",
                   "facility_type", "latitude", "longitude", "specialties", "description",
                   "searchable_text"]
+# Carried where the layer has them.
+RECORD_COLUMNS = ["phone", "website", "email", "address_line", "operator_type", "year_established"]
 
 
 def silver_view(gold: DataFrame) -> DataFrame:
     """The cleaned-record columns search reads, taken from the same stored layer."""
-    return gold.select(*SILVER_COLUMNS)
+    return gold.select(*SILVER_COLUMNS, *[c for c in RECORD_COLUMNS if c in gold.columns])
 
 
 # --- single predicates -----------------------------------------------------------------
@@ -373,7 +375,7 @@ def with_details(found: DataFrame, gold: DataFrame, silver: DataFrame) -> DataFr
     s = silver.select(
         F.col("facility_id").alias("silver_id"), "address_state", "address_city", "address_zip",
         "facility_type", "latitude", "longitude", "specialties", "description",
-        "searchable_text")
+        "searchable_text", *[c for c in ("phone", "website") if c in silver.columns])
     g = gold.select(
         F.col("facility_id").alias("gold_id"), "name", "trust", "confidence", "capabilities",
         "extracted_equipment", "has_icu", "has_emergency", "has_24_7", "has_surgery",

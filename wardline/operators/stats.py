@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from wardline.functions import columns as X
 from wardline.operators.pairs import first_pairs
+from wardline.operators.search import RECORD_COLUMNS
+from wardline.operators.silver import null_safe_string
 from wardline.sources.layers import cut
 
 MAP_POINTS = 2000
@@ -114,7 +116,9 @@ def map_points(gold: DataFrame, silver: DataFrame, limit: int = MAP_POINTS,
 
 
 def facility_profiles(gold: DataFrame, silver: DataFrame, names: DataFrame) -> DataFrame:
-    """Full profile of every named facility: one row per name, the lowest ids on repeats."""
+    """Full profile of every named facility: one row per name, the lowest ids on repeats. Record
+    columns that are missing, or that silver lacks, are empty texts."""
+    record = [c for c in RECORD_COLUMNS if c in silver.columns]
     w_gold = gold.join(names.select("name").distinct(), "name", "left_semi")
     g = w_gold.groupBy("name").agg(F.min_by(F.struct(
         "facility_id", "trust_score", "trust", "confidence", "capabilities",
@@ -123,8 +127,9 @@ def facility_profiles(gold: DataFrame, silver: DataFrame, names: DataFrame) -> D
     w_silver = silver.join(names.select("name").distinct(), "name", "left_semi")
     s = w_silver.groupBy("name").agg(F.min_by(F.struct(
         "facility_id", "facility_type", "address_state", "address_city", "address_zip",
-        "latitude", "longitude", "description", "specialties"), "facility_id").alias("s"))
+        "latitude", "longitude", "description", "specialties", *record), "facility_id").alias("s"))
     text = lambda c: X.text_or_empty(F.col(c))
+    said = lambda c: null_safe_string(F.col(f"s.{c}")) if c in record else F.lit("")
     return g.join(s, "name").select(
         "name", text("s.facility_type").alias("facility_type"),
         text("s.address_state").alias("state"), text("s.address_city").alias("city"),
@@ -138,10 +143,12 @@ def facility_profiles(gold: DataFrame, silver: DataFrame, names: DataFrame) -> D
         F.col("g.capabilities").alias("extracted_capabilities"),
         F.col("g.extracted_equipment").alias("extracted_equipment"),
         F.col("g.inferred_doctors").alias("doctor_count"),
+        F.struct(F.col("g.inferred_doctors").alias("doctor_count")).alias("extracted_staff"),
         F.struct("g.has_icu", "g.has_emergency", "g.has_24_7").alias("extracted_availability"),
         F.coalesce("g.bed_count", F.lit(0)).alias("extracted_bed_count"),
         F.col("g.contradictions").alias("contradictions"),
-        F.coalesce("g.data_completeness", F.lit(0.0)).alias("data_completeness"))
+        F.coalesce("g.data_completeness", F.lit(0.0)).alias("data_completeness"),
+        *[said(c).alias(c) for c in RECORD_COLUMNS])
 
 
 def map_filter_summary(gold: DataFrame, silver: DataFrame, state: str | None = None,

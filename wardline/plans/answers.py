@@ -1,10 +1,13 @@
-"""A table of parsed queries to ranked, cited, validated and corrected answers."""
+"""Questions and parsed queries to ranked, cited, validated and corrected answers."""
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, Window, functions as F
 
-from wardline.operators import present, search, trust, validate
+from wardline.operators import gaps as coverage, intents, present, search, trust, validate
+from wardline.sources.layers import cut
 
 
 def answer_batch(gold: DataFrame, silver: DataFrame, queries: DataFrame,
@@ -21,3 +24,53 @@ def answer_batch(gold: DataFrame, silver: DataFrame, queries: DataFrame,
         "trust_score_display": trust.trust_display(F.col("trust_score"), verdict, corrected),
         "trust_score_warning": trust.trust_warning(verdict, corrected),
     })
+
+
+class Answers(NamedTuple):
+    """cards: one row per result; answers: a sentence and a trace per question."""
+
+    cards: DataFrame
+    answers: DataFrame
+
+
+def answer_questions(gold: DataFrame, silver: DataFrame, gaps: DataFrame, questions: DataFrame,
+                     num_results: int = 10, index: search.SearchIndex | None = None) -> Answers:
+    """Users' questions (query_id, query; ui_state and ui_min_trust where the table has them) to
+    cards, by the route each of them takes: questions about gaps look the coverage table up, all
+    others are parsed and searched. The chosen state joins the question, and a slider above 0
+    replaces the trust the question asks for.
+
+    Both results have query_id, route and question, a number of the row: ids may repeat or be
+    null. Questions of fewer than three characters, and null ones, have no answer. Without gaps
+    or facilities every question still has its sentence."""
+    optional = {"ui_state": "string", "ui_min_trust": "double"}
+    asked = questions.select("query_id", "query", *[
+        F.col(c).cast(kind) if c in questions.columns else F.lit(None).cast(kind).alias(c)
+        for c, kind in optional.items()])
+    asked = asked.withColumns({"_id": F.col("query_id"), "_said": F.col("query"),
+                               "query_id": F.monotonically_increasing_id()})
+    asked = cut(intents.route_queries(intents.apply_ui_filters(asked)))
+    about_gaps, others = asked.where("route = 'gap'"), asked.where("route = 'search'")
+
+    parsed = intents.parse_queries(others, silver)
+    parsed = parsed.withColumn("min_trust_score", intents.effective_min_trust(
+        F.col("ui_min_trust"), F.col("min_trust_score")))
+    found = cut(answer_batch(gold, silver, parsed, num_results, index))
+    looked = cut(present.gap_cards(coverage.gap_lookup(about_gaps, gaps)))
+
+    said = others.select("query_id", F.col("_said").alias("query"))
+    by_search = present.answer_summary(said, found).join(
+        present.query_trace(said, found), "query_id")
+    by_gaps = present.gap_answers(about_gaps, looked).select(
+        "query_id", F.col("gaps").alias("total_found"), "answer", F.col("gaps").alias("candidates"),
+        F.lit(0.0).alias("avg_trust"),
+        *[F.lit(0).cast("bigint").alias(c) for c in ("verified", "disputed", "self_corrected", "tokens")])
+    cards = present.result_cards(found).unionByName(
+        present.gap_result_cards(looked), allowMissingColumns=True)
+
+    def of_question(df: DataFrame) -> DataFrame:
+        ids = asked.select("query_id", "_id", "route")
+        return df.join(ids, "query_id").withColumnRenamed("query_id", "question") \
+            .withColumnRenamed("_id", "query_id")
+
+    return Answers(of_question(cards), of_question(by_search.unionByName(by_gaps)))

@@ -277,7 +277,8 @@ check("mean_completeness", """SELECT round_even(avg(data_completeness), 4) AS me
 RAW_COLUMNS = ["facility_id", "name", "address_state", "address_city", "address_zip", "latitude",
                "longitude", "facilityTypeId", "specialties", "procedure", "equipment",
                "capability", "description", "numberDoctors", "capacity",
-               "recency_of_page_update", "social_count", "model_reply"]
+               "recency_of_page_update", "social_count", "model_reply", "officialPhone",
+               "officialWebsite", "email", "address_line1", "operatorTypeId", "yearEstablished"]
 QUALITY = " UNION ALL ".join(f"""SELECT {lit(c)} AS column_name, count(*) AS row_count,
   count(*) FILTER (WHERE {missing(chr(34) + c + chr(34))}) AS missing,
   round_even(count(*) FILTER (WHERE {missing(chr(34) + c + chr(34))}) / count(*)::DOUBLE, 4)
@@ -457,6 +458,23 @@ HAY = ("searchable_text || chr(10) || array_to_string(capabilities, chr(10)) ||
 check("relevance_score", f"""SELECT * FROM (SELECT facility_id,
   len(list_filter(['icu', 'surgery', 'ventilator', 'the', 'nephrology'], lambda t :
   contains({HAY}, t)))::BIGINT AS relevance FROM gold) WHERE relevance > 0""", UP_TO_GOLD)
+check("name_join_stored", """SELECT name, (n * m)::BIGINT AS pair_rows, (tenths * m)::BIGINT
+  AS trust_tenths, best_trust, states FROM (
+  SELECT name, count(*) AS n, count(*) AS m, max(trust_score) AS best_trust,
+    sum(round(trust_score * 10)::BIGINT)::BIGINT AS tenths,
+    count(DISTINCT address_state) AS states FROM gold GROUP BY 1)""", UP_TO_GOLD)
+check("stored_records", f"""SELECT facility_id, has_icu, has_emergency, has_24_7,
+  {joined('capabilities')} AS capabilities, inferred_doctors, {joined('contradictions')} AS
+  contradictions, confidence, beds AS bed_count, t_completeness AS trust_completeness,
+  t_consistency AS trust_consistency, t_verifiability AS trust_verifiability,
+  t_recency AS trust_recency, t_digital AS trust_digital FROM gold""", UP_TO_GOLD)
+check("stored_filters", """SELECT unnest(['text', 'struct', 'variant']) AS form, * FROM (
+  SELECT count(*) FILTER (WHERE has_icu) AS has_icu,
+  count(*) FILTER (WHERE has_emergency) AS has_emergency,
+  count(*) FILTER (WHERE has_24_7) AS has_24_7 FROM gold)""", UP_TO_GOLD)
+check("stored_lists", f"""SELECT facility_id, unnest(['array', 'text']) AS form,
+  {joined('list_slice(specialty_list, 1, 4)')} AS specialties,
+  {joined('contradictions')} AS contradictions FROM gold""", UP_TO_GOLD)
 check("name_join", """SELECT g.name, count(DISTINCT g.facility_id) AS gold_rows,
   count(DISTINCT s.facility_id) AS silver_rows, count(*) AS pair_rows
   FROM gold g JOIN gold s ON g.name = s.name GROUP BY 1""", UP_TO_GOLD)
@@ -514,7 +532,7 @@ RESULTS = FOUND + f""",
 results AS MATERIALIZED (
   SELECT f.query_id, f.rank::BIGINT AS rank, f.total_found, g.name, s.facility_type,
     s.address_state AS state, s.address_city AS city, s.address_zip AS pin_code,
-    NULL::VARCHAR AS phone, NULL::VARCHAR AS website, s.latitude, s.longitude, g.trust_score,
+    s.officialPhone AS phone, s.officialWebsite AS website, s.latitude, s.longitude, g.trust_score,
     g.confidence, g.has_icu, g.has_emergency, g.has_24_7,
     list_slice(g.capabilities, 1, 5) AS key_capabilities, g.inferred_doctors AS doctor_count,
     g.beds AS bed_count,
@@ -621,22 +639,22 @@ TAGS = """list_concat(list_filter([
   list_transform(list_slice(key_capabilities, 1, 2), lambda c : substring(c, 1, 25)))"""
 check("result_tags", f"SELECT query_id, rank, {joined(TAGS)} AS tags FROM shown",
       UP_TO_GOLD, ANSWERS)
-check("result_cards", """SELECT query_id, rank, name,
+CARDS = """SELECT query_id, rank, name,
   coalesce(city, '') || ', ' || coalesce(state, '') AS location, trust_score_display AS trust,
   upper(substring(coalesce(facility_type, 'facility'), 1, 1)) ||
     substring(coalesce(facility_type, 'facility'), 2) AS type,
   substring(citation, 1, 200) AS citation, phone, pin_code, latitude, longitude, validation_note,
-  correction_note, substring(source_text, 1, 300) AS source_text FROM shown""",
-      UP_TO_GOLD, ANSWERS)
-check("answer_summary", """SELECT a.query_id, coalesce(s.total_found, 0)::BIGINT AS total_found,
+  correction_note, substring(source_text, 1, 300) AS source_text FROM shown"""
+check("result_cards", CARDS, UP_TO_GOLD, ANSWERS)
+SUMMARY = """SELECT a.query_id, coalesce(s.total_found, 0)::BIGINT AS total_found,
   CASE WHEN s.name IS NULL THEN
     'No facilities found matching your query. Try broadening your search criteria.'
   ELSE 'Found ' || s.total_found::VARCHAR || ' facilities matching your criteria. Top result: ' ||
     s.name || ' in ' || coalesce(s.state, 'India') || ' with a trust score of ' ||
     s.trust_score_display::VARCHAR || '. The search was validated against original source text.'
-  END AS answer FROM asked a LEFT JOIN shown s ON a.query_id = s.query_id AND s.rank = 1""",
-      UP_TO_GOLD, ANSWERS)
-check("query_trace", f"""SELECT a.query_id, coalesce(max(s.total_found), 0)::BIGINT AS candidates,
+  END AS answer FROM asked a LEFT JOIN shown s ON a.query_id = s.query_id AND s.rank = 1"""
+check("answer_summary", SUMMARY, UP_TO_GOLD, ANSWERS)
+TRACE = f"""SELECT a.query_id, coalesce(max(s.total_found), 0)::BIGINT AS candidates,
   coalesce(((2 * sum(round(s.trust_score * 10)::BIGINT) FILTER (WHERE s.trust_score > 0)
       + count(*) FILTER (WHERE s.trust_score > 0))
     // (2 * nullif(count(*) FILTER (WHERE s.trust_score > 0), 0)))::DOUBLE / 10.0::DOUBLE, 0.0::DOUBLE)
@@ -645,7 +663,8 @@ check("query_trace", f"""SELECT a.query_id, coalesce(max(s.total_found), 0)::BIG
   count(*) FILTER (WHERE s.validation_verdict = 'DISPUTED') AS disputed,
   count(*) FILTER (WHERE s.self_corrected) AS self_corrected,
   max(len({word_list('a.query')}) * 50 + 500)::BIGINT AS tokens
-  FROM asked a LEFT JOIN shown s ON a.query_id = s.query_id GROUP BY 1""", UP_TO_GOLD, ANSWERS)
+  FROM asked a LEFT JOIN shown s ON a.query_id = s.query_id GROUP BY 1"""
+check("query_trace", TRACE, UP_TO_GOLD, ANSWERS)
 check("verdict_counts", """SELECT query_id, count(*) FILTER (WHERE rank <= 5) AS validated,
   count(*) FILTER (WHERE rank <= 5 AND validation_verdict = 'VERIFIED') AS verified,
   count(*) FILTER (WHERE rank <= 5 AND validation_verdict = 'DISPUTED') AS disputed,
@@ -674,9 +693,10 @@ GAP = has("lower(query)", vocab.GAP_PHRASES)
 check("gap_intent", f"SELECT query_id, {GAP} AS is_gap FROM questions", QUESTIONS)
 check("needs_translation", """SELECT query_id, coalesce(language IN ('hi-IN', 'ur-PK', 'hi', 'ur'),
   false) OR strlen(query) <> length(query) AS translate FROM questions""", QUESTIONS)
-check("ui_filters", """SELECT query_id, CASE WHEN ui_state IS NULL OR ui_state IN ('', 'All')
-  OR contains(lower(query), lower(ui_state)) THEN query ELSE query || ' in ' || ui_state END
-  AS query FROM questions WHERE length(trim(query)) >= 3""", QUESTIONS)
+UI_QUERY = """CASE WHEN ui_state IS NULL OR ui_state IN ('', 'All')
+  OR contains(lower(query), lower(ui_state)) THEN query ELSE query || ' in ' || ui_state END"""
+check("ui_filters", f"""SELECT query_id, {UI_QUERY} AS query FROM questions
+  WHERE length(trim(query)) >= 3""", QUESTIONS)
 check("query_routes", f"""SELECT CASE WHEN {GAP} THEN 'gap' ELSE 'search' END AS route,
   count(*) AS n, min(query_id) AS first_id FROM questions GROUP BY 1""", QUESTIONS)
 
@@ -689,8 +709,11 @@ def longest(col: str) -> str:
 
 TYPE = "CASE " + " ".join(f"WHEN contains(lower(query), '{t}') THEN '{t}'"
                           for t in vocab.FACILITY_TYPES) + " END"
-check("parse_queries", f"""SELECT query_id, state, city, {TYPE} AS facility_type,
-  {joined('specialties')} AS specialties,
+
+
+def parsed_select(specialties: str, source: str, more: str = "") -> str:
+    return f"""SELECT query_id, state, city, {TYPE} AS facility_type,
+  {specialties} AS specialties,
   {", ".join(f"CASE WHEN {has('lower(query)', vocab.CLAIMS[c])} THEN true END AS requires_{n}"
              for c, n in (("has_icu", "icu"), ("has_emergency", "emergency"), ("has_24_7", "24_7"),
                           ("has_dialysis", "dialysis")))},
@@ -700,10 +723,13 @@ check("parse_queries", f"""SELECT query_id, state, city, {TYPE} AS facility_type
     NOT list_contains({lst(vocab.STOP_WORDS)}, w)
     AND NOT list_contains(list_concat({word_list('state')}, {word_list('city')}), w)), ' ')
     AS search_text,
-  CASE WHEN ui_min_trust > 0 THEN ui_min_trust ELSE min_trust_score END AS effective_trust
+  CASE WHEN ui_min_trust > 0 THEN ui_min_trust ELSE min_trust_score END AS effective_trust{more}
   FROM (SELECT *, TRY_CAST(nullif(regexp_extract(lower(query), 'trust\\D*(\\d+)', 1), '')
-      AS DOUBLE) AS min_trust_score FROM asked_patterns)
-  LEFT JOIN {longest('state')} USING (query_id) LEFT JOIN {longest('city')} USING (query_id)""",
+      AS DOUBLE) AS min_trust_score FROM {source})
+  LEFT JOIN {longest('state')} USING (query_id) LEFT JOIN {longest('city')} USING (query_id)"""
+
+
+check("parse_queries", parsed_select(joined("specialties"), "asked_patterns"),
       QUESTIONS, f"facilities AS ({derived.oracle_facilities()}),\n" + PATTERNS)
 check("min_doctors", """SELECT facility_id, number_doctors, inferred_doctors FROM claimed
   WHERE coalesce(number_doctors, inferred_doctors) > 5""", UP_TO_CLAIMS)
@@ -859,7 +885,7 @@ looked AS MATERIALIZED (SELECT * FROM (
     contains(g.specialty, p))) > 0) WHERE rank <= 50)"""
 gap_check("gap_lookup", "SELECT query_id, rank, state, specialty, desert_severity FROM looked",
           LOOKUP)
-gap_check("gap_answers", """SELECT q.query_id, count(l.rank) AS gaps,
+GAP_ANSWERS = """SELECT q.query_id, count(l.rank) AS gaps,
   CASE WHEN count(l.rank) = 0 THEN 'No medical desert data found for your query. ' ||
     'The desert analysis table may not have data for this specialty.'
   ELSE 'Found ' || count(l.rank)::VARCHAR || ' state-specialty gaps in our desert analysis. ' ||
@@ -870,7 +896,28 @@ gap_check("gap_answers", """SELECT q.query_id, count(l.rank) AS gaps,
     (count(*) FILTER (WHERE l.severity_label = 'critical'))::VARCHAR ||
     ' zone(s) classified as CRITICAL — meaning fewer than 10% of expected facilities are present.'
   END AS answer
-  FROM gap_questions q LEFT JOIN looked l ON l.query_id = q.query_id GROUP BY q.query_id""", LOOKUP)
+  FROM gap_questions q LEFT JOIN looked l ON l.query_id = q.query_id GROUP BY q.query_id"""
+gap_check("gap_answers", GAP_ANSWERS, LOOKUP)
+
+# --- user questions by both routes -----------------------------------------------------------
+BY_ROUTE = LOOKUP.replace(f"questions AS ({derived.oracle_questions()})", f"""questions AS (
+  SELECT * REPLACE ({UI_QUERY} AS query), query AS said FROM ({derived.oracle_questions()})
+  WHERE length(trim(query)) >= 3)""") + ",\n" + ANSWERS.replace(f"asked0 AS ({asked_sql()})", f"""
+asked0 AS (SELECT * EXCLUDE (min_trust_score, effective_trust),
+    effective_trust AS min_trust_score, NULL::DOUBLE AS min_doctors
+  FROM ({parsed_select('specialties', f"(SELECT * FROM asked_patterns WHERE NOT {GAP})", ", query, said")}))""")
+gap_check("question_cards", f"""SELECT 'search' AS route, c.*, t.tags FROM ({CARDS}) c
+  JOIN (SELECT query_id, rank, {joined(TAGS)} AS tags FROM shown) t USING (query_id, rank)
+  UNION ALL BY NAME SELECT 'gap' AS route, query_id, rank, state || ' — ' || specialty AS name,
+  state AS location, (100 - desert_severity)::DOUBLE AS trust, 'Desert Zone' AS type,
+  {CARD_TAGS} AS tags, substring(action, 1, 200) AS citation, NULL::VARCHAR AS phone,
+  NULL::VARCHAR AS pin_code, centroid_lat AS latitude, centroid_lng AS longitude,
+  '' AS validation_note, '' AS correction_note, '' AS source_text FROM looked""", BY_ROUTE)
+gap_check("question_answers", f"""SELECT 'search' AS route, s.*, t.* EXCLUDE (query_id)
+  FROM ({SUMMARY}) s JOIN ({TRACE.replace('a.query)', 'a.said)').replace('a.query,', 'a.said,')}) t USING (query_id)
+  UNION ALL BY NAME SELECT 'gap' AS route, query_id, gaps AS total_found, answer,
+  gaps AS candidates, 0.0::DOUBLE AS avg_trust, 0::BIGINT AS verified, 0::BIGINT AS disputed,
+  0::BIGINT AS self_corrected, 0::BIGINT AS tokens FROM ({GAP_ANSWERS})""", BY_ROUTE)
 gap_check("pin_gaps", f"""SELECT p.address_zip, p.address_city, s.specialty,
   coalesce(c.n, 0) AS facility_count, p.total AS total_facilities
   FROM (SELECT address_zip, address_city, count(*) AS total FROM gold
@@ -956,7 +1003,15 @@ check("facility_profiles", f"""SELECT g.name, coalesce(facility_type, '') AS fac
   {joined('specialty_list')} AS specialties, trust_score, confidence AS confidence_level,
   {joined('capabilities')} AS extracted_capabilities,
   {joined('extracted_equipment')} AS extracted_equipment, inferred_doctors AS doctor_count,
-  beds AS extracted_bed_count, {joined('contradictions')} AS contradictions, data_completeness
+  beds AS extracted_bed_count, {joined('contradictions')} AS contradictions, data_completeness,
+  t_completeness AS trust_completeness, t_consistency AS trust_consistency,
+  t_verifiability AS trust_verifiability, t_recency AS trust_recency, t_digital AS trust_digital,
+  inferred_doctors AS staff_doctors, has_icu, has_emergency, has_24_7,
+  coalesce(officialPhone, '') AS phone, coalesce(officialWebsite, '') AS website,
+  CASE WHEN email IS NULL OR email IN ('nan', 'None', 'NaT') THEN '' ELSE email END AS email,
+  coalesce(address_line1, '') AS address_line,
+  coalesce(lower(trim(operatorTypeId)), '') AS operator_type,
+  coalesce(yearEstablished, '') AS year_established
   FROM gold g JOIN (SELECT name, min(facility_id) AS facility_id FROM gold GROUP BY 1) f
     ON g.facility_id = f.facility_id
   WHERE g.name IN (SELECT name FROM gold WHERE trust_score >= 70)""", UP_TO_GOLD)

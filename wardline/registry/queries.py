@@ -7,9 +7,9 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from wardline.functions import columns as X, vocab
 from wardline.operators import (claims, gaps, geo, gold as G, intents, present, search,
-                                silver as S, stats, trust, validate, vector)
-from wardline.operators.pairs import name_fanout
-from wardline.plans.answers import answer_batch
+                                silver as S, stats, stored, trust, validate, vector)
+from wardline.operators.pairs import name_fanout, name_pairs
+from wardline.plans.answers import answer_batch, answer_questions
 from wardline.registry.asked import TABLE_SPECIALTIES, asked
 from wardline.sources import collection, derived, layers, readers, sinks
 
@@ -434,6 +434,58 @@ def name_join(spark, sf):
     return name_fanout(g, search.silver_view(g))
 
 
+@query
+def name_join_stored(spark, sf):
+    """The name join over two tables bucketed by name: pairs, best trust and trust over pairs."""
+    g = gold(spark, sf)
+    tables = {}
+    for side, df in (("gold", g.select("name", "trust_score")), ("silver", search.silver_view(g)
+                                                                  .select("name", "address_state"))):
+        path = layers.scratch_path(spark, f"by_name_{side}")
+        tables[side] = path.rsplit("/", 1)[1].replace("-", "_")
+        sinks.write_by_name(df, tables[side], path, 64)
+    return name_pairs(spark.table(tables["gold"]), spark.table(tables["silver"]))
+
+
+@query
+def stored_records(spark, sf):
+    """Gold written with its nested columns as JSON text, and read back."""
+    path = layers.scratch_path(spark, "json_text")
+    sinks.write_layer(stored.write_form(gold(spark, sf)), path)
+    back = stored.read_form(readers.read_layer(spark, path))
+    return plain(back.select(
+        "facility_id", *stored.FLAGS, "capabilities", "inferred_doctors", "contradictions",
+        "confidence", "bed_count", *[F.col(f"trust.{p}").alias(f"trust_{p}") for p in stored.PARTS]))
+
+
+@query
+def stored_filters(spark, sf):
+    """Flag filters on the stored object as JSON text, as a struct and as a VARIANT."""
+    text = stored.write_form(gold(spark, sf)).select("extracted_availability")
+    forms = {"text": text, "struct": gold(spark, sf).select(
+        F.struct(*stored.FLAGS).alias("extracted_availability")),
+        "variant": text.select(F.try_parse_json("extracted_availability").alias("extracted_availability"))}
+    out = None
+    for form, df in forms.items():
+        n = df.agg(*[F.count_if(stored.filter_flag(df, "extracted_availability", c)).alias(c)
+                     for c in stored.FLAGS]).select(F.lit(form).alias("form"), "*")
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
+@query
+def stored_lists(spark, sf):
+    """Specialties and contradictions shown from text columns and from array columns."""
+    lists = gold(spark, sf).select("facility_id", "specialties", "contradictions")
+    texts = lists.select("facility_id", F.array_join("specialties", " | ").alias("specialties"),
+                         F.to_json("contradictions").alias("contradictions"))
+    forms = [df.select("facility_id", F.lit(form).alias("form"),
+                       stored.shown_specialties(df).alias("specialties"),
+                       stored.contradictions(df).alias("contradictions"))
+             for form, df in (("array", lists), ("text", texts))]
+    return plain(forms[0].unionByName(forms[1]))
+
+
 @query
 def search_batch(spark, sf):
     g = gold(spark, sf)
@@ -548,6 +600,30 @@ def query_trace(spark, sf):
     return present.query_trace(asked(spark), answers(spark, sf))
 
 
+def answered_questions(spark, sf):
+    """The folder of the cards and answers of all user questions."""
+    def build(path):
+        g = gold(spark, sf)
+        out = answer_questions(g, search.silver_view(g), gap_table(spark, sf), questions(spark, sf),
+                               10, search_index(spark, sf))
+        out.cards.write.parquet(f"{path}/cards")
+        out.answers.write.parquet(f"{path}/answers")
+    return layers.folder(spark, f"questions:{sf}", build)
+
+
+@query
+def question_cards(spark, sf):
+    cards = spark.read.parquet(f"{answered_questions(spark, sf)}/cards")
+    return plain(cards.withColumn("tags", F.transform("tags", lambda t: F.concat(
+        t.getField("label"), F.when(t.getField("warn"), "!").otherwise(""))))
+        .drop("question", "trust_breakdown"))
+
+
+@query
+def question_answers(spark, sf):
+    return plain(spark.read.parquet(f"{answered_questions(spark, sf)}/answers").drop("question"))
+
+
 @query
 def contradiction_text(spark, sf):
     return plain(raw(spark, sf).select("facility_id", present.coerce_contradictions(
@@ -764,8 +840,12 @@ def map_points(spark, sf):
 def facility_profiles(spark, sf):
     g, s = both(spark, sf)
     names = g.where(F.col("trust_score") >= 70).select("name")
-    return plain(stats.facility_profiles(g, s, names).drop(
-        "trust_breakdown", "extracted_availability"))
+    nested = ["trust_breakdown", "extracted_staff", "extracted_availability"]
+    profiles = stats.facility_profiles(g, s, names)
+    return plain(profiles.select(
+        *[c for c in profiles.columns if c not in nested],
+        *[F.col(f"trust_breakdown.{p}").alias(f"trust_{p}") for _, p, _ in present.TRUST_PARTS],
+        F.col("extracted_staff.doctor_count").alias("staff_doctors"), "extracted_availability.*"))
 
 
 @query

@@ -50,6 +50,15 @@ SELECT
   d.text AS description,
   CASE d.doc_id % 9 WHEN 0 THEN '1' WHEN 1 THEN '12' WHEN 2 THEN 'n/a' END AS "numberDoctors",
   CASE WHEN d.doc_id % 20 = 0 THEN '50' END AS capacity,
+  CASE WHEN d.doc_id % 4 <> 1 THEN concat('+91 ', CAST(2000000000 + d.doc_id AS STRING)) END
+       AS officialPhone,
+  CASE WHEN d.doc_id % 3 <> 2 THEN concat('https://f', CAST(d.doc_id AS STRING), '.example') END
+       AS officialWebsite,
+  CASE d.doc_id % 6 WHEN 1 THEN concat('desk', CAST(d.doc_id AS STRING), '@f.example')
+       WHEN 2 THEN 'nan' END AS email,
+  concat(CAST(d.doc_id % 200 AS STRING), ' Main Road') AS address_line1,
+  CASE d.doc_id % 3 WHEN 0 THEN ' Private' WHEN 1 THEN 'PUBLIC ' END AS operatorTypeId,
+  CASE WHEN d.doc_id % 8 = 3 THEN CAST(1950 + d.doc_id % 70 AS STRING) END AS yearEstablished,
   CASE d.doc_id % 3 WHEN 0 THEN '2024-05-01' WHEN 1 THEN 'null' END AS recency_of_page_update,
   CASE WHEN d.doc_id % 13 = 0 THEN NULL ELSE CAST(d.doc_id % 6 AS INT) END AS social_count,
   CASE d.doc_id % 17 WHEN 0 THEN '{"has_icu": true}'

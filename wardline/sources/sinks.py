@@ -24,6 +24,17 @@ def write_layer(df: DataFrame, target: str, partition_by: str | None = None) ->
     writer.parquet(target) if "/" in target else writer.format("parquet").saveAsTable(target)
 
 
+def write_by_name(df: DataFrame, table: str, path: str, buckets: int, key: str = "name") -> None:
+    """A table bucketed and sorted by the key of later joins, so that two such tables of as many
+    buckets meet without an exchange. Rows are dealt by that key first, so that a bucket is few
+    files; keys of very many rows are split over several tasks.
+
+    One task reads a bucket. Where one name holds a large share of all rows, use plain layers:
+    Spark splits such a name in an exchange, not in a bucket."""
+    df.hint("rebalance", key).write.mode("overwrite").format("parquet").option("path", path) \
+        .bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+
+
 def flat_for_csv(df: DataFrame) -> DataFrame:
     """Nested columns as JSON text; simple columns as they are."""
     nested = (ArrayType, MapType, StructType)
