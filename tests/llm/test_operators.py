@@ -167,6 +167,58 @@ def test_line_dedup(spark):
     assert by[None] == [(LONG, 1, 0)] and by[4] == [("", 1, 1)]
     assert sorted(by[5]) == [("", 1, 1), ("", 1, 1), ("new " + LONG, 1, 0)]
     assert line_dedup(frame(spark, []), ["doc_id"]).collect() == []
+    # a repeated row is one repeated run
+    assert sorted(r.longest_repeat for r in rows if r.doc_id == 5) == [0, 1, 1]
+
+
+def repeated_lines(rows, min_lines, min_chars):
+    """(doc_id, lines left, longest run with an earlier copy), by trying every earlier place."""
+    seq = [(d, i, line) for d, t in sorted(rows) for i, line in [*enumerate(t.split("\n")), (-1, None)]]
+    at = {}
+    for p, (d, i, line) in enumerate(seq):
+        at.setdefault(line, []).append(p)
+    gone, most = defaultdict(set), defaultdict(int)
+    for p, (d, i, line) in enumerate(seq):
+        if i < 0:
+            continue
+        best = 0
+        for q in at[line]:
+            if q >= p:
+                break
+            n = 0
+            while seq[p + n][1] >= 0 and seq[p + n][2] == seq[q + n][2]:
+                n += 1
+            best = max(best, n)
+        most[d] = max(most[d], best)
+        if best >= min_lines:
+            gone[d] |= set(range(i, i + best))
+        if best and min_chars and len(line) >= min_chars:
+            gone[d].add(i)
+    return sorted((d, "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d]), most[d])
+                  for d, t in rows)
+
+
+@pytest.mark.parametrize("seed,min_lines,min_chars", [(2, 3, 0), (3, 2, 2)])
+def test_line_runs_match_brute_force(spark, seed, min_lines, min_chars):
+    """Random lines of a small alphabet, passages of 3 to 40 lines, a hot line, copies of documents."""
+    rng = np.random.default_rng(seed)
+    line = lambda: "ab"[rng.integers(2)] * int(rng.integers(0, 3)) or "hot"
+    passages = [[f"p{k} {i}" if rng.random() < .7 else line() for i in range(n)]
+                for k, n in enumerate((3, 4, 9, 17, 40))]
+    rows = []
+    for d in range(40):
+        if d % 7 == 6:
+            rows.append((d, rows[int(rng.integers(d))][1]))
+            continue
+        out = []
+        for _ in range(int(rng.integers(1, 6))):
+            p = passages[rng.integers(len(passages))]
+            a = int(rng.integers(len(p)))
+            out += p[a:a + int(rng.integers(1, len(p) + 1))] if rng.random() < .6 else [line() for _ in range(6)]
+        rows.append((d, "\n".join(out)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = line_dedup(df, ["doc_id"], min_lines, min_chars).collect()
+    assert sorted((r.doc_id, r.text, r.longest_repeat) for r in got) == repeated_lines(rows, min_lines, min_chars)
 
 
 def test_sharding(spark):

@@ -7,14 +7,18 @@ the suffix array whose suffixes share at least that many lines; its rank is its
 order, its first suffix the earliest copy. Suffixes that are alone in their class leave, so the
 tables shrink with every round, and rounds end when nothing is repeated any more.
 
-A run of lines is repeated if the same run starts at an earlier place. Lines of repeated runs of
-at least min_lines lines go, and so do single repeated lines of at least min_chars characters;
-the earliest copy stays.  Longer runs are unions of runs of min_lines, which the pair of classes
-at both ends of such a run decides.
+The way back, from the longest classes to single lines, splits each interval by the longest
+prefix its suffixes have in common (`_longest`): it gives every place the length of the longest
+run that starts there and also at an earlier place. Runs that no other run of their document
+covers to its end are the maximal repeated runs.
+
+Lines of maximal runs of at least min_lines lines go, and so do single repeated lines of at least
+min_chars characters; the earliest copy stays.
 
 Defined cases: null texts stay null and have no lines; empty lines are lines; a row whose id and
-text both repeat an earlier row loses all lines if a run as long is removed elsewhere; rows with
-null ids come first; an empty table gives an empty result; other columns are kept where asked.
+text both repeat an earlier row is one repeated run, and loses all lines if a run as long is
+removed elsewhere; rows with null ids come first; an empty table gives an empty result; other
+columns are kept where asked.
 """
 
 from __future__ import annotations
@@ -63,11 +67,49 @@ def _ranked(classes: DataFrame, keys: list[str]) -> DataFrame:
         "rank", F.monotonically_increasing_id())
 
 
+def _longest(steps: Steps, levels: dict[int, DataFrame]) -> DataFrame:
+    """(place, length): the longest run of lines that starts at the place and, whole, at an earlier
+    place too; places without one are left out.
+
+    A group is a set of places that share `length` lines; its first place, `lead`, is there as the
+    earlier copy only, and names the group. From the largest size down, a group is split by the
+    classes of the next `size` lines: places of a class that is not alone form a group that is
+    longer by size. The first place of each class also stays behind, as it stands for its class
+    towards the others. So every place with an earlier copy is in one group at a time, and stands
+    in others only as their lead. Places enter at the size at which their class first has an
+    earlier copy.
+    """
+    groups, above = None, None
+    for size in sorted(levels, reverse=True):
+        level = levels[size]
+        fresh = level if above is None else level.join(
+            above.filter("first < place").select("place"), "place", "left_anti")
+        fresh = fresh.select(F.lit(size).alias("length"), "place", F.col("first").alias("lead"),
+                             F.col("n").alias("members"))
+        if groups is not None:
+            by, columns = ["length", "lead", "next"], fresh.columns
+            ahead = level.select(F.col("place").alias("at"), F.col("rank").alias("next"))
+            looked = steps.put("looked", groups.withColumn("at", F.col("place") + F.col("length")).join(
+                ahead, "at", "left").drop("at"))
+            known = looked.filter("next is not null")
+            classes = known.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("head"))
+            split = steps.put("split", known.join(classes, by))
+            longer = split.filter("n > 1").select(
+                (F.col("length") + size).alias("length"), "place", F.col("head").alias("lead"),
+                F.col("n").alias("members"))
+            # where a whole group moved on, its lead has nobody left to stand for
+            stay = split.filter("head = place and n < members").select(columns).unionByName(
+                looked.filter("next is null").select(columns))
+            fresh = fresh.unionByName(longer).unionByName(stay)
+        groups, above = steps.put("groups", fresh), level
+    steps.drop("looked", "split")
+    return groups.filter("place > lead").select("place", "length")
+
+
 def line_dedup(docs: DataFrame, keep: list[str], min_lines: int = MIN_LINES,
                min_chars: int = MIN_CHARS) -> DataFrame:
     """Columns `keep` of docs (without text), text without repeated runs, n_lines, n_removed and
-    longest_repeat: the largest power of two such that a run of so many lines of the document
-    has an earlier copy (0: none)."""
+    longest_repeat: the lines of the document's longest run that has an earlier copy (0: none)."""
     steps = Steps(docs.sparkSession)
     starts = _starts(steps, docs)
     lines = docs.filter("text is not null").select(
@@ -91,42 +133,43 @@ def line_dedup(docs: DataFrame, keep: list[str], min_lines: int = MIN_LINES,
 
     def level(rows, keys, size):
         return steps.put(f"level{size}", rows.join(classes_of(rows, keys), keys).select(
-            "row_key", "id", "pos", "place", "chars", "rank", "first"))
+            "row_key", "id", "pos", "place", "chars", "rank", "first", "n"))
 
     def shifted(rows, by):
         """Rows with the class of the suffix `by` lines on."""
-        return rows.withColumnRenamed("rank", "r1").drop("first").join(rows.select(
+        return rows.withColumnRenamed("rank", "r1").drop("first", "n").join(rows.select(
             (F.col("place") - by).alias("place"), F.col("rank").alias("r2")), "place")
 
-    now, size, longest, removed = level(placed, keys, 1), 1, [], []
+    levels, size = {}, 1
+    now = single = level(placed, keys, 1)
     steps.drop("placed")
-    if min_chars:
-        removed.append(now.filter(f"first < place and chars >= {min_chars}").select(
-            "row_key", "id", F.col("pos").alias("at"), F.lit(1).alias("size")))
     while not now.isEmpty():
-        longest.append(now.filter("first < place").select("row_key", "id").distinct().withColumn(
-            "longest", F.lit(size)))
-        if size <= min_lines < 2 * size:
-            # a run of min_lines lines is two overlapping runs of `size` lines
-            runs = now if size == min_lines else level(
-                shifted(now, min_lines - size), ["r1", "r2"], "run")
-            removed.append(runs.filter("first < place").select(
-                "row_key", "id", F.col("pos").alias("at"), F.lit(min_lines).alias("size")))
+        levels[size] = now
         now, size = level(shifted(now, size), ["r1", "r2"], 2 * size), 2 * size
 
-    none = docs.sparkSession.createDataFrame([], "row_key long, id long, at int, size int, longest int")
-    gone, most = none.select("row_key", "id", "at", "size"), none.select("row_key", "id", "longest")
-    for part in removed:
-        gone = gone.unionByName(part)
-    for part in longest:
-        most = most.unionByName(part)
-    gone = gone.select("row_key", "id", F.explode(F.sequence(
-        F.col("at"), F.col("at") + F.col("size") - 1)).alias("at")) \
-        .groupBy("row_key", "id").agg(F.array_sort(F.collect_set("at")).alias("gone"))
-    most = most.groupBy("row_key", "id").agg(F.max("longest").alias("longest"))
-    marks = steps.put("marks", most.join(gone, ["row_key", "id"], "left"))
+    if levels:
+        runs = steps.put("runs", _longest(steps, levels).join(
+            single.select("row_key", "id", "pos", "place"), "place").select(
+            "row_key", "id", "pos", (F.col("pos") + F.col("length")).alias("end")))
+        most = runs.groupBy("row_key", "id").agg(F.max(F.col("end") - F.col("pos")).cast("int").alias("longest"))
+        # in order of its start, a run that ends later than all before it is maximal
+        before = F.max("end").over(Window.partitionBy("row_key", "id").orderBy("pos").rowsBetween(
+            Window.unboundedPreceding, -1))
+        maximal = runs.filter(F.col("end") - F.col("pos") >= min_lines).withColumn(
+            "before", F.coalesce(before, F.lit(0))).filter("end > before")
+        gone = maximal.select("row_key", "id", F.greatest("pos", "before").alias("at"), "end")
+        if min_chars:
+            gone = gone.unionByName(single.filter(f"first < place and chars >= {min_chars}").select(
+                "row_key", "id", F.col("pos").alias("at"), (F.col("pos") + 1).alias("end")))
+        gone = gone.select("row_key", "id", F.explode(F.sequence("at", F.col("end") - 1)).alias("at")) \
+            .groupBy("row_key", "id").agg(F.array_sort(F.collect_set("at")).alias("gone"))
+        marks = most.join(gone, ["row_key", "id"], "left")
+    else:
+        marks = docs.sparkSession.createDataFrame(
+            [], "row_key long, id long, longest int, gone array<int>")
+    marks = steps.put("marks", marks)
     for k in list(steps.paths):
-        if k.startswith("level") or k == "classes":
+        if k.startswith("level") or k in ("classes", "groups", "runs"):
             steps.drop(k)
 
     kept = [F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)]
@@ -142,8 +185,7 @@ def line_dedup(docs: DataFrame, keep: list[str], min_lines: int = MIN_LINES,
         F.concat(F.array(F.lit(-1)), at), F.concat(at, F.array(n)),
         lambda a, b: F.slice(F.col("all"), a + 2, b - a - 1)))
     rest = F.when(again, F.array().cast("array<string>")).otherwise(rest)
-    longest_here = F.when(F.col("copy") > 1, F.pow(F.lit(2), F.floor(F.log2(n))).cast("int")).otherwise(
-        F.coalesce("longest", F.lit(0)))
+    longest_here = F.when(F.col("copy") > 1, n).otherwise(F.coalesce("longest", F.lit(0)))
     is_text = F.col("_text").isNotNull()
     out = whole.withColumn("_rest", F.when(is_text, rest))
     return out.select(

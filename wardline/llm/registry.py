@@ -87,15 +87,21 @@ def op7_line_dedup(spark, sf):
 
 
 ORACLE["op7_line_dedup"] = """
-WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
-p AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS pos, ls FROM d),
-k AS (SELECT unnest([1, 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024, 2048, 4096, 8192]) AS k),
-w AS (SELECT doc_id, pos, k, length(ls[pos]) AS chars,
-             array_to_string(list_slice(ls, pos, pos + k - 1), chr(10)) AS run
-      FROM p JOIN k ON pos + k - 1 <= len(ls)),
-f AS (SELECT doc_id, pos, k, chars, row_number() OVER (PARTITION BY k, run ORDER BY doc_id, pos) AS nth
-      FROM w),
-again AS (SELECT * FROM f WHERE nth > 1),
+WITH RECURSIVE d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+p AS MATERIALIZED (SELECT doc_id, pos, length(ls[pos]) AS chars, md5(ls[pos]) AS line,
+             row_number() OVER (ORDER BY doc_id, pos) AS place
+      FROM (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS pos, ls FROM d)),
+-- runs of k lines that start at several places: k grows by one line a round
+f AS (SELECT 1 AS k, doc_id, pos, place, chars, first_place FROM (
+        SELECT *, min(place) OVER (PARTITION BY line) AS first_place, count(*) OVER (PARTITION BY line) AS n
+        FROM p) WHERE n > 1
+      UNION ALL
+      SELECT k + 1, doc_id, pos, place, chars, first_place FROM (
+        SELECT k, r.doc_id, r.pos, r.place, r.chars,
+               min(r.place) OVER (PARTITION BY r.first_place, p.line) AS first_place,
+               count(*) OVER (PARTITION BY r.first_place, p.line) AS n
+        FROM f r JOIN p ON p.doc_id = r.doc_id AND p.pos = r.pos + r.k) WHERE n > 1),
+again AS MATERIALIZED (SELECT * FROM f WHERE first_place < place),
 gone AS (SELECT doc_id, list(DISTINCT ln) AS ats FROM (
              SELECT doc_id, pos AS ln FROM again WHERE k = 1 AND chars >= 40
              UNION ALL SELECT doc_id, unnest([pos, pos + 1]) AS ln FROM again WHERE k = 2)
