@@ -93,16 +93,16 @@ def _longest(steps: Steps, levels: dict[int, DataFrame]) -> DataFrame:
                 ahead, "at", "left").drop("at"))
             known = looked.filter("next is not null")
             classes = known.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("head"))
-            split = steps.put("split", known.join(classes, by))
-            longer = split.filter("n > 1").select(
+            longer = F.when(F.col("n") > 1, F.struct(
                 (F.col("length") + size).alias("length"), "place", F.col("head").alias("lead"),
-                F.col("n").alias("members"))
+                F.col("n").alias("members")))
             # where a whole group moved on, its lead has nobody left to stand for
-            stay = split.filter("head = place and n < members").select(columns).unionByName(
-                looked.filter("next is null").select(columns))
-            fresh = fresh.unionByName(longer).unionByName(stay)
-        groups, above = steps.put("groups", fresh), level
-    steps.drop("looked", "split")
+            stay = F.when((F.col("head") == F.col("place")) & (F.col("n") < F.col("members")),
+                          F.struct(*columns))
+            split = known.join(classes, by).select(F.inline(F.array_compact(F.array(longer, stay))))
+            fresh = fresh.unionByName(split).unionByName(looked.filter("next is null").select(columns))
+        # the next size stores its rows, so that each is split once
+        groups, above = fresh, level
     return groups.filter("place > lead").select("place", "length")
 
 
@@ -169,7 +169,7 @@ def line_dedup(docs: DataFrame, keep: list[str], min_lines: int = MIN_LINES,
             [], "row_key long, id long, longest int, gone array<int>")
     marks = steps.put("marks", marks)
     for k in list(steps.paths):
-        if k.startswith("level") or k in ("classes", "groups", "runs"):
+        if k.startswith("level") or k in ("classes", "looked", "runs"):
             steps.drop(k)
 
     kept = [F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)]
