@@ -560,6 +560,16 @@ def ok(c: str, text: str) -> str:
     return has(f"lower({text})", vocab.STANDARDS[c])
 
 
+
+def tenths(x: str) -> str:
+    """Half-even to one decimal of the number as printed. round_even(x, 1) takes 28.5 * 0.9 =
+    25.650000000000002 for a tie, as it rounds the product by ten."""
+    d = f"CAST(CAST({x} AS VARCHAR) AS DECIMAL(25, 18))"
+    low = f"floor({d} * 10)"
+    return (f"CASE WHEN {d} * 10 - {low} = 0.5 AND CAST({low} AS BIGINT) % 2 = 0 "
+            f"THEN CAST({low} AS DOUBLE) / 10 ELSE CAST(round({d}, 1) AS DOUBLE) END")
+
+
 SHORT = "whole_text"
 VALID = RESULTS + f""",
 validated AS MATERIALIZED (
@@ -615,8 +625,8 @@ answers AS MATERIALIZED (
     CASE WHEN d THEN kept ELSE key_capabilities END AS key_capabilities
   FROM corrected),
 shown AS MATERIALIZED (SELECT *,
-    CASE WHEN self_corrected THEN round_even(trust_score * 0.90::DOUBLE, 1)
-      WHEN validation_verdict = 'DISPUTED' THEN round_even(trust_score * 0.85::DOUBLE, 1)
+    CASE WHEN self_corrected THEN {tenths('trust_score * 0.90::DOUBLE')}
+      WHEN validation_verdict = 'DISPUTED' THEN {tenths('trust_score * 0.85::DOUBLE')}
       ELSE trust_score END AS trust_score_display,
     CASE WHEN self_corrected THEN 'Self-corrected — extraction revised after validation'
       WHEN validation_verdict = 'DISPUTED' THEN
