@@ -14,12 +14,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 #: Feature buckets (a power of two).
 BUCKETS = 1 << 16
-#: Characters that one numpy step handles.
-SLICE_CHARS = 1 << 20
+#: Characters that one numpy step handles: it holds about 100 bytes for each of them.
+SLICE_CHARS = 1 << 17
 UNKNOWN = "und"
 _letters: list[np.ndarray] = []
 
@@ -53,11 +54,12 @@ def _features(texts: list[str]):
     return features.astype(np.int64).ravel(), 2 * (firsts - 2 * np.arange(len(firsts))), has_letter
 
 
-def _slices(texts: list):
+def _slices(column: pa.Array):
+    """Runs of texts of about SLICE_CHARS characters, so that no more are unpacked at once."""
     first = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= SLICE_CHARS or i == len(texts) - 1:
+    for i, n in enumerate(pc.fill_null(pc.utf8_length(column), 0).to_pylist()):
+        size += n
+        if size >= SLICE_CHARS or i == len(column) - 1:
             yield first, i + 1
             first, size = i + 1, 0
 
@@ -67,10 +69,11 @@ def _counts(batches):
     total: dict[str, np.ndarray] = {}
     rows: dict[str, int] = {}
     for batch in batches:
-        texts, labels = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
-        for a, b in _slices(texts):
+        column, labels = batch.column("text"), batch.column("lang").to_pylist()
+        for a, b in _slices(column):
+            texts = column.slice(a, b - a).to_pylist()
             part = sorted(range(a, b), key=lambda i: labels[i])
-            features, firsts, _ = _features([texts[i] or "" for i in part])
+            features, firsts, _ = _features([texts[i - a] or "" for i in part])
             names = [labels[i] for i in part]
             edges = [k for k in range(len(names)) if k == 0 or names[k] != names[k - 1]]
             for k, end in zip(edges, edges[1:] + [len(names)]):
@@ -108,11 +111,12 @@ def _score(model):
         names, table, priors = model.value
         labels = np.array([*names, UNKNOWN], dtype=object)
         for batch in batches:
-            texts = batch.column("_text").to_pylist()
-            best = np.full(len(texts), len(names))
-            score = np.zeros(len(texts))
-            for a, b in _slices(texts) if names else ():
-                features, firsts, has_letter = _features([t or "" for t in texts[a:b]])
+            column = batch.column("_text")
+            best = np.full(len(column), len(names))
+            score = np.zeros(len(column))
+            for a, b in _slices(column) if names else ():
+                texts = column.slice(a, b - a).to_pylist()
+                features, firsts, has_letter = _features([t or "" for t in texts])
                 # a text without characters has padding only, which is one n-gram of each order
                 logs = np.stack([np.add.reduceat(row[features], firsts[:-1]) for row in table],
                                 axis=1) + priors
